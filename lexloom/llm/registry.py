@@ -1,9 +1,11 @@
 """Queries of this subpackage, one per operator, and their SQL."""
 
-from . import mixing, quality
+from . import bpe, langid, mixing, quality
 
 QUERIES = {
+    "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
+    "op7_byte_bpe": bpe.query,
     "op10_quality_rules": quality.query,
 }
 ORACLES = {
