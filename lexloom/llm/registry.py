@@ -1,11 +1,12 @@
 """Queries of this subpackage, one per operator, and their SQL."""
 
-from . import bpe, langid, mixing, quality
+from . import bpe, langid, mixing, quality, secrets
 
 QUERIES = {
     "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
     "op7_byte_bpe": bpe.query,
+    "op8_secret_scans": secrets.query,
     "op10_quality_rules": quality.query,
 }
 ORACLES = {
