@@ -1,12 +1,13 @@
 """Queries of this subpackage, one per operator, and their SQL."""
 
-from . import bpe, langid, mixing, quality, secrets
+from . import bpe, htmltext, langid, mixing, quality, secrets
 
 QUERIES = {
     "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
     "op7_byte_bpe": bpe.query,
     "op8_secret_scans": secrets.query,
+    "op9_html_extraction": htmltext.query,
     "op10_quality_rules": quality.query,
 }
 ORACLES = {
