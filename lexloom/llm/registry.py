@@ -1,8 +1,9 @@
 """Queries of this subpackage, one per operator, and their SQL."""
 
-from . import bpe, htmltext, langid, mixing, quality, secrets
+from . import bpe, htmltext, langid, mixing, quality, secrets, warc
 
 QUERIES = {
+    "op3_warc": warc.query,
     "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
     "op7_byte_bpe": bpe.query,
@@ -11,6 +12,7 @@ QUERIES = {
     "op10_quality_rules": quality.query,
 }
 ORACLES = {
+    "op3_warc": warc.oracle(),
     "op6_mixing": mixing.oracle(),
     "op10_quality_rules": quality.oracle(),
 }
