@@ -66,9 +66,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for at in range(0, len(codes), _CHUNK):
                 for order in ORDERS:
                     t[1] += np.bincount(buckets(codes[at : at + _CHUNK + order - 1], order), minlength=1 << BUCKET_BITS)
-    yield pd.DataFrame(
-        [(lang, n, zlib.compress(c.tobytes(), 1)) for lang, (n, c) in total.items()], columns=["lang", "n", "counts"]
-    )
+    if total:
+        rows = [(lang, n, zlib.compress(c.tobytes(), 1)) for lang, (n, c) in total.items()]
+        yield pd.DataFrame(rows, columns=["lang", "n", "counts"])
 
 
 def _summed(b: pd.DataFrame) -> pd.DataFrame:

@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,7 +191,8 @@ def write(pages: DataFrame, folder: str, url: str = "url") -> DataFrame:
         if out is not None:
             out.write(deflate.flush())
             out.close()
-        yield pd.DataFrame({"archive": [f"{folder}/{n}" for n in names]})
+        if names:
+            yield pd.DataFrame({"archive": [f"{folder}/{n}" for n in names]})
 
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     rows = pages.select(F.col("page_id").cast("string"), F.col(url).alias("url"), "payload", F.col("refers_to").cast("string"))
@@ -224,36 +226,42 @@ def read(index: DataFrame) -> DataFrame:
     The digest of a response is computed from the payload that was read; that of a revisit is its header's.
     """
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, f = None, None
         for b in batches:
             rows, held = [], 0
-            for archive, offset, length in zip(b["archive"], b["offset"], b["length"]):
+            for archive, offset, length in zip(*(b.column(c).to_pylist() for c in ("archive", "offset", "length"))):
                 if archive != name:
                     if f is not None:
                         f.close()
                     fs, path = filesystem(archive)
                     name, f = archive, fs.open_input_file(path)
-                f.seek(int(offset))
-                r = parse(zlib.decompress(f.read(int(length)), 31))
+                f.seek(offset)
+                r = parse(zlib.decompress(f.read(length), 31))
                 body = r["payload"] if r["record_type"] == "response" else None
                 url = r["head"].get(b"WARC-Target-URI")
                 rows.append((
                     r["page_id"], None if url is None else url.decode("utf-8", "surrogatepass"), r["record_type"],
                     r["digest"] if body is None else digest(body), r["payload_bytes"] if body is None else len(body), r["refers_to"], body,
                 ))
-                held += length
-                if held > 4 * _BLOCK:
-                    yield _frame(rows)
+                held += len(body or b"")
+                if held > 16 * _BLOCK:
+                    yield _batch(rows)
                     rows, held = [], 0
-            yield _frame(rows)
+            yield _batch(rows)
 
-    return index.mapInPandas(parsed, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    return index.select("archive", "offset", "length").mapInArrow(parsed, ", ".join(f"{n} {t}" for n, t, _ in _FIELDS))
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+_FIELDS = (
+    ("page_id", "long", pa.int64()), ("url", "string", pa.string()), ("record_type", "string", pa.string()), ("payload_digest", "string", pa.string()),
+    ("payload_bytes", "long", pa.int64()), ("refers_to", "long", pa.int64()), ("payload", "binary", pa.binary()),
+)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, _, t) in zip(columns, _FIELDS)], [n for n, _, _ in _FIELDS])
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
