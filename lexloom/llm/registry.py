@@ -1,9 +1,10 @@
 """Queries of this subpackage, one per operator, and their SQL."""
 
-from . import bpe, htmltext, langid, mixing, quality, secrets, warc
+from . import ann, bpe, htmltext, langid, mixing, quality, secrets, warc
 
 QUERIES = {
     "op3_warc": warc.query,
+    "op4_nearest_neighbours": ann.query,
     "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
     "op7_byte_bpe": bpe.query,
