@@ -1,8 +1,10 @@
 """Queries of this subpackage, one per operator, and their SQL."""
 
-from . import ann, bpe, htmltext, langid, mixing, quality, secrets, warc
+from . import ann, bpe, htmltext, langid, mixing, ngramjoin, quality, secrets, urlfilter, warc
 
 QUERIES = {
+    "op1_url_filters": urlfilter.query,
+    "op2_ngram_join": ngramjoin.query,
     "op3_warc": warc.query,
     "op4_nearest_neighbours": ann.query,
     "op5_language_id": langid.query,
@@ -13,6 +15,7 @@ QUERIES = {
     "op10_quality_rules": quality.query,
 }
 ORACLES = {
+    "op1_url_filters": urlfilter.oracle(),
     "op3_warc": warc.oracle(),
     "op6_mixing": mixing.oracle(),
     "op10_quality_rules": quality.oracle(),
