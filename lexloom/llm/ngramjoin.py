@@ -7,6 +7,8 @@ broadcast), then its hash. The order decides speed only; any fixed order gives e
 1. Candidates. Two sets of Jaccard similarity t share an n-gram among the rarest |x| - ceil(t |x|) + 1 of each
    (prefix filter), and their sizes lie in neighbouring bands of ratio t. So sets meet under (n-gram, band); the
    smallest set id there is the hub, and what is kept is (hub, set), not pairs: a group of g sets gives g rows.
+   Then sets whose parity bitmaps rule out every partner under the hub leave it (the bits that differ between two
+   bitmaps are at most as many as the n-grams that differ between the sets), and the sets that stay are gathered.
 2. Trees. All sets of a hub meet in blocks of bounded size. A block is a compressed trie, frequent n-grams first, so
    that near copies share long paths. A set walks the trie with the overlap so far; a subtree ends when the
    overlap, plus what is left of the set or of the subtree's longest set, cannot reach what its smallest set needs,
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 
 from lexloom.storage import cut
 
-SKETCH_BITS, SLICES = 22, 16
+SKETCH_BITS, SLICES = 23, 16
 #: Bits of the filter that picks the sets to gather; it passes some others, which the join then drops.
 FILTER_BITS = 25
+#: Sets and n-grams under one hub up to which the bitmap filter works; larger hubs keep all their sets.
+FILTER_SETS, FILTER_GRAMS = 1 << 13, 1 << 27
 #: N-grams in a block, expected.
 BLOCK_GRAMS = 1 << 19
 _CHUNK_BYTES = 4 << 20
@@ -109,13 +113,106 @@ def fingerprint(grams: np.ndarray) -> bytes:
 
 
 def node_id(fp: bytes) -> int:
-    return int.from_bytes(fp[:8], "little", signed=True)
+    return int.from_bytes(fp[:8], "big", signed=True)
+
+
+def _node(fp: str):
+    """node_id() as a native expression: the first 8 bytes as a signed number."""
+    high, low = (F.conv(F.hex(F.substring(fp, at, 4)), 16, 10).cast("long") for at in (1, 5))
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
 
 def bucket(grams: np.ndarray) -> np.ndarray:
     return ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Bitmap (bytes of 0 and 1) of the parity of the n-grams per position; from 256 bits on, at least n / 2 bits."""
+    bits = max(256, 1 << max(0, (len(grams) - 1).bit_length() - 1))
+    return (np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+
+
+def folded(packed: np.ndarray, size: int) -> np.ndarray:
+    """A packed bitmap folded to size bytes; positions are taken modulo its length, so parities add up."""
+    while len(packed) > size:
+        packed = packed[: len(packed) // 2] ^ packed[len(packed) // 2 :]
+    return packed
+
+
+def partners(n: np.ndarray, bitmaps: list[bytes], first: int, num: int, den: int) -> np.ndarray:
+    """Which sets may link with another one, by sizes and bitmaps; set `first` is tried before the others."""
+    order = np.argsort(n, kind="stable")
+    sizes = n[order]
+    width = min(map(len, bitmaps))
+    maps = [np.frombuffer(b, np.uint8) for b in bitmaps]
+    coarse = np.stack([folded(m, width) for m in maps])[order]
+    may = np.zeros(len(n), bool)
+
+    def tried(i: int, others: np.ndarray) -> np.ndarray:
+        """Of the positions others, those that may link with position i."""
+        others = others[(den * sizes[others] >= num * sizes[i]) & (den * sizes[i] >= num * sizes[others]) & (others != i)]
+        allowed = (sizes[others] + sizes[i]) * (den - num) // (den + num)
+        differ = np.bitwise_count(coarse[others] ^ coarse[i]).sum(axis=1, dtype=np.int64)
+        others, allowed = others[differ <= allowed], allowed[differ <= allowed]
+        out = []
+        for j, most in zip(others, allowed):
+            a, b = maps[order[i]], maps[order[j]]
+            size = min(len(a), len(b))
+            if size == width or int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum()) <= most:
+                out.append(j)
+        return np.array(out, np.int64)
+
+    every = np.arange(len(n))
+    at = int(np.flatnonzero(order == first)[0])
+    hit = tried(at, every)
+    may[hit] = True
+    may[at] = len(hit) > 0
+    for i in every:
+        if not may[i]:
+            hit = tried(int(i), every)
+            may[hit] = True
+            may[i] = len(hit) > 0
+    out = np.zeros(len(n), bool)
+    out[order] = may
+    return out
+
+
+def streamed(df: DataFrame, keys: tuple[str, ...], f, schema: str) -> DataFrame:
+    """f(columns of a group as lists by name) -> rows, for every group of keys, with many small groups per batch.
+
+    The rows are dealt and sorted by the keys; a task holds a batch, one group and the rows that it gives out.
+    """
+    types = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
+    out_schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in schema.split(", ")])
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def done() -> list[tuple]:
+            return f(dict(zip(columns, map(list, zip(*held))))) if held else []
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), out_schema.types)], schema=out_schema)
+
+        for b in batches:
+            lists = [b.column(c).to_pylist() for c in columns]
+            for row in zip(*lists):
+                now = tuple(row[columns.index(k)] for k in keys)
+                if now != key:
+                    out += done()
+                    key, held = now, []
+                    if len(out) > 10_000:
+                        yield batch(out)
+                        out = []
+                held.append(row)
+        out += done()
+        if out:
+            yield batch(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
     """The texts of a batch, one at a time."""
     column = batch.column("text")
@@ -123,27 +220,28 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
 
 
 def fingerprints(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, fp) of every row, sketch parts (slice, blob) of every task); one pass, written to the shared folder."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("slice", pa.int32()), ("blob", pa.binary())])
+    """((doc_id, n, fp, bits) of every row, sketch parts (slice, blob) of every task); one pass, written to the shared folder."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("bits", pa.binary()), ("slice", pa.int32()), ("blob", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            n, fp = [], []
+            n, fp, bits = [], [], []
             for text in _texts(b):
                 grams = gram_set(text, k)
                 n.append(len(grams))
+                bits.append(np.packbits(parity(grams)).tobytes())
                 fp.append(fingerprint(grams))
                 at = bucket(grams)
                 np.add.at(counts, at, np.uint32(1))
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), *none], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bits, pa.binary()), *none], schema=schema)
         parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
-        none = pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary())
+        none = pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary())
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
-    both = cut(docs.mapInArrow(made, "doc_id long, n long, fp binary, slice int, blob binary"), "fingerprints")
-    return both.filter("slice is null").select("doc_id", "n", "fp"), both.filter("slice is not null").select("slice", "blob")
+    both = cut(docs.mapInArrow(made, "doc_id long, n long, fp binary, bits binary, slice int, blob binary"), "fingerprints")
+    return both.filter("slice is null").select("doc_id", "n", "fp", "bits"), both.filter("slice is not null").select("slice", "blob")
 
 
 def frequencies(parts: DataFrame) -> np.ndarray:
@@ -169,13 +267,17 @@ def frequencies(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
-    """(token, nid, n): the rarest n-grams of each set, as many as the prefix filter needs; copies in a batch count once."""
-    schema = pa.schema([("token", pa.int64()), ("nid", pa.int64()), ("n", pa.int64())])
+    """(token, nid, n, early): the rarest n-grams of each set, as many as the prefix filter needs; copies in a batch count once.
+
+    Of two linked sets the smaller shares one of its first |x| - ceil(2t / (1 + t) |x|) + 1 with the longer prefix
+    of the larger; early marks these, and an n-gram that is early for no set brings no sets together.
+    """
+    schema = pa.schema([("token", pa.int64()), ("nid", pa.int64()), ("n", pa.int64()), ("early", pa.bool_())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = order.value
         for b in batches:
-            seen, tokens, nids, sizes, held = set(), [], [], [], 0
+            seen, tokens, nids, sizes, roles, held = set(), [], [], [], [], 0
             for text in _texts(b):
                 grams = gram_set(text, k)
                 n = len(grams)
@@ -187,14 +289,15 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
                 tokens.append(rare.view(np.int64))
                 nids.append(np.full(first, nid))
                 sizes.append(np.full(first, n))
+                roles.append(np.arange(first) < n - -(-2 * num * n // (den + num)) + 1)
                 held += first
                 if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nids, sizes)], schema=schema)
-                    tokens, nids, sizes, held = [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nids, sizes, roles)], schema=schema)
+                    tokens, nids, sizes, roles, held = [], [], [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nids, sizes)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nids, sizes, roles)], schema=schema)
 
-    return docs.select("text").mapInArrow(made, "token long, nid long, n long")
+    return docs.select("text").mapInArrow(made, "token long, nid long, n long, early boolean")
 
 
 def hubs(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -202,16 +305,35 @@ def hubs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     Only minima and maxima per n-gram are aggregated, partially before each shuffle, so no group is ever gathered.
     """
-    shared = rows.groupBy("token").agg(F.min("nid").alias("a"), F.max("nid").alias("z")).filter("a < z").select("token")
+    shared = rows.groupBy("token").agg(F.min("nid").alias("a"), F.max("nid").alias("z"), F.max("early").alias("early")).filter("a < z and early").select("token")
     rows = rows.join(shared, "token")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) * (1 + 1e-9))))
     rows = cut(rows.withColumn("band", F.explode(F.array(band, band + 1))), "shared")
-    groups = rows.groupBy("token", "band").agg(F.min("nid").alias("hub"), F.max("nid").alias("z"), F.min(F.struct("nid", "n"))["n"].alias("hub_n")).filter("hub < z").drop("z")
+    groups = rows.groupBy("token", "band").agg(F.min("nid").alias("hub"), F.max("nid").alias("z"), F.max("early").alias("any")).filter("hub < z and any").select("token", "band", "hub")
     met = rows.join(groups, ["token", "band"])
     # the hub's own row is among those that it meets
     return met.select("hub", "nid", "n").distinct()
 
 
+def likely(members: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """members (hub, nid, n) without those that cannot link with any other set under their hub."""
+    load = members.groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("grams"))
+    members = members.join(load, "hub")
+    small = (F.col("c") <= FILTER_SETS) & (F.col("grams") <= FILTER_GRAMS)
+    maps = rows.filter("n > 0").groupBy("fp").agg(F.max("bits").alias("bits")).select(_node("fp").alias("nid"), "bits")
+
+    def kept(g: dict) -> list[tuple]:
+        hub = g["hub"][0]
+        ok = partners(np.array(g["n"], np.int64), g["bits"], g["nid"].index(hub), num, den)
+        if not ok.any():
+            return []
+        ok |= np.array(g["nid"]) == hub  # the hub leads its blocks, linked or not
+        return [(hub, nid, n) for nid, n, k in zip(g["nid"], g["n"], ok) if k]
+
+    found = streamed(members.filter(small).select("hub", "nid", "n").join(maps, "nid").select("hub", "nid", "n", "bits"), ("hub",), kept, "hub long, nid long, n long")
+    return found.unionByName(members.filter(~small).select("hub", "nid", "n")).distinct()
+
+
 def bitmap(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size over ids(nid): bit nid mod 2^FILTER_BITS."""
     part = (1 << FILTER_BITS) // SLICES
@@ -376,18 +498,18 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int, order) -> Dat
     members = members.withColumn("block", F.explode(F.when(is_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
     full = cut(members.select("hub", "block", "blocks", "nid").join(sets, "nid"), "members")
 
-    def grown(b: pd.DataFrame) -> pd.DataFrame:
+    def grown(g: dict) -> list[tuple]:
         """Rows: (a, b) of links; in a hub of several blocks also (hub, block, nid) of sets not connected with the hub."""
-        fps, nids = b["fp"].tolist(), b["nid"].tolist()
-        hub, at, many = int(b["hub"].iloc[0]), int(b["block"].iloc[0]), b["blocks"].iloc[0] > 1
-        trie = Trie([np.frombuffer(g, np.uint64) for g in b["grams"]], order.value, num, den)
+        fps, nids = g["fp"], g["nid"]
+        hub, at, many = g["hub"][0], g["block"][0], g["blocks"][0] > 1
+        trie = Trie([np.frombuffer(x, np.uint64) for x in g["grams"]], order.value, num, den)
         first = nids.index(hub)
         rows = [(fps[i], fps[j], None, None, None) for i, j in trie.forest(first)]
         if many:
             rows += [(None, None, hub, at, nids[i]) for i in range(len(nids)) if not trie.connected(first, i)]
-        return pd.DataFrame(rows, columns=["a", "b", "hub", "block", "nid"]).astype({"hub": "Int64", "block": "Int64", "nid": "Int64"})
+        return rows
 
-    found = cut(full.groupBy("hub", "block").applyInPandas(grown, "a binary, b binary, hub long, block long, nid long"), "links")
+    found = cut(streamed(full, ("hub", "block"), grown, "a binary, b binary, hub long, block long, nid long"), "links")
     rest = found.filter("nid is not null").select("hub", F.col("block").alias("from_block"), "nid")
 
     def crossed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -445,11 +567,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows, parts = fingerprints(docs, k)
     order = sc.broadcast(frequencies(parts))
-    members = cut(hubs(cut(prefixes(docs, k, num, den, order), "prefixes"), num, den), "hubs")
+    members = hubs(cut(prefixes(docs, k, num, den, order), "prefixes"), num, den)
+    members = cut(likely(members, rows, num, den), "hubs")
     wanted = sc.broadcast(bitmap(members))
     edges = links(members, gathered(docs, k, wanted), num, den, order)
     roots = cut(components(edges), "components")
-    rows = rows.join(roots, rows["fp"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "fp").alias("root"))
+    rows = rows.drop("bits").join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "fp").alias("root"))
     least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
