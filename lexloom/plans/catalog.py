@@ -1,4 +1,634 @@
-"""The queries of the engine and their SQL, by name."""
+"""The queries of the engine and their SQL, by name.
+
+Mapping of the test tables: a document's title is its first line, its summary its first 200 characters; a query is
+the first 80 characters of a benchmark passage and its relevant documents are those that hold the whole passage;
+vectors 0 to 19 are asked against all others. Every query runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+import itertools
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.functions import text as T
+from lexloom.functions.vectors import norm, normalized
+from lexloom.operators import corpus, evaluate, fusion, graph, index, rag, search, vector
+from lexloom.sources import files
+from lexloom.storage import cut, fresh_path, table
+from lexloom.streaming import incremental
+
+K1_GRID, B_GRID = (0.5, 1.0, 1.25, 1.5, 1.75, 2.0), (0.4, 0.6, 0.75, 0.85, 0.9, 1.0)
+GRID = tuple(itertools.product(K1_GRID, B_GRID))
+DIM = 64
+METHODS = (("boolean", "Boolean", "very fast"), ("bm25", "BM25", "fast"), ("semantic", "Semantic", "medium"), ("ann", "ANN", "fast"), ("fused", "Fused", "slow"), ("rag", "RAG", "slowest"))
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function by its name, with the SQL for the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---- shared inputs -----------------------------------------------------------------------------------------------
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, season, number, title, summary, description."""
+    d = table(spark, sf_dir, "documents")
+    season = F.expr("try_cast(substring(source, 4) AS int)")
+    title = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
+    summary = F.substring(F.coalesce("text", F.lit("")), 1, 200)
+    return d.select("doc_id", season.alias("season"), F.col("doc_id").alias("number"), title.alias("title"), summary.alias("summary"), F.col("text").alias("description"))
+
+
+def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query, tokens."""
+    q = F.substring("text", 1, 80)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), q.alias("query"), T.tokens(q).alias("tokens"))
+
+
+@lru_cache(maxsize=8)
+def _built(app: str, sf_dir: str) -> dict:
+    return {}
+
+
+def built(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of a folder's documents, built once per application and kept as tables in the shared folder."""
+    kept = _built(spark.sparkContext.applicationId, sf_dir)
+    if "index" not in kept:
+        kept["index"] = index.build(tokenized(spark, sf_dir))
+    return kept["index"]
+
+
+def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, doc_id, pos: documents that hold a passage as it is, by doc_id.
+
+    A passage's rarest inner token (its first and last may be parts of words) leads to the candidates by equality;
+    passages without an inner token are few and are matched directly.
+    """
+    kept = _built(spark.sparkContext.applicationId, sf_dir)
+    if "gold" not in kept:
+        ix = built(spark, sf_dir)
+        items = table(spark, sf_dir, "benchmark").filter("text is not null").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+        toks = T.tokens(F.col("passage"))
+        inner = items.select("query_id", F.explode(F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))).alias("token"))
+        rarest = inner.join(ix.idf, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n_t", F.lit(0)), "token")).alias("token"))
+        met = rarest.join(ix.tf.select("token", "doc_id"), "token").select("query_id", "doc_id")
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        found = met.join(items, "query_id").join(docs, "doc_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
+        bare = items.join(rarest, "query_id", "left_anti")
+        found = found.unionByName(docs.join(bare, F.contains(docs["text"], bare["passage"])).select("query_id", "doc_id"))
+        listed = found.groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+        kept["gold"] = cut(listed.select("query_id", F.posexplode("ids").alias("p", "doc_id")).select("query_id", "doc_id", (F.col("p") + 1).cast("long").alias("pos")), "gold")
+    return kept["gold"]
+
+
+def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, embedding by the offline embedder."""
+    kept = _built(spark.sparkContext.applicationId, sf_dir)
+    if "vectors" not in kept:
+        ix = built(spark, sf_dir)
+        kept["vectors"] = cut(vector.embed(ix.tf, ix.idf, "doc_id", DIM), "vectors")
+    return kept["vectors"]
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = search.query_terms(asked(spark, sf_dir)).withColumnRenamed("m", "f")
+    return vector.embed(terms, built(spark, sf_dir).idf, "query_id", DIM)
+
+
+def vector_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, vectors) of the embeddings table."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), e.filter("vec_id >= 20").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+def ranked_by(spark: SparkSession, sf_dir: str, method: str, k: int = 5) -> DataFrame:
+    """query_id, doc_id, score, rank of a method by its id."""
+    q, ix = asked(spark, sf_dir), built(spark, sf_dir)
+    if method == "boolean":
+        return search.overlap(q, ix.tf.select("token", "doc_id"), k)
+    if method == "bm25":
+        return search.bm25(q, ix, k)
+    if method == "semantic":
+        return vector.cosine(query_vectors(spark, sf_dir), doc_vectors(spark, sf_dir), k)
+    if method == "ann":
+        return vector.lsh_search(query_vectors(spark, sf_dir), doc_vectors(spark, sf_dir), DIM, k)
+    if method == "fused":
+        sparse, dense = (ranked_by(spark, sf_dir, m, fusion.CANDIDATES) for m in ("bm25", "semantic"))
+        return fusion.hybrid(sparse, dense, q, tokenized(spark, sf_dir), ix.idf, k)
+    raise ValueError(f"unknown method {method!r}; known: boolean, bm25, semantic, ann, fused")
+
+
+def scored_methods(spark: SparkSession, sf_dir: str, methods=("boolean", "bm25", "semantic", "fused")) -> DataFrame:
+    """method, query_id, overlap and the metrics of every query."""
+    kept = _built(spark.sparkContext.applicationId, sf_dir)
+    if methods not in kept:
+        out, q = None, asked(spark, sf_dir).select("query_id")
+        keys = q.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+        for m in methods:
+            r = ranked_by(spark, sf_dir, m).select(F.lit(m).alias("method"), "query_id", "doc_id", "rank")
+            out = r if out is None else out.unionByName(r)
+        kept[methods] = cut(evaluate.metrics(out, gold_of(spark, sf_dir), keys), "metrics")
+    return kept[methods]
+
+
+# ---- SQL pieces --------------------------------------------------------------------------------------------------
+
+_TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+'), lambda t: t <> '_')"
+_TOK = f"tok AS (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM documents)"
+_TF = _TOK + """,
+    dl AS (SELECT doc_id, len(toks)::BIGINT AS len FROM tok),
+    tf AS (SELECT token, doc_id, count(*) AS f FROM (SELECT doc_id, unnest(toks) AS token FROM tok) GROUP BY token, doc_id),
+    st AS (SELECT count(*)::BIGINT AS n, sum(len)::DOUBLE / count(*) AS avgdl FROM dl),
+    dft AS (SELECT token, count(*) AS n_t FROM tf GROUP BY token),
+    rawt AS (SELECT token, n_t, ln(n - n_t + 0.5::DOUBLE) - ln(n_t + 0.5::DOUBLE) AS raw FROM dft, st),
+    idf AS (SELECT token, n_t, CASE WHEN raw >= 0 THEN raw ELSE 0.25::DOUBLE * (SELECT avg(raw) FROM rawt) END AS idf FROM rawt)"""
+_Q = f"""q AS (SELECT item_id AS query_id, {_TOKENS.format("substr(text, 1, 80)")} AS toks FROM benchmark),
+    qt AS (SELECT query_id, token, count(*) AS m FROM (SELECT query_id, unnest(toks) AS token FROM q) GROUP BY query_id, token)"""
+_BM25S = """bs AS (SELECT query_id, tf.doc_id, round(sum(m * idf * f * (1.25::DOUBLE + 1) / (f + 1.25::DOUBLE * (1 - 0.6::DOUBLE + 0.6::DOUBLE * len / avgdl))), 6) AS score
+      FROM qt JOIN idf USING (token) JOIN tf USING (token) JOIN dl ON tf.doc_id = dl.doc_id, st GROUP BY query_id, tf.doc_id)"""
+
+
+def _best(source: str, k: int, name: str) -> str:
+    return f"""{name} AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {source}) WHERE rank <= {k})"""
+
+
+_GOLD = """gold AS (SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS pos
+      FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
+_EMB = f"""slot AS (SELECT token, idf, h % {DIM} AS slot, CASE WHEN (h // {DIM}) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign
+      FROM (SELECT token, idf, ('0x' || substr(md5(token), 1, 6))::BIGINT AS h FROM idf)),
+    dw AS (SELECT doc_id, slot, sum(f * idf * sign) AS w FROM tf JOIN slot USING (token) GROUP BY doc_id, slot),
+    qw AS (SELECT query_id, slot, sum(m * idf * sign) AS w FROM qt JOIN slot USING (token) GROUP BY query_id, slot),
+    dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY doc_id),
+    qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY query_id),
+    dots AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS d FROM qw JOIN dw USING (slot) GROUP BY query_id, doc_id),
+    cs AS (SELECT query_id, doc_id, round(d / (qn.norm * dn.norm), 5) + 0.0::DOUBLE AS score FROM dots JOIN qn USING (query_id) JOIN dn USING (doc_id) WHERE qn.norm > 0 AND dn.norm > 0)"""
+_OVERLAP = "os AS (SELECT query_id, doc_id, sum(m)::BIGINT AS score FROM qt JOIN tf USING (token) GROUP BY query_id, doc_id)"
+_RRF = """rrf AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (10.0::DOUBLE + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM b50 UNION ALL SELECT query_id, doc_id, rank FROM c50) GROUP BY query_id, doc_id)"""
+_RERANK = """mass AS (SELECT query_id, sum(idf) AS mass FROM qt JOIN idf USING (token) GROUP BY query_id),
+    cov AS (SELECT c.query_id, c.doc_id, sum(CASE WHEN tf.token IS NOT NULL THEN idf ELSE 0.0::DOUBLE END) AS covered
+      FROM cand c JOIN qt USING (query_id) JOIN idf USING (token) LEFT JOIN tf ON tf.doc_id = c.doc_id AND tf.token = qt.token GROUP BY c.query_id, c.doc_id),
+    rs AS (SELECT c.query_id, c.doc_id, round(coalesce(covered / nullif(mass, 0), 0.0::DOUBLE), 6) AS score FROM cand c LEFT JOIN cov USING (query_id, doc_id) LEFT JOIN mass USING (query_id))"""
+_HYBRID = f"WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 50, 'b50')}, {_EMB}, {_best('cs', 50, 'c50')}, {_RRF}, {_best('rrf', 20, 'cand')}, {_RERANK}, {_best('rs', 5, 'f5')}"
+
+
+def _metrics_sql(keys: str, ret: str, gold: str = "gold", group: str = "method") -> str:
+    """CTE m of the metrics; keys(group, query_id), ret(group, query_id, doc_id, rank)."""
+    return f"""gs AS (SELECT query_id, count(DISTINCT doc_id) AS relevant, max(pos) AS length FROM {gold} GROUP BY query_id),
+    gr AS (SELECT query_id, doc_id, length - max(pos) + 1 AS grade, pow(2.0::DOUBLE, 1 - max(pos)) - pow(2.0::DOUBLE, -length) AS gain
+      FROM {gold} JOIN gs USING (query_id) GROUP BY query_id, doc_id, length),
+    ideal AS (SELECT query_id, sum(gain / log2(i + 1.0::DOUBLE)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS i FROM gr) WHERE i <= 5 GROUP BY query_id),
+    rh AS (SELECT r.*, gain, CASE WHEN gain IS NULL THEN 0 ELSE 1 END AS hit FROM {ret} r LEFT JOIN gr ON r.query_id = gr.query_id AND r.doc_id = gr.doc_id WHERE rank <= 5),
+    rc AS (SELECT *, sum(hit) OVER (PARTITION BY {group}, query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM rh),
+    per AS (SELECT {group}, query_id, count(*) AS n, sum(hit) AS overlap, sum(hit * hits::DOUBLE / rank) AS precisions, max(hit::DOUBLE / rank) AS mrr,
+      sum(coalesce(gain, 0.0::DOUBLE) / log2(rank + 1.0::DOUBLE)) AS dcg FROM rc GROUP BY {group}, query_id),
+    m AS (SELECT k.*, coalesce(overlap, 0)::BIGINT AS overlap, round(coalesce(overlap::DOUBLE / n, 0.0::DOUBLE), 6) AS p_at_k, round(coalesce(overlap::DOUBLE / relevant, 0.0::DOUBLE), 6) AS r_at_k,
+      round(coalesce(precisions / relevant, 0.0::DOUBLE), 6) AS ap, round(coalesce(mrr, 0.0::DOUBLE), 6) AS mrr, round(coalesce(dcg / nullif(idcg, 0), 0.0::DOUBLE), 6) AS ndcg
+      FROM {keys} k LEFT JOIN per USING ({group}, query_id) LEFT JOIN gs USING (query_id) LEFT JOIN ideal USING (query_id))"""
+
+
+_EVAL = f"""{_HYBRID}, {_OVERLAP}, {_best('os', 5, 'o5')}, {_best('bs', 5, 'b5')}, {_best('cs', 5, 'c5')}, {_GOLD},
+    ret AS (SELECT 'boolean' AS method, query_id, doc_id, rank FROM o5 UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM b5
+      UNION ALL SELECT 'semantic', query_id, doc_id, rank FROM c5 UNION ALL SELECT 'fused', query_id, doc_id, rank FROM f5),
+    keys AS (SELECT method, query_id FROM q, (VALUES ('boolean'), ('bm25'), ('semantic'), ('fused')) AS v(method)),
+    {_metrics_sql('keys', 'ret')}"""
+_MEANS = "mm AS (SELECT method, round(avg(p_at_k), 6) AS p_at_k, round(avg(r_at_k), 6) AS r_at_k, round(avg(ap), 6) AS ap, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY method)"
+
+
+# ---- corpus ------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT d.doc_id, d.source, l.quality, l.toxic, c.turn FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+    LEFT JOIN conversations c ON d.doc_id = c.conv_id""")
+def csv_merge_left(spark, sf_dir):
+    """Left joins on a key that repeats on the right."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn")
+    base = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return corpus.merge_left(base, table(spark, sf_dir, "labels"), turns, on="doc_id")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang IS NULL OR lang NOT IN ('de', 'es')")
+def exclude_filter(spark, sf_dir):
+    return corpus.exclude(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", ["de", "es"])
+
+
+@query("""SELECT season || 'x' || number AS doc_key, season, number FROM (SELECT try_cast(substr(source, 4) AS INT) AS season, doc_id AS number FROM documents)
+    ORDER BY season, number""")
+def doc_key_and_sort(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return d.select(corpus.document_key(F.col("season"), F.col("number")).alias("doc_key"), "season", "number").orderBy("season", "number")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def dedup_last_wins(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return corpus.dedup_last(e, "user_id", "event_id")
+
+
+_FIELDS = r"""f AS (SELECT doc_id, regexp_replace(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '^\s+', ''), '\s+$', '') AS t,
+      regexp_replace(regexp_replace(substr(coalesce(text, ''), 1, 200), '^\s+', ''), '\s+$', '') AS s,
+      regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS d FROM documents)"""
+_WEIGHTED = "t || ' ' || t || ' ' || t || ' ' || s || ' ' || s || ' ' || d"
+
+
+@query(f"WITH {_FIELDS} SELECT doc_id, length({_WEIGHTED})::INT AS n_weighted, md5({_WEIGHTED}) AS weighted_md5, md5(t || ' ' || d || ' ' || s) AS plain_md5 FROM f")
+def weighted_text(spark, sf_dir):
+    parts = [F.col(c) for c in ("title", "summary", "description")]
+    d = documents(spark, sf_dir).select("doc_id", T.weighted(*parts).alias("w"), T.plain(*parts).alias("p"))
+    return d.select("doc_id", F.length("w").alias("n_weighted"), F.md5(F.col("w").cast("binary")).alias("weighted_md5"), F.md5(F.col("p").cast("binary")).alias("plain_md5"))
+
+
+@query(f"WITH {_TOK} SELECT doc_id, len(toks)::INT AS n_tokens, len(list_distinct(toks))::INT AS n_distinct, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM tok")
+def tokenize(spark, sf_dir):
+    t = F.col("tokens")
+    return tokenized(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.md5(F.array_join(t, " ").cast("binary")).alias("tokens_md5"))
+
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
+
+
+@query(f"WITH {_TOK} SELECT doc_id, len(toks)::INT AS n_tokens, len(list_filter(toks, lambda t: t NOT IN ({_STOP})))::INT AS n_kept FROM tok")
+def stopword_removed_counts(spark, sf_dir):
+    d = tokenized(spark, sf_dir)
+    return d.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", lambda t: ~t.isin(*T.STOP_WORDS))).alias("n_kept"))
+
+
+@query()
+def stem_vocabulary(spark, sf_dir):
+    return T.stem_vocabulary(built(spark, sf_dir).idf)
+
+
+# ---- index -------------------------------------------------------------------------------------------------------
+
+_WPOST = f"""{_FIELDS}, wt AS (SELECT doc_id, {_TOKENS.format(_WEIGHTED)} AS toks FROM f), post AS (SELECT DISTINCT token, doc_id FROM (SELECT doc_id, unnest(toks) AS token FROM wt))"""
+
+
+def _weighted_postings(spark, sf_dir):
+    text = T.weighted(F.col("title"), F.col("summary"), F.col("description"))
+    return index.postings(documents(spark, sf_dir).select("doc_id", T.tokens(text).alias("tokens")))
+
+
+@query(f"WITH {_WPOST} SELECT token, doc_id FROM post")
+def inverted_index(spark, sf_dir):
+    return _weighted_postings(spark, sf_dir)
+
+
+@query(f"WITH {_WPOST} SELECT token, count(*) AS n_docs, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM post GROUP BY token")
+def index_posting_lists(spark, sf_dir):
+    ids = F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",")
+    return index.posting_lists(_weighted_postings(spark, sf_dir)).select("token", "n_docs", ids.alias("doc_ids"))
+
+
+@query(f"WITH {_TF} SELECT token, n_t FROM dft")
+def doc_frequency(spark, sf_dir):
+    return built(spark, sf_dir).idf.select("token", "n_t")
+
+
+@query(f"WITH {_TF} SELECT doc_id, len FROM dl")
+def doc_length(spark, sf_dir):
+    return built(spark, sf_dir).dl
+
+
+@query(f"WITH {_TF} SELECT token, n_t, round(idf, 6) AS idf FROM idf")
+def bm25_idf(spark, sf_dir):
+    return built(spark, sf_dir).idf.select("token", "n_t", F.round("idf", 6).alias("idf"))
+
+
+# ---- retrieval ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_TF}, {_Q}, {_OVERLAP}, {_best('os', 5, 'o5')} SELECT * FROM o5")
+def overlap_topk(spark, sf_dir):
+    return ranked_by(spark, sf_dir, "boolean")
+
+
+@query(f"WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 5, 'b5')} SELECT * FROM b5")
+def bm25_topk(spark, sf_dir):
+    return ranked_by(spark, sf_dir, "bm25")
+
+
+@query(f"""WITH {_TF}, {_Q}, {_BM25S}, al AS (SELECT q.query_id, dl.doc_id, coalesce(bs.score, 0.0::DOUBLE) AS score FROM q CROSS JOIN dl LEFT JOIN bs ON bs.query_id = q.query_id AND bs.doc_id = dl.doc_id
+      WHERE len(q.toks) > 0), {_best('al', 30, 'p30')} SELECT * FROM p30""")
+def bm25_topk_padded(spark, sf_dir):
+    return search.bm25(asked(spark, sf_dir), built(spark, sf_dir), 30, pad_zero=True)
+
+
+@query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) + 0.0::DOUBLE AS score
+      FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id >= 20), """ + _best("s", 5, "t") + " SELECT * FROM t")
+def cosine_topk(spark, sf_dir):
+    return vector.cosine(*vector_sets(spark, sf_dir))
+
+
+@query("""SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm,
+      round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) + 0.0::DOUBLE AS first FROM embeddings""")
+def l2_normalize(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.round(norm(F.col("embedding")), 5).alias("norm"), (F.round(normalized(F.col("embedding"))[0], 5) + 0.0).alias("first"))
+
+
+@query()
+def ann_lsh_topk(spark, sf_dir):
+    q, v = vector_sets(spark, sf_dir)
+    return vector.lsh_search(q, v, 64)
+
+
+@query()
+def ann_recall(spark, sf_dir):
+    q, v = vector_sets(spark, sf_dir)
+    return vector.recall(vector.lsh_search(q, v, 64), vector.cosine(q, v))
+
+
+@query(f"""WITH {_TF}, {_Q}, {_EMB} SELECT doc_id, slot::INT AS slot, round(w / norm, 4) + 0.0::DOUBLE AS value FROM dw JOIN dn USING (doc_id) WHERE norm > 0""")
+def embed_hash_tfidf(spark, sf_dir):
+    found = doc_vectors(spark, sf_dir).filter("embedding is not null").select("doc_id", F.posexplode("embedding").alias("slot", "x"))
+    ix = built(spark, sf_dir)
+    slots = ix.tf.join(vector.hash_slots(ix.idf.select("token"), DIM), "token").select("doc_id", F.col("slot").cast("int").alias("slot")).distinct()
+    return found.join(slots, ["doc_id", "slot"]).select("doc_id", "slot", (F.round("x", 4) + 0.0).alias("value"))
+
+
+@query(f"WITH {_TF}, {_Q}, {_EMB}, {_best('cs', 5, 'c5')} SELECT * FROM c5")
+def semantic_topk(spark, sf_dir):
+    return ranked_by(spark, sf_dir, "semantic")
+
+
+@query(f"WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 50, 'b50')}, {_EMB}, {_best('cs', 50, 'c50')}, {_RRF}, {_best('rrf', 5, 'r5')} SELECT * FROM r5")
+def rrf_fusion(spark, sf_dir):
+    sparse, dense = (ranked_by(spark, sf_dir, m, fusion.CANDIDATES) for m in ("bm25", "semantic"))
+    return search.top_k(fusion.rrf(sparse, dense), 5)
+
+
+@query(f"WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 20, 'cand')}, {_RERANK}, {_best('rs', 5, 'f5')} SELECT * FROM f5")
+def rerank_topk(spark, sf_dir):
+    best = ranked_by(spark, sf_dir, "bm25", fusion.RERANK)
+    return fusion.lexical_rerank(best, asked(spark, sf_dir), tokenized(spark, sf_dir), built(spark, sf_dir).idf, 5)
+
+
+@query(f"{_HYBRID} SELECT * FROM f5")
+def hybrid_search(spark, sf_dir):
+    return ranked_by(spark, sf_dir, "fused")
+
+
+@query(f"""WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 5, 'b5')}, r AS (SELECT query_id, rank, CASE WHEN rank = 5 THEN -doc_id - 1 ELSE doc_id END AS doc_id FROM b5)
+    SELECT r.query_id, r.rank, r.doc_id, coalesce(try_cast(substr(d.source, 4) AS INT), 0)::INT AS season, coalesce(d.doc_id, 0)::BIGINT AS number,
+      coalesce(split_part(d.text, chr(10), 1), 'Document ' || r.doc_id) AS title, coalesce(d.text, 'No metadata for this document.') AS description
+    FROM r LEFT JOIN documents d ON r.doc_id = d.doc_id""")
+def enrich_results(spark, sf_dir):
+    """Metadata of ranked documents; every fifth id is made unknown, to take the placeholders."""
+    r = ranked_by(spark, sf_dir, "bm25").withColumn("doc_id", F.when(F.col("rank") == 5, -F.col("doc_id") - 1).otherwise(F.col("doc_id")))
+    return corpus.enrich(r, documents(spark, sf_dir))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str(m) for m in METHODS) + ") AS v(id, name, speed)")
+def method_catalog(spark, sf_dir):
+    return spark.createDataFrame(METHODS, "id string, name string, speed string")
+
+
+# ---- evaluation --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_GOLD} SELECT query_id, doc_id, pos FROM gold")
+def query_gold_explode(spark, sf_dir):
+    return gold_of(spark, sf_dir)
+
+
+@query(f"{_EVAL} SELECT method, query_id, overlap, p_at_k, r_at_k, ap, mrr, ndcg FROM m")
+def metrics_per_query(spark, sf_dir):
+    return scored_methods(spark, sf_dir)
+
+
+@query(f"""WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 5, 'b5')}, {_GOLD},
+    g2 AS (SELECT query_id, doc_id, pos FROM gold UNION ALL SELECT query_id, min(doc_id), max(pos) + 1 FROM gold GROUP BY query_id),
+    ret AS (SELECT 'bm25' AS method, * FROM b5), keys AS (SELECT 'bm25' AS method, query_id FROM q), {_metrics_sql('keys', 'ret', 'g2')}
+    SELECT query_id, overlap, r_at_k, ndcg FROM m""")
+def metrics_ndcg_graded(spark, sf_dir):
+    """Gold lists that repeat their first document at the end: its last position grades it."""
+    gold = gold_of(spark, sf_dir)
+    again = gold.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"), (F.max("pos") + 1).alias("pos"))
+    keys = asked(spark, sf_dir).select("query_id", F.lit("bm25").alias("method"))
+    found = ranked_by(spark, sf_dir, "bm25").withColumn("method", F.lit("bm25"))
+    return evaluate.metrics(found, gold.unionByName(again), keys).select("query_id", "overlap", "r_at_k", "ndcg")
+
+
+@query(f"{_EVAL}, {_MEANS} SELECT * FROM mm")
+def macro_means(spark, sf_dir):
+    return evaluate.macro_means(scored_methods(spark, sf_dir))
+
+
+def _sweep_sql() -> str:
+    grid = ", ".join(f"({k1}::DOUBLE, {b}::DOUBLE)" for k1, b in GRID)
+    return f"""WITH {_TF}, {_Q}, {_GOLD}, grid AS (SELECT * FROM (VALUES {grid}) AS v(k1, b)),
+    met AS (SELECT query_id, tf.doc_id, m, idf, f, len, avgdl FROM qt JOIN idf USING (token) JOIN tf USING (token) JOIN dl ON tf.doc_id = dl.doc_id, st),
+    ss AS (SELECT k1, b, query_id, doc_id, round(sum(m * idf * f * (k1 + 1) / (f + k1 * (1 - b + b * len / avgdl))), 6) AS score FROM met, grid GROUP BY k1, b, query_id, doc_id),
+    ret AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, query_id ORDER BY score DESC, doc_id) AS rank FROM ss) WHERE rank <= 5),
+    keys AS (SELECT k1, b, query_id FROM q, grid), {_metrics_sql('keys', 'ret', group='k1, b')}
+    SELECT k1, b, round(avg(p_at_k), 6) AS p_at_k, round(avg(r_at_k), 6) AS r_at_k, round(avg(ap), 6) AS ap, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY k1, b"""
+
+
+@query(_sweep_sql())
+def bm25_sweep(spark, sf_dir):
+    """All 36 settings from one pass over the postings."""
+    q = asked(spark, sf_dir)
+    found = search.bm25_sweep(q, built(spark, sf_dir), GRID)
+    each = F.explode(F.array(*(F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")) for k1, b in GRID)))
+    keys = q.select("query_id", each.alias("g")).select("g.k1", "g.b", "query_id")
+    return evaluate.macro_means(evaluate.metrics(found, gold_of(spark, sf_dir), keys, group=("k1", "b")), "k1", "b")
+
+
+@query(f"{_EVAL}, {_MEANS} SELECT *, row_number() OVER (ORDER BY ndcg DESC, method) AS rank FROM mm")
+def method_ranking(spark, sf_dir):
+    return evaluate.ranking(evaluate.macro_means(scored_methods(spark, sf_dir)))
+
+
+def _scaled(m: str) -> str:
+    return f"({m} - min({m}) OVER ()) / nullif(max({m}) OVER () - min({m}) OVER (), 0)"
+
+
+@query(f"""{_EVAL}, {_MEANS}, sc AS (SELECT method, {', '.join(f'{_scaled(x)} AS {x}' for x in evaluate.METRICS)} FROM mm)
+    SELECT method, round(({' + '.join(f'coalesce({x}, 0.0::DOUBLE)' for x in evaluate.METRICS)}) / nullif({' + '.join(f'({x} IS NOT NULL)::INT' for x in evaluate.METRICS)}, 0), 6) AS overall FROM sc""")
+def overall_score(spark, sf_dir):
+    return evaluate.overall(evaluate.macro_means(scored_methods(spark, sf_dir)))
+
+
+@query(f"{_EVAL} SELECT method, count(*) AS n, round(avg(ndcg), 6) AS mean, min(ndcg) AS low, max(ndcg) AS high, round(stddev_samp(ndcg), 6) AS std FROM m GROUP BY method")
+def method_stats(spark, sf_dir):
+    return evaluate.stats(scored_methods(spark, sf_dir))
+
+
+# ---- answers -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 5, 'b5')} SELECT query_id, count(*) AS n_docs,
+      string_agg('Document ' || rank || ': ' || substr(d.text, 1, 800) || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS context
+    FROM b5 JOIN documents d ON b5.doc_id = d.doc_id GROUP BY query_id""")
+def rag_context(spark, sf_dir):
+    return rag.context(ranked_by(spark, sf_dir, "bm25"), table(spark, sf_dir, "documents"))
+
+
+@query()
+def rag_answer(spark, sf_dir):
+    return rag.answers(ranked_by(spark, sf_dir, "fused"), asked(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+# ---- graph -------------------------------------------------------------------------------------------------------
+
+
+def english(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+
+
+def graph_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(entities, co-occurrence triples), written once."""
+    kept = _built(spark.sparkContext.applicationId, sf_dir)
+    if "graph" not in kept:
+        ents = cut(graph.entities(english(spark, sf_dir)), "entities")
+        triples = graph.co_occurrences(ents).select("doc_id", "sent", "src", F.lit(graph.CO_OCCURS).alias("relation"), "dst")
+        kept["graph"] = (ents, cut(triples, "triples"))
+    return kept["graph"]
+
+
+_ENT_STOP = ", ".join(f"'{w}'" for w in graph.ENTITY_STOP)
+_ENTS = rf"""sn AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?]+\s+') AS ss FROM documents WHERE lang = 'en')),
+    rn AS (SELECT doc_id, sent, unnest(regexp_extract_all(s, '\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)*')) AS raw FROM sn),
+    cn AS (SELECT doc_id, sent, regexp_replace(trim(regexp_replace(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', ' ', 'g')), '^the ', '') AS name FROM rn),
+    ents AS (SELECT DISTINCT doc_id, sent::INT AS sent, name, CASE WHEN contains(name, ' ') THEN 'PERSON' WHEN length(name) >= 10 THEN 'ORGANIZATION' ELSE 'LOCATION' END AS label
+      FROM cn WHERE length(name) > 1 AND name NOT IN ({_ENT_STOP}))"""
+_TRIPLES = f"{_ENTS}, tr AS (SELECT a.doc_id, a.sent, a.name AS src, 'co_occurs_with' AS relation, b.name AS dst FROM (SELECT DISTINCT doc_id, sent, name FROM ents) a JOIN (SELECT DISTINCT doc_id, sent, name FROM ents) b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.name <> b.name)"
+_EDGES = f"{_TRIPLES}, ed AS (SELECT src, relation, dst, count(*) AS weight, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS episodes FROM (SELECT DISTINCT doc_id, src, relation, dst FROM tr) GROUP BY src, relation, dst)"
+_NODES = "nd AS (SELECT name, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, count(DISTINCT doc_id) AS episode_count FROM ents GROUP BY name)"
+_DEGREES = "dg AS (SELECT name, count(*) AS degree FROM (SELECT src AS name FROM ed UNION ALL SELECT dst FROM ed) GROUP BY name)"
+
+
+@query(f"WITH {_ENTS} SELECT doc_id, sent, name, label FROM ents")
+def kg_entities(spark, sf_dir):
+    return graph_inputs(spark, sf_dir)[0].select("doc_id", "sent", "name", "label")
+
+
+@query(f"WITH {_TRIPLES} SELECT src, dst, count(*) AS weight FROM tr GROUP BY src, dst")
+def kg_cooccurrence(spark, sf_dir):
+    return graph_inputs(spark, sf_dir)[1].groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+@query(f"WITH {_ENTS}, {_NODES} SELECT * FROM nd")
+def kg_nodes(spark, sf_dir):
+    return graph.nodes(graph_inputs(spark, sf_dir)[0])
+
+
+@query(f"WITH {_EDGES} SELECT src, relation, dst, weight, episodes FROM ed")
+def kg_edges(spark, sf_dir):
+    return graph.edges(graph_inputs(spark, sf_dir)[1])
+
+
+@query(f"WITH {_TRIPLES} SELECT src, relation, dst, count(*) AS freq FROM tr GROUP BY src, relation, dst")
+def kg_edge_freq(spark, sf_dir):
+    return graph.edge_frequency(graph_inputs(spark, sf_dir)[1])
+
+
+@query(f"WITH {_EDGES}, {_DEGREES} SELECT name, degree FROM dg ORDER BY degree DESC, name LIMIT 10")
+def kg_top_degree(spark, sf_dir):
+    return graph.degrees(graph.edges(graph_inputs(spark, sf_dir)[1])).orderBy(F.desc("degree"), "name").limit(10)
+
+
+@query(f"WITH {_EDGES}, {_DEGREES} SELECT src, relation, dst, weight FROM ed WHERE src IN (SELECT name FROM dg WHERE degree >= 3) AND dst IN (SELECT name FROM dg WHERE degree >= 3)")
+def kg_subgraph(spark, sf_dir):
+    return graph.subgraph(graph.edges(graph_inputs(spark, sf_dir)[1])).select("src", "relation", "dst", "weight")
+
+
+@query()
+def kg_relations_svo(spark, sf_dir):
+    return graph.relations(english(spark, sf_dir))
+
+
+@query(f"""WITH {_ENTS}, od AS (SELECT name, row_number() OVER (ORDER BY min(doc_id), name) AS seq FROM ents GROUP BY name),
+    pr AS (SELECT a.name, min_by(b.name, (least(a.seq, b.seq)::BIGINT) * 1000000000 + greatest(a.seq, b.seq)) AS target
+      FROM od a JOIN od b ON length(a.name) >= 4 AND length(b.name) > length(a.name) AND starts_with(b.name, a.name) GROUP BY a.name),
+    RC AS (SELECT 1) SELECT name, target FROM (
+      WITH RECURSIVE w(name, target) AS (SELECT name, target FROM pr UNION ALL SELECT w.name, pr.target FROM w JOIN pr ON pr.name = w.target)
+      SELECT name, target FROM w WHERE target NOT IN (SELECT name FROM pr))""")
+def kg_merge_prefix(spark, sf_dir):
+    """Names that begin a longer name, resolved along chains."""
+    return graph.merge_map(_node_order(spark, sf_dir), ratio=None)
+
+
+@query()
+def kg_merge_near_dup(spark, sf_dir):
+    return graph.merge_map(_node_order(spark, sf_dir))
+
+
+def _node_order(spark, sf_dir):
+    """name, seq in the order of first documents, as a distributed sort with row numbers from Spark's range partitions."""
+    first = graph_inputs(spark, sf_dir)[0].groupBy("name").agg(F.min("doc_id").alias("first")).orderBy("first", "name")
+    return cut(first.select("name", F.monotonically_increasing_id().alias("seq")), "order")
+
+
+@query(f"""WITH {_EDGES}, {_NODES}, {_DEGREES}, j AS (SELECT nd.name, labels, coalesce(degree, 0) AS degree FROM nd LEFT JOIN dg USING (name))
+    SELECT name, labels, CASE WHEN list_contains(string_split(labels, ','), 'PERSON') THEN '#e74c3c' WHEN list_contains(string_split(labels, ','), 'LOCATION') THEN '#2ecc71'
+      WHEN list_contains(string_split(labels, ','), 'ORGANIZATION') THEN '#3498db' ELSE '#95a5a6' END AS color,
+      floor(10 + coalesce((40 * degree)::DOUBLE / nullif(max(degree) OVER (), 0), 0.0::DOUBLE))::BIGINT AS size FROM j""")
+def kg_viz_nodes(spark, sf_dir):
+    ents, triples = graph_inputs(spark, sf_dir)
+    return graph.viz_nodes(graph.nodes(ents), graph.edges(triples))
+
+
+@query(f"WITH {_TRIPLES}, fq AS (SELECT src, relation, dst, count(*) AS freq FROM tr GROUP BY src, relation, dst) SELECT *, round(1 + (3 * freq)::DOUBLE / max(freq) OVER (), 6) AS width FROM fq")
+def kg_viz_edges(spark, sf_dir):
+    return graph.viz_edges(graph.edge_frequency(graph_inputs(spark, sf_dir)[1]))
+
+
+@query()
+def kg_graphml(spark, sf_dir):
+    ents, triples = graph_inputs(spark, sf_dir)
+    return files.graphml_lines(graph.nodes(ents), graph.edges(triples))
+
+
+# ---- sources and sinks -------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def csv_round_trip(spark, sf_dir):
+    """Two tables written as CSV, read with explicit schemas through the merge loader, and joined."""
+    path = fresh_path(spark, "csv")
+    files.write_csv(table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "r_regionkey").select("n_nationkey", "n_name", "r_regionkey"), f"{path}/nation")
+    files.write_csv(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), f"{path}/region")
+    sources = {f"{path}/nation": "n_nationkey int, n_name string, r_regionkey int", f"{path}/region": "r_regionkey int, r_name string"}
+    return files.load_merged(spark, f"{path}/merged", "", sources, "r_regionkey").select("n_nationkey", "n_name", "r_name")
+
+
+@query(f"WITH {_TOK} SELECT doc_id, len(toks)::INT AS n_tokens FROM tok")
+def json_round_trip(spark, sf_dir):
+    """Token arrays written as JSON text and parsed again."""
+    path = fresh_path(spark, "json")
+    files.write_json(tokenized(spark, sf_dir).select("doc_id", files.tokens_to_json().alias("tokens")), path)
+    found = spark.read.schema("doc_id long, tokens string").json(path)
+    return found.select("doc_id", F.size(files.tokens_from_json("tokens")).alias("n_tokens"))
+
+
+# ---- streaming (an extension) ------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, value FROM events)
+    SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY start, event_type""")
+def stream_daily_events(spark, sf_dir):
+    return incremental.events_query(spark, sf_dir)
+
+
+@query(f"WITH {_TF} SELECT token, count(*) AS n_t, sum(f)::BIGINT AS tf FROM tf GROUP BY token")
+def stream_index(spark, sf_dir):
+    return incremental.index_query(spark, sf_dir)
+
+
