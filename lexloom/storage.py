@@ -45,5 +45,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes in an Arrow batch between the JVM and Python workers. Spark's default of 64 MB is held several times over on
+#: both sides of each running task.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES, where it is higher; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    size = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now))
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
