@@ -43,8 +43,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERC
     out = out.withColumn("budget", F.sum("source_size").over(everything).cast("double") * budget_percent / 100)
     out = out.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
     out = out.withColumn("full", F.col("ratio") <= F.col("level"))
-    # the first source in order that is not full fixes the common level
-    out = out.withColumn("common", F.min(F.when(~F.col("full"), F.col("level"))).over(everything))
+    # the first source in order that is not full fixes the common level; the levels after it only fall
+    out = out.withColumn("common", F.max(F.when(~F.col("full"), F.col("level"))).over(everything))
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("w") * F.col("common"), F.col("cap")))
     return out.select("source", "source_size", target.alias("target"))
 
@@ -96,7 +96,7 @@ def oracle_rows(table: str, seed: str = SEED) -> str:
              (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
              / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wt),
     tg AS (SELECT source, source_size, CASE WHEN ratio <= level THEN cap ELSE
-             least(w * (SELECT min(level) FROM lv WHERE ratio > level), cap) END AS target FROM lv),
+             least(w * (SELECT max(level) FROM lv WHERE ratio > level), cap) END AS target FROM lv),
     rt AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM tg),
     mixed AS (SELECT s.doc_id, s.size, r.source_size, r.target,
         (floor(r.rate) + CASE WHEN ('0x' || substr(md5('{seed}:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE
