@@ -502,7 +502,7 @@ def graph_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return kept["graph"]
 
 
-_ENT_STOP = ", ".join(f"'{w}'" for w in graph.ENTITY_STOP)
+_ENT_STOP = ", ".join(f"'{w}'" for w in graph.ENTITY_STOP + graph.SENTENCE_STARTS)
 _ENTS = rf"""sn AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?]+\s+') AS ss FROM documents WHERE lang = 'en')),
     rn AS (SELECT doc_id, sent, unnest(regexp_extract_all(s, '\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)*')) AS raw FROM sn),
     cn AS (SELECT doc_id, sent, regexp_replace(trim(regexp_replace(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', ' ', 'g')), '^the ', '') AS name FROM rn),
@@ -577,8 +577,7 @@ def _node_order(spark, sf_dir):
 
 
 @query(f"""WITH {_EDGES}, {_NODES}, {_DEGREES}, j AS (SELECT nd.name, labels, coalesce(degree, 0) AS degree FROM nd LEFT JOIN dg USING (name))
-    SELECT name, labels, CASE WHEN list_contains(string_split(labels, ','), 'PERSON') THEN '#e74c3c' WHEN list_contains(string_split(labels, ','), 'LOCATION') THEN '#2ecc71'
-      WHEN list_contains(string_split(labels, ','), 'ORGANIZATION') THEN '#3498db' ELSE '#95a5a6' END AS color,
+    SELECT name, labels, CASE {' '.join(f"WHEN list_contains(string_split(labels, ','), '{label}') THEN '{c}'" for label, c in graph.COLOR_ORDER)} ELSE '{graph.OTHER_COLOR}' END AS color,
       floor(10 + coalesce((40 * degree)::DOUBLE / nullif(max(degree) OVER (), 0), 0.0::DOUBLE))::BIGINT AS size FROM j""")
 def kg_viz_nodes(spark, sf_dir):
     ents, triples = graph_inputs(spark, sf_dir)
