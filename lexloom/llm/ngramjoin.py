@@ -7,6 +7,8 @@ broadcast), then its hash. The order decides speed only; any fixed order gives e
 1. Candidates. Two sets of Jaccard similarity t share an n-gram among the rarest |x| - ceil(t |x|) + 1 of each
    (prefix filter), and their sizes lie in neighbouring bands of ratio t. So sets meet under (n-gram, band); the
    smallest set id there is the hub, and what is kept is (hub, set), not pairs: a group of g sets gives g rows.
+   N-grams whose estimate, an upper bound of their count, is at most COLD are grouped in one shuffle; for the
+   others only minima and maxima are aggregated, partially before the shuffle, and joined back.
    Then sets whose parity bitmaps rule out every partner under the hub leave it (the bits that differ between two
    bitmaps are at most as many as the n-grams that differ between the sets), and the sets that stay are gathered.
 2. Trees. All sets of a hub meet in blocks of bounded size. A block is a compressed trie, frequent n-grams first, so
@@ -31,9 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.storage import cut
+from lexloom.storage import bounded_batches, cut
+
+from .memory import released
 
 SKETCH_BITS, SLICES = 23, 16
+#: Occurrences up to which the rows of an n-gram may meet in one task.
+COLD = 4096
 #: Bits of the filter that picks the sets to gather; it passes some others, which the join then drops.
 FILTER_BITS = 25
 #: Sets and n-grams under one hub up to which the bitmap filter works; larger hubs keep all their sets.
@@ -113,13 +119,13 @@ def fingerprint(grams: np.ndarray) -> bytes:
 
 
 def node_id(fp: bytes) -> int:
-    return int.from_bytes(fp[:8], "big", signed=True)
+    """A short name of a set for the candidate search. Sets that share one are gathered together and told apart there."""
+    return int.from_bytes(fp[:5], "big")
 
 
 def _node(fp: str):
-    """node_id() as a native expression: the first 8 bytes as a signed number."""
-    high, low = (F.conv(F.hex(F.substring(fp, at, 4)), 16, 10).cast("long") for at in (1, 5))
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    """node_id() as a native expression."""
+    return F.conv(F.hex(F.substring(fp, 1, 5)), 16, 10).cast("long")
 
 
 def bucket(grams: np.ndarray) -> np.ndarray:
@@ -209,6 +215,7 @@ def streamed(df: DataFrame, keys: tuple[str, ...], f, schema: str) -> DataFrame:
         out += done()
         if out:
             yield batch(out)
+        released()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -239,11 +246,17 @@ def fingerprints(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
         none = pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary())
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        released()
 
     both = cut(docs.mapInArrow(made, "doc_id long, n long, fp binary, bits binary, slice int, blob binary"), "fingerprints")
     return both.filter("slice is null").select("doc_id", "n", "fp", "bits"), both.filter("slice is not null").select("slice", "blob")
 
 
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte, 8 times the binary logarithm, rounded up: a level never stands for less than its count."""
+    return np.minimum(255, np.ceil(8 * np.log2(1.0 + counts))).astype(np.uint8)
+
+
 def frequencies(parts: DataFrame) -> np.ndarray:
     """The corpus's sketch as one byte per bucket, 8 times the binary logarithm; each slice is summed as it streams."""
 
@@ -254,7 +267,7 @@ def frequencies(parts: DataFrame) -> np.ndarray:
                 counts = np.frombuffer(zlib.decompress(blob), np.uint32)
                 total[s] = total.get(s, 0) + counts.astype(np.uint64)
         if total:
-            level = [np.minimum(255, np.rint(8 * np.log2(1.0 + t))).astype(np.uint8).tobytes() for t in total.values()]
+            level = [level_of(t).tobytes() for t in total.values()]
             yield pd.DataFrame({"slice": list(total), "level": level})
 
     # a slice streams through one task, whatever the number of parts; it holds the sums only
@@ -266,18 +279,25 @@ def frequencies(parts: DataFrame) -> np.ndarray:
     return out
 
 
+#: The largest size that prefixes() tells from larger ones.
+MOST = (1 << 23) - 1
+
+
 def prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
-    """(token, nid, n, early): the rarest n-grams of each set, as many as the prefix filter needs; copies in a batch count once.
+    """(token, set, hot): the rarest n-grams of each set, as many as the prefix filter needs; copies in a batch count once.
 
     Of two linked sets the smaller shares one of its first |x| - ceil(2t / (1 + t) |x|) + 1 with the longer prefix
-    of the larger; early marks these, and an n-gram that is early for no set brings no sets together.
+    of the larger; early marks these, and an n-gram that is early for no set brings no sets together. set packs the
+    set's node_id (40 bits), its size (23 bits; sizes beyond count as the largest, which only lets more sets meet)
+    and early (1 bit), since these rows are most of what the join shuffles.
     """
-    schema = pa.schema([("token", pa.int64()), ("nid", pa.int64()), ("n", pa.int64()), ("early", pa.bool_())])
+    schema = pa.schema([("token", pa.int64()), ("set", pa.int64()), ("hot", pa.bool_())])
+    warm = level_of(np.array([COLD]))[0]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = order.value
         for b in batches:
-            seen, tokens, nids, sizes, roles, held = set(), [], [], [], [], 0
+            seen, tokens, sets, hot, held = set(), [], [], [], 0
             for text in _texts(b):
                 grams = gram_set(text, k)
                 n = len(grams)
@@ -285,34 +305,77 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
                     continue
                 seen.add(nid)
                 first = n - -(-num * n // den) + 1
-                rare = grams[np.argsort(level[bucket(grams)], kind="stable")[:first]]  # grams ascend: ties by hash
+                often = level[bucket(grams)]
+                at = np.argsort(often, kind="stable")[:first]  # grams ascend: ties by hash
+                rare = grams[at] >> np.uint64(16)  # shorter names of n-grams: those that share one meet more than they must
+                hot.append(often[at] > warm)
                 tokens.append(rare.view(np.int64))
-                nids.append(np.full(first, nid))
-                sizes.append(np.full(first, n))
-                roles.append(np.arange(first) < n - -(-2 * num * n // (den + num)) + 1)
+                early = np.arange(first) < n - -(-2 * num * n // (den + num)) + 1
+                sets.append((np.uint64(nid << 24 | min(n, MOST) << 1) | early.astype(np.uint64)).view(np.int64))
                 held += first
                 if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nids, sizes, roles)], schema=schema)
-                    tokens, nids, sizes, roles, held = [], [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sets, hot)], schema=schema)
+                    tokens, sets, hot, held = [], [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nids, sizes, roles)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sets, hot)], schema=schema)
+        released()
+
+    return docs.select("text").mapInArrow(made, "token long, set long, hot boolean")
 
-    return docs.select("text").mapInArrow(made, "token long, nid long, n long, early boolean")
+
+def bands(n, num: int, den: int):
+    """The size band of a native column; sizes within the ratio lie in one band or in neighbouring ones."""
+    if num == den:
+        return n.cast("long")
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(den / num) * (1 + 1e-9))))
+
+
+def met(tokens: np.ndarray, nids: np.ndarray, sizes: np.ndarray, early: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hub, nid, n) of whole groups of rows sorted by token: per token and run of sizes, each within the ratio of
+    the one before it, the smallest nid is the hub of the others; runs without an early row bring nothing together."""
+    order = np.lexsort((sizes, tokens))
+    tokens, nids, sizes, early = tokens[order], nids[order], sizes[order].astype(np.int64), early[order]
+    start = np.r_[True, (tokens[1:] != tokens[:-1]) | (num * sizes[1:] > den * sizes[:-1])]
+    run = np.cumsum(start) - 1
+    first = np.flatnonzero(start)
+    low, high = np.minimum.reduceat(nids, first), np.maximum.reduceat(nids, first)
+    ok = ((low < high) & np.logical_or.reduceat(early, first))[run]
+    return low[run][ok], nids[ok], sizes[ok]
 
 
 def hubs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, nid, n) with hub < nid, and (hub, hub, n): all sets that may link share a hub.
+    """(hub, nid, n) with hub < nid, and (hub, hub, n): all sets that may link share a hub."""
 
-    Only minima and maxima per n-gram are aggregated, partially before each shuffle, so no group is ever gathered.
-    """
-    shared = rows.groupBy("token").agg(F.min("nid").alias("a"), F.max("nid").alias("z"), F.max("early").alias("early")).filter("a < z and early").select("token")
-    rows = rows.join(shared, "token")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) * (1 + 1e-9))))
-    rows = cut(rows.withColumn("band", F.explode(F.array(band, band + 1))), "shared")
-    groups = rows.groupBy("token", "band").agg(F.min("nid").alias("hub"), F.max("nid").alias("z"), F.max("early").alias("any")).filter("hub < z and any").select("token", "band", "hub")
-    met = rows.join(groups, ["token", "band"])
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("hub", pa.int64()), ("nid", pa.int64()), ("n", pa.int64())])
+        held = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, bool)]
+        for b in batches:
+            packed = b.column("set").to_numpy(zero_copy_only=False).view(np.uint64)
+            fields = (packed >> np.uint64(24)).view(np.int64), (packed >> np.uint64(1) & np.uint64(MOST)).view(np.int64), (packed & np.uint64(1)).astype(bool)
+            got = [b.column("token").to_numpy(zero_copy_only=False), *fields]
+            held = [np.concatenate(x) for x in zip(held, got)]
+            last = int(np.searchsorted(held[0], held[0][-1]))  # its group may go on
+            if last:
+                out = met(*(x[:last] for x in held), num, den)
+                held = [x[last:] for x in held]
+                if len(out[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=schema)
+        if len(held[0]) and len((out := met(*held, num, den))[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=schema)
+        released()
+
+    few = rows.filter("not hot").select("token", "set").repartition("token").sortWithinPartitions("token")
+    few = few.mapInArrow(cold, "hub long, nid long, n long")
+    packed = F.col("set")
+    fields = F.shiftrightunsigned(packed, 24).alias("nid"), F.shiftright(packed, 1).bitwiseAND(MOST).alias("n"), (packed.bitwiseAND(1) == 1).alias("early")
+    many = rows.filter("hot").select("token", *fields)
+    shared = many.groupBy("token").agg(F.min("nid").alias("a"), F.max("nid").alias("z"), F.max("early").alias("any")).filter("a < z and any").select("token")
+    many = many.join(shared, "token")
+    band = bands(F.col("n"), num, den)
+    many = many.withColumn("band", F.explode(F.array(band, band + 1)))
+    groups = many.groupBy("token", "band").agg(F.min("nid").alias("hub"), F.max("nid").alias("z"), F.max("early").alias("any")).filter("hub < z and any").select("token", "band", "hub")
     # the hub's own row is among those that it meets
-    return met.select("hub", "nid", "n").distinct()
+    return few.unionByName(many.join(groups, ["token", "band"]).select("hub", "nid", "n")).distinct()
 
 
 def likely(members: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -320,7 +383,7 @@ def likely(members: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame
     load = members.groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("grams"))
     members = members.join(load, "hub")
     small = (F.col("c") <= FILTER_SETS) & (F.col("grams") <= FILTER_GRAMS)
-    maps = rows.filter("n > 0").groupBy("fp").agg(F.max("bits").alias("bits")).select(_node("fp").alias("nid"), "bits")
+    maps = rows.filter("n > 0").groupBy("fp").agg(F.max("bits").alias("bits"), F.max("n").alias("n")).select(_node("fp").alias("nid"), "n", "bits")
 
     def kept(g: dict) -> list[tuple]:
         hub = g["hub"][0]
@@ -330,7 +393,7 @@ def likely(members: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame
         ok |= np.array(g["nid"]) == hub  # the hub leads its blocks, linked or not
         return [(hub, nid, n) for nid, n, k in zip(g["nid"], g["n"], ok) if k]
 
-    found = streamed(members.filter(small).select("hub", "nid", "n").join(maps, "nid").select("hub", "nid", "n", "bits"), ("hub",), kept, "hub long, nid long, n long")
+    found = streamed(members.filter(small).select("hub", "nid").join(maps, "nid").select("hub", "nid", "n", "bits"), ("hub",), kept, "hub long, nid long, n long")
     return found.unionByName(members.filter(~small).select("hub", "nid", "n")).distinct()
 
 
@@ -381,7 +444,8 @@ def gathered(docs: DataFrame, k: int, wanted) -> DataFrame:
             if nids:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((nids, fps, grams), schema)], schema=schema)
 
-    return docs.select("text").mapInArrow(made, "nid long, fp binary, grams binary").dropDuplicates(["fp"])
+    # dealt by nid, as the join with the members needs them
+    return docs.select("text").mapInArrow(made, "nid long, fp binary, grams binary").repartition("nid").dropDuplicates(["nid", "fp"])
 
 
 class Trie:
@@ -419,11 +483,12 @@ class Trie:
             return len(self.nodes) - 1
 
         root = new(0, 0, 0)
-        path = [root]
+        path, leaves = [root], set()
         for i in range(n):
             depth = common[i]
             last = None
-            while self.nodes[path[-1]][1] > depth:
+            # up to the node that leaf i branches from; a leaf that ends there becomes a child of that node
+            while self.nodes[path[-1]][1] > depth or (path[-1] in leaves and self.nodes[path[-1]][1] == depth):
                 last = path.pop()
                 self.nodes[last][3] = i
             top = path[-1]
@@ -437,6 +502,7 @@ class Trie:
                 top = mid
             leaf = new(self.nodes[top][1], len(self.sets[i]), i)
             self.nodes[top][4].append(leaf)
+            leaves.add(leaf)
             path.append(leaf)
         while path:
             self.nodes[path.pop()][3] = n
@@ -524,9 +590,11 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int, order) -> Dat
                 rows += [(fps[s], fps[trie.order[j]]) for j in trie.walk(trie.sets[i], int(trie.label[i])) if j != i]
         return pd.DataFrame(rows, columns=["a", "b"])
 
-    walking = rest.join(full.select("hub", F.col("block").alias("from_block"), "blocks", "nid", "fp", "grams"), ["hub", "from_block", "nid"])
+    # only hubs of several blocks have sets left to walk, and blocks to walk through
+    several = full.filter("blocks > 1")
+    walking = rest.join(several.select("hub", F.col("block").alias("from_block"), "blocks", "nid", "fp", "grams"), ["hub", "from_block", "nid"])
     walking = walking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block != from_block")
-    there = rest.select("hub", "from_block").distinct().join(full.select("hub", "block", "fp", "grams"), "hub").filter("block != from_block")
+    there = rest.select("hub", "from_block").distinct().join(several.select("hub", "block", "fp", "grams"), "hub").filter("block != from_block")
     there = there.select(*(F.col(c).alias(c) for c in there.columns))  # columns of its own: both sides come from one table
     keys = ("hub", "from_block", "block")
     more = walking.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(crossed, "a binary, b binary")
@@ -564,10 +632,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     table gives an empty result. Other columns of docs are not read.
     """
     sc = docs.sparkSession.sparkContext
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows, parts = fingerprints(docs, k)
     order = sc.broadcast(frequencies(parts))
-    members = hubs(cut(prefixes(docs, k, num, den, order), "prefixes"), num, den)
+    members = cut(hubs(cut(prefixes(docs, k, num, den, order), "prefixes"), num, den), "met")
     members = cut(likely(members, rows, num, den), "hubs")
     wanted = sc.broadcast(bitmap(members))
     edges = links(members, gathered(docs, k, wanted), num, den, order)
