@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.storage import cut
+from lexloom.storage import bounded_batches, cut
 
 #: Distinct vectors in a shard, expected; queries that a task answers against one shard, expected.
 SHARD_ROWS, SLICE_QUERIES = 8192, 2048
@@ -301,6 +301,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, shard_rows: int =
     Rows with a null id or an unusable vector take no part. A repeated (id, vector) counts once; rows of one id
     are not each other's neighbours. Vectors meet those of their own dimension only. Empty table: empty result.
     """
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct()
     index, shards = build(rows, k, shard_rows)
     return search(index, shards, rows.filter(queries), k)

@@ -11,16 +11,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
+
+from lexloom.storage import bounded_batches
+
+from .memory import released
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Entries of a worker's caches, after which they start again.
-CACHE = 800_000
+#: Entries of each of a worker's two caches (pieces, and pairs of tokens); about 200 bytes an entry.
+CACHE = 600_000
+#: Characters of text after which a worker hands on the ids it holds.
+CHUNK_CHARS = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,30 +77,52 @@ def splitter():
     return _SPLIT[0]
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Pieces(dict):
-    """Ids of pieces as bytes, made where they are missing."""
+    """Ids of pieces as bytes, made where they are missing.
+
+    Two generations: a full young one becomes the old one, and what is asked for again comes back from there, so
+    that frequent pieces stay and at most codec.cache are held.
+    """
 
     def __init__(self, codec):
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        got = np.array(self.codec.encode_bytes(piece.encode("utf-8")), "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) > CACHE:
-                self.clear()
-            self[piece] = got
+        got = self.old.get(piece)
+        if got is None:
+            got = _packed(self.codec.encode_bytes(piece.encode("utf-8")))
+            if len(piece) > 64:
+                return got
+        if len(self) >= self.codec.cache // 2:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = 0):
         import ahocorasick
 
+        self.cache = cache or CACHE
+
         self.ranks = read_ranks(path)
         self.tokens: dict[int, bytes] = {r: t for t, r in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
+        self.size = {r: len(t) for r, t in self.tokens.items()}
         self.shorter: dict[int, int | None] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
@@ -125,7 +157,7 @@ class Codec:
         key = (left, right)
         if (known := self.fits.get(key)) is not None:
             return known
-        if len(self.fits) > CACHE // 2:
+        if len(self.fits) >= self.cache:
             self.fits.clear()
         parts, joined = self.parts, self.joined
         bound, answer = 1 << 62, True
@@ -153,32 +185,30 @@ class Codec:
         longest = [0] * n
         for end, (rank, size) in self.automaton.iter(data.decode("latin-1")):
             longest[end - size + 1] = rank  # ends ascend: the last one kept is the longest
-        tokens, shorter, fits, known = self.tokens, self.shorter, self.compatible, self.fits
+        size_of, shorter, known, fits = self.size, self.shorter, self.fits.get, self.compatible
         out: list[int] = []
-        alive = bytearray(b"\x01") * (n + 1)
-        at, token = 0, longest[0]
+        dead: set[int] = set()
+        at, token, last = 0, longest[0], None
         while True:
-            last = out[-1] if out else None
             while token is not None:
-                end = at + len(tokens[token])
-                if alive[end]:
+                end = at + size_of[token]
+                if end not in dead:
                     if last is None:
                         break
-                    ok = known.get((last, token))
-                    if fits(last, token) if ok is None else ok:
+                    ok = known((last, token))
+                    if ok or (ok is None and fits(last, token)):
                         break
                 token = shorter[token]
             if token is not None:
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = longest[at]
+                at, last, token = end, token, longest[end]
             else:
-                alive[at] = 0
-                out.pop()
-                at -= len(tokens[last])
-                token = last
+                dead.add(at)
+                token = out.pop()
+                at -= size_of[token]
+                last = out[-1] if out else None
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null as empty."""
@@ -194,35 +224,49 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One codec per worker and vocabulary."""
+    """One codec per worker and vocabulary, with its caches, from task to task."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]
 
 
-def tokenize(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """docs with ids (binary, little-endian unsigned 32-bit), n_tokens, and decoded (binary), which a decoder made of ids.
+def tokenize(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] | None = None, cache: int = 0) -> DataFrame:
+    """docs (or its columns in keep) with ids (binary, little-endian unsigned 32-bit), n_tokens, and round_trip: whether decoding gives the text back.
 
-    A narrow pass over whole texts; a worker holds a batch, the vocabulary and bounded caches. A null text has no
-    ids and decodes to no bytes. Repeated rows agree; an empty table gives an empty result; columns of docs with
-    the added names are replaced. The vocabulary is a file that every executor has at path.
+    A narrow pass over whole texts; a worker holds a batch, the vocabulary, bounded caches and the ids of about
+    CHUNK_CHARS characters of text. A null text has no ids and decodes to no bytes. Repeated rows agree; an empty
+    table gives an empty result; columns of docs with the added names are replaced. The vocabulary is a file that
+    every executor has at path. cache: entries of the caches of a codec that lives for a task only, where workers
+    share their executor's memory with other operators; 0 keeps a worker's codec with CACHE entries.
     """
     path = path or default_path()
-    rest = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
-
-    @F.pandas_udf("ids binary, n_tokens long, decoded binary")
-    def coded(texts: pd.Series) -> pd.DataFrame:
-        c = codec(path)
-        ids = [c.encode(t) for t in texts]
-        return pd.DataFrame({"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [c.decode(x) for x in ids]})
-
-    out = docs.select(*rest, coded(F.col(text)).alias("__bpe"))
-    return out.select(*rest, *(F.col(f"__bpe.{c}").alias(c) for c in ("ids", "n_tokens", "decoded")))
+    bounded_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip") and (keep is None or c in keep)]
+    kept = docs.select(*rest, F.col(text).alias("__text"))
+    schema = StructType([*docs.select(*rest).schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Codec(path, cache) if cache else codec(path)
+        for b in batches:
+            column, first, ids, same, held = b.column(len(rest)), 0, [], [], 0
+            for i in range(b.num_rows):
+                t = column[i].as_py()
+                ids.append(c.encode(t))
+                same.append(c.decode(ids[-1]) == (t or "").encode())
+                held += len(t or "")
+                if held > CHUNK_CHARS or i + 1 == b.num_rows:
+                    own = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*(x.slice(first, len(ids)) for x in b.columns[:-1]), *own], schema.names)
+                    first, ids, same, held = i + 1, [], [], 0
+        del c
+        released()
+
+    return kept.mapInArrow(coded, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the digest of tokenize(), made beside it so that no ids travel."""
     path = path or default_path()
+    bounded_batches(docs.sparkSession)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
@@ -233,6 +277,7 @@ def digests(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
                 rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
             out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             yield out.astype({"doc_id": "Int64"})
+        released()
 
     return docs.select(F.col("doc_id").cast("long"), text).mapInPandas(coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.storage import bounded_batches
+
 #: Elements whose tags end a block (HTML's block-level and table elements, and list and form parts).
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -417,6 +419,7 @@ def extract(pages: DataFrame, page: str = "html") -> DataFrame:
     """
     sent = pages.sparkSession.sparkContext.broadcast((field().w, field().t))
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
+    bounded_batches(pages.sparkSession)
 
     @F.pandas_udf("text string, n_chars long")
     def extracted(found: pd.Series) -> pd.DataFrame:

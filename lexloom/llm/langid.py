@@ -15,6 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.storage import bounded_batches
+
+from .memory import released
+
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
@@ -84,6 +88,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     Deterministic: the sample is drawn by hash of doc_id at the rate rows / (number of labelled rows), counts are
     integers. Its size: one vector of 2^BUCKET_BITS doubles per language.
     """
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.filter("lang is not null").select("doc_id", "text", "lang")
     n = labelled.count()
     if n > rows:
@@ -127,11 +132,14 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     gives an empty result; null or letterless text: 'und' with score 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([score_text(sent.value, t) for t in texts], columns=["lang_pred", "lang_score"])
+        out = pd.DataFrame([score_text(sent.value, t) for t in texts], columns=["lang_pred", "lang_score"])
+        released()
+        return out
 
     out = docs.select(*rest, scored(F.col(text)).alias("__lang"))
     return out.select(*rest, F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.lang_score").alias("lang_score"))

@@ -18,6 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.storage import bounded_batches
+
+from .memory import released
+
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -238,6 +242,7 @@ def find_secrets(docs: DataFrame, text: str = "text", redacted: bool = True) ->
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     rest = [c for c in docs.columns if c not in names]
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(SCHEMA)
     def scanned(texts: pd.Series) -> pd.DataFrame:
@@ -247,6 +252,7 @@ def find_secrets(docs: DataFrame, text: str = "text", redacted: bool = True) ->
             n = Counter(k for _, _, k in base)
             digest = hashlib.sha256(written(base).encode()).hexdigest()
             rows.append((n["assign"], n["access"], n["hex"], digest, written(spans), redact(t, spans) if redacted and t is not None else None))
+        released()
         return pd.DataFrame(rows, columns=names)
 
     out = docs.select(*rest, scanned(F.col(text)).alias("__found"))

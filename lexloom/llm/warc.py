@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.storage import cut, fresh_path
+from lexloom.storage import bounded_batches, cut, fresh_path
 
 CRLF = b"\r\n"
 EPOCH = "2024-01-01T00:00:00Z"
@@ -172,6 +172,8 @@ def write(pages: DataFrame, folder: str, url: str = "url") -> DataFrame:
     One or more archives per partition, rolled at ARCHIVE_BYTES of records; a writer holds a batch and zlib's state.
     """
 
+    bounded_batches(pages.sparkSession)
+
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = filesystem(folder)
         out, names, size = None, [], 0
