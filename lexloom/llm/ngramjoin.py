@@ -654,12 +654,22 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """
     found = cut(join(docs, k, num, den), "joined")
     per = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"), F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("first"))
-    kept = cut(per.filter("first = 1"), "kept")
-    single = docs.join(kept.filter("c = 1").select("doc_id"), "doc_id", "left_semi")
-    many = docs.join(kept.filter("c > 1").select("doc_id"), "doc_id", "left_semi")
-    rank = F.row_number().over(_by_text())
-    many = many.withColumn("__n", rank).filter("__n = 1").drop("__n")
-    return single.unionByName(many).unionByName(docs.filter("doc_id is null"))
+    per = cut(per.filter("c > 1 or coalesce(first, 0) = 0"), "special")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(per.select(F.col("doc_id").alias("nid"))))
+
+    @F.pandas_udf("boolean")
+    def special(ids: pd.Series) -> pd.Series:
+        at = ids.to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
+        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    # most rows are settled by the filter where they are; only those that it cannot tell meet the list by a join
+    ids = F.col("doc_id").cast("long")
+    listed = special(F.coalesce(ids, F.lit(-1)))  # without nulls, which would make the ids floats
+    plain = docs.filter(ids.isNull() | ~listed)
+    rest = docs.filter(ids.isNotNull() & listed).join(per.select("doc_id", F.col("c").alias("__c"), F.col("first").alias("__first")), "doc_id", "left")
+    single = rest.filter("__c is null")
+    many = rest.filter("__c > 1 and __first = 1").withColumn("__n", F.row_number().over(_by_text())).filter("__n = 1")
+    return plain.unionByName(single.select(*docs.columns)).unionByName(many.select(*docs.columns))
 
 
 def _by_text():

@@ -115,6 +115,13 @@ def test_keep_one(spark):
     assert got == sorted([(1, 2), (2, 3), (4, 4), (6, 6), (7, 7), (None, 5)], key=repr)
 
 
+def test_keep_one_with_large_ids(spark):
+    big = 1 << 60
+    rows = [(big + i, f"text number {i // 2} stands here for some words more", i, "x") for i in range(40)] + [(None, "lone", 99, "y")]
+    got = sorted(r.n for r in J.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [*range(0, 40, 2), 99]
+
+
 def test_trie_finds_all_links():
     rng = np.random.default_rng(5)
     level = np.zeros(1 << J.SKETCH_BITS, np.uint8)
