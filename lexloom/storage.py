@@ -47,7 +47,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 #: Bytes in an Arrow batch between the JVM and Python workers. Spark's default of 64 MB is held several times over on
 #: both sides of each running task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
