@@ -30,7 +30,7 @@ DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries of each of a worker's two caches (pieces, and pairs of tokens); about 200 bytes an entry.
 CACHE = 600_000
 #: Characters of text after which a worker hands on the ids it holds.
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
