@@ -35,6 +35,8 @@ HEAD = 3
 SAMPLES, SEED, ALPHA = 100, 20240229, 0.05
 #: Least log-likelihood ratio per character (natural log) of a reported candidate.
 THRESHOLD = 0.25
+#: Least characters of a candidate, and the fall of the ratio (over four unseen moves) that ends a walk inside a run.
+LEAST, FALL = 20, 40.0
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGITS
@@ -185,6 +187,55 @@ def score(word: str) -> tuple[str, float]:
     return best[0], (best[1].log_likelihood(word) - background(word)) / len(word)
 
 
+_STARTS: list[re.Pattern] = []
+_TAIL = re.compile("[A-Za-z0-9_-]*")
+
+
+def starts() -> re.Pattern:
+    """Matches, without using up text, where some automaton has a move for each of the first HEAD characters."""
+    if not _STARTS:
+        heads = set()
+        for a in automata().values():
+            ways = [("", 0)]
+            for _ in range(HEAD):
+                ways = [(w + s[1:], b) for w, q in ways for s, b in a.next[q].items() if s[0] == "=" and len(s) == 2]
+            heads |= {w for w, _ in ways}
+        _STARTS.append(re.compile("(?=" + "|".join(map(re.escape, sorted(heads))) + ")"))
+    return _STARTS[0]
+
+
+def longest(word: str, floor: float = 1e-4) -> int:
+    """Length of the likeliest beginning of the word that reaches THRESHOLD under some automaton, 0 if none does."""
+    best, length = 0.0, 0
+    for a in automata().values():
+        q, before, total, top = 0, "a", 0.0, 0.0
+        for i, c in enumerate(word):
+            s = symbol(c, i)
+            if i < HEAD and s not in a.next[q]:
+                break
+            plain = symbol(c, HEAD)
+            p = a.counts[q][s] / a.arrivals[q] if a.arrivals[q] else 0.0
+            total += math.log(max(p, floor) / width(s)) - math.log((0.5 * _BACKGROUND.get(plain, 0.002) + 0.5 * (plain == before)) / width(plain))
+            before, q = plain, a.next[q].get(s, q)
+            top = max(top, total)
+            if total < top - FALL:
+                break
+            ratio = total + math.log(max(a.ends[q] / max(1, a.arrivals[q]), floor)) - math.log(0.1)
+            if i + 1 >= LEAST and ratio >= THRESHOLD * (i + 1) and ratio > best:
+                best, length = ratio, i + 1
+    return length
+
+
+def inside(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Credentials of text[start:end] that begin as some format does, whatever they are glued to, up to the word's end."""
+    out, at = [], start
+    for m in starts().finditer(text, start, end):
+        if m.start() >= at and end - m.start() >= LEAST and (n := longest(text[m.start() : end])):
+            at = _TAIL.match(text, m.start() + n, end).end()
+            out.append((m.start(), at, "format"))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns, leftmost non-overlapping per kind; failing matches are dropped."""
     out = []
@@ -202,17 +253,23 @@ def _order(span: tuple[int, int, str]) -> tuple[int, int, int]:
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, all spans): candidates that no base span touches join if their format is likely enough."""
+    """(base spans, all spans): runs that no base span touches join if they are likely enough as a whole.
+
+    Of other runs, and between the base spans of a run, the credentials inside join.
+    """
     if not text:
         return [], []
     base = base_spans(text)
     more = []
     for m in CANDIDATE.finditer(text):
-        word = m[0]
-        if not any(c in _DIGITS for c in word) or any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        if score(word)[1] >= THRESHOLD:
+        touching = [(a, b) for a, b, _ in base if a < m.end() and m.start() < b]
+        if not touching and score(m[0])[1] >= THRESHOLD:
             more.append((m.start(), m.end(), "format"))
+            continue
+        at = m.start()
+        for a, b in [*touching, (m.end(), m.end())]:
+            more += inside(text, at, a)
+            at = max(at, b)
     return base, sorted(base + more, key=_order)
 
 

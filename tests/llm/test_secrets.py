@@ -40,6 +40,18 @@ def test_formats_are_found_and_words_are_not():
         assert S.score(w)[1] < S.THRESHOLD
 
 
+def test_glued_and_digitless_credentials_are_found():
+    for name, words in S.labelled(30, seed=7).items():
+        for w in words:
+            for before, after in (("GITHUB_PAT=", ""), ("?key=", "&x=1"), ("STRIPE=", "."), ("path/to/some.file/", "/more/path"), ("a" * 40 + "-", ""), ("deadbeef" * 3 + "/", "")):
+                text = before + w + after
+                assert any(k == "format" and a <= len(before) and b >= len(before + w) for a, b, k in S.scan(text)[1]), (name, text)
+    for w in ("glpat-abcdefghij_KLMNopqrst", "ghp_" + "abCDefGHijKLmnOPqrSTuvWXyzABcdEFghIJ", "sk_" + "live_AbCdEfGhIjKlMnOpQrStUvWx"):
+        assert [k for _, _, k in S.scan(f"see {w} here")[1]] == ["format"], w
+    for w in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "=" * 60, "." * 5000, "eyJ" * 5000 + "/", "org/example/some/very/long/path.html", "getNameOfTheLongestFunction"):
+        S.scan(w)
+
+
 def test_merging_makes_small_automata():
     for a in S.automata().values():
         reached, todo = {0}, [0]
