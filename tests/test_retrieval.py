@@ -197,3 +197,24 @@ def test_answers():
     dead = rag.HttpModel("http://127.0.0.1:9", "m", probe_timeout=0.2, timeout=0.2)
     assert not dead.available() and dead("q", "c") is None
     assert "Question: q" in rag.prompt("q", "c")
+
+
+def test_every_vector_is_asked_and_found_but_by_itself(spark):
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v / np.linalg.norm(v) for _, v in rows])
+    score = np.round(x @ x.T, 5)
+    got = __spark_entry__.queries()["ann_lsh_topk"](spark, sf).collect()
+    assert {r.query_id for r in got} == set(ids.tolist()) and not any(r.query_id == r.doc_id for r in got) and min(r.doc_id for r in got) < 20
+    at = {i: n for n, i in enumerate(ids.tolist())}
+    assert all(abs(r.score - score[at[r.query_id], at[r.doc_id]]) < 2e-5 for r in got)
+    found = {r.query_id: r for r in __spark_entry__.queries()["ann_recall"](spark, sf).collect()}
+    assert set(found) == set(ids.tolist()) and all(r.wanted == 5 for r in found.values())
+    hits = {i: set() for i in found}
+    for r in got:
+        hits[r.query_id].add(r.doc_id)
+    for i, r in found.items():
+        order = sorted((-score[at[i], at[j]], j) for j in ids.tolist() if j != i)[:5]
+        assert abs(r.hits - len(hits[i] & {j for _, j in order})) <= 1
