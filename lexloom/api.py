@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import mimetypes
+import os
+import urllib.parse
 from dataclasses import asdict, dataclass
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import corpus, fusion, index, rag, search, vector
+from lexloom.storage import cut
 
 METHODS = {"boolean": "Boolean", "bm25": "BM25", "semantic": "Semantic", "ann": "ANN", "fused": "Fused"}
 MIN_QUERY = 2
@@ -40,38 +44,60 @@ class Engine:
     spark: SparkSession
     docs: DataFrame
     lexical: index.Index
-    tokens: DataFrame
+    postings: DataFrame
     vectors: DataFrame
+    near: vector.LshIndex
     dim: int = 64
-    query_prefix: str = ""
+    query_prefix: str = vector.QUERY_PREFIX
+    stop_words: bool = True
 
     @classmethod
-    def build(cls, docs: DataFrame, dim: int = 64, query_prefix: str = "") -> Engine:
-        toks = docs.select("doc_id", T.tokens(T.plain(F.col("title"), F.col("summary"), F.col("description"))).alias("tokens"))
-        weighted = docs.select("doc_id", T.tokens(T.weighted(F.col("title"), F.col("summary"), F.col("description"))).alias("tokens"))
-        lexical = index.build(toks)
-        terms = weighted.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("f"))
-        return cls(docs.sparkSession, docs, lexical, toks, vector.embed(terms, lexical.idf, "doc_id", dim), dim, query_prefix)
+    def build(cls, docs: DataFrame, dim: int = 64, query_prefix: str = vector.QUERY_PREFIX, stop_words: bool = True, stem: bool = True) -> Engine:
+        """stop_words leaves stop words out of the index and of queries; stem indexes stems. Each can be turned off.
+
+        The inverted index and the vectors are of the weighted text, BM25 of the plain one.
+        """
+        fields = [F.col(c) for c in ("title", "summary", "description")]
+        lexical = index.build(docs.select("doc_id", T.terms(T.plain(*fields), stop_words).alias("tokens")), stem)
+        weighted = index.build(docs.select("doc_id", T.terms(T.weighted(*fields), stop_words).alias("tokens")), stem)
+        vectors = cut(vector.embed(weighted.tf, lexical.idf, "doc_id", dim), "vectors")
+        near = vector.LshIndex.build(vectors, dim)
+        return cls(docs.sparkSession, docs, lexical, weighted.tf.select("token", "doc_id"), vectors, near, dim, query_prefix, stop_words)
+
+    def save(self, path: str) -> None:
+        """Documents, indexes and vectors as tables below path, for load()."""
+        self.docs.write.mode("overwrite").parquet(f"{path}/documents")
+        self.lexical.save(f"{path}/lexical")
+        self.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/inverted_index")
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        self.near.save(f"{path}/near")
+        row = [(self.dim, self.query_prefix, self.stop_words)]
+        self.spark.createDataFrame(row, "dim int, query_prefix string, stop_words boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Engine:
+        docs, postings, vectors, settings = (spark.read.parquet(f"{path}/{t}") for t in ("documents", "inverted_index", "vectors", "settings"))
+        return cls(spark, docs, index.Index.load(spark, f"{path}/lexical"), postings, vectors, vector.LshIndex.load(spark, f"{path}/near"), *settings.first())
 
     def asked(self, queries: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
-        return rows.withColumn("tokens", T.tokens(F.col("query")))
+        return rows.withColumn("tokens", T.terms(F.col("query"), self.stop_words))
 
     def ranked(self, queries: list[str], method: str, k: int = 5) -> DataFrame:
         """query_id, doc_id, score, rank for a batch of queries."""
         q = self.asked(queries)
         if method == "boolean":
-            return search.overlap(q, self.lexical.tf.select("token", "doc_id"), k)
+            return search.overlap(q, self.postings, k, self.lexical.stem)
         if method == "bm25":
             return search.bm25(q, self.lexical, k)
         if method in ("semantic", "ann"):
             text = F.concat(F.lit(self.query_prefix if method == "ann" else ""), F.col("query"))
-            terms = search.query_terms(q.withColumn("tokens", T.tokens(text))).withColumnRenamed("m", "f")
+            terms = search.query_terms(q.withColumn("tokens", T.terms(text, self.stop_words)), self.lexical.stem).withColumnRenamed("m", "f")
             asked = vector.embed(terms, self.lexical.idf, "query_id", self.dim)
-            return vector.cosine(asked, self.vectors, k) if method == "semantic" else vector.lsh_search(asked, self.vectors, self.dim, k)
+            return vector.cosine(asked, self.vectors, k) if method == "semantic" else self.near.search(asked, k)
         if method == "fused":
             sparse, dense = (self.ranked(queries, m, fusion.CANDIDATES) for m in ("bm25", "semantic"))
-            return fusion.hybrid(sparse, dense, q, self.tokens, self.lexical.idf, k)
+            return fusion.hybrid(sparse, dense, q, self.lexical, k)
         raise ValueError(f"unknown method {method!r}")
 
     def search(self, query: str, method: str = "boolean", k: int = 5) -> list[dict]:
@@ -123,8 +149,18 @@ PAGE = (
 )
 
 
-def serve(engine: Engine, port: int = 5001) -> ThreadingHTTPServer:
-    """A server to run with serve_forever()."""
+def static_file(folder: str, path: str) -> tuple[str, bytes] | None:
+    """(content type, bytes) of a file below folder for a request path /static/..., None if there is none."""
+    base = os.path.realpath(folder)
+    wanted = os.path.realpath(os.path.join(base, urllib.parse.unquote(path.removeprefix("/static/").split("?")[0])))
+    if not wanted.startswith(base + os.sep) or not os.path.isfile(wanted):
+        return None
+    with open(wanted, "rb") as f:
+        return mimetypes.guess_type(wanted)[0] or "application/octet-stream", f.read()
+
+
+def serve(engine: Engine, port: int = 5001, static: str | None = None) -> ThreadingHTTPServer:
+    """A server to run with serve_forever(); static is a folder whose files are served below /static/."""
 
     class Handler(BaseHTTPRequestHandler):
         def _reply(self, status: int, kind: str, data: bytes) -> None:
@@ -137,6 +173,9 @@ def serve(engine: Engine, port: int = 5001) -> ThreadingHTTPServer:
         def do_GET(self):  # noqa: N802
             if self.path == "/":
                 return self._reply(200, "text/html; charset=utf-8", PAGE.encode())
+            if static and self.path.startswith("/static/"):
+                found = static_file(static, self.path)
+                return self._reply(200, *found) if found else self._reply(404, "text/plain", b"not found")
             status, out = handle(engine, "GET", self.path)
             self._reply(status, "application/json", json.dumps(out, default=str).encode())
 

@@ -1,4 +1,4 @@
-"""Command line: python -m lexloom.cli --mode eval|search|rag --data FOLDER [...]."""
+"""Command line: python -m lexloom.cli --mode eval|build|search|rag|serve --data FOLDER [...]."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from lexloom.api import METHODS, Engine, serve
-from lexloom.operators import evaluate, rag, search
+from lexloom.operators import corpus, evaluate, rag, search
 from lexloom.plans import catalog
 from lexloom.session import local_session, ship
 from lexloom.sources import files
@@ -15,8 +15,13 @@ from lexloom.sources import files
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lexloom", description=__doc__)
-    p.add_argument("--mode", choices=("eval", "search", "rag", "serve"), default="eval")
-    p.add_argument("--data", required=True, help="folder with documents.parquet and benchmark.parquet")
+    p.add_argument("--mode", choices=("eval", "build", "search", "rag", "serve"), default="eval")
+    p.add_argument("--data", help="folder with documents.parquet and benchmark.parquet")
+    p.add_argument("--index", help="folder of a built index: written by build, read by search, rag and serve")
+    p.add_argument("--keep-stop-words", action="store_true", help="index and ask stop words, too")
+    p.add_argument("--no-stems", action="store_true", help="index and ask tokens as they are written")
+    p.add_argument("--exclude", nargs="+", default=[], help="seasons that are left out of the corpus")
+    p.add_argument("--static", help="with serve: a folder whose files are served below /static/")
     p.add_argument("--query")
     p.add_argument("--search-method", choices=tuple(METHODS), default="boolean")
     p.add_argument("--sweep-bm25", action="store_true", help="with eval: a grid of k1 and b instead of the methods")
@@ -32,6 +37,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(argv)
     if a.mode in ("search", "rag") and not (a.query or "").strip():
         parser().error("--query is needed")
+    if not a.data and not (a.index and a.mode in ("search", "rag", "serve")):
+        parser().error("--data is needed")
+    if a.mode == "build" and not a.index:
+        parser().error("--index is needed")
     spark = spark or local_session(a.cpus)
     ship(spark)
     if a.mode == "eval":
@@ -48,9 +57,16 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             files.write_csv(out, a.output)
         out.show(100, truncate=False)
         return 0
-    engine = Engine.build(catalog.documents(spark, a.data))
-    if a.mode == "serve":
-        serve(engine, a.port).serve_forever()
+    if a.index and a.mode != "build":
+        engine = Engine.load(spark, a.index)
+    else:
+        docs = corpus.exclude(catalog.documents(spark, a.data), "season", a.exclude)
+        engine = Engine.build(docs, stop_words=not a.keep_stop_words, stem=not a.no_stems)
+    if a.mode == "build":
+        engine.save(a.index)
+        print(f"{a.index}: {engine.lexical.n} documents, {engine.lexical.idf.count()} tokens, recall {engine.near.measured:.3f} of the vector index on its sample")
+    elif a.mode == "serve":
+        serve(engine, a.port, a.static).serve_forever()
     elif a.mode == "rag":
         print(rag.report(engine.rag(a.query)))
     else:

@@ -31,9 +31,15 @@ def tokens(text: Column) -> Column:
 
 
 def content_tokens(text: Column, stop_words=STOP_WORDS) -> Column:
+    """tokens() without stop words."""
     return F.filter(tokens(text), lambda t: ~t.isin(*stop_words))
 
 
+def terms(text: Column, stop_words: bool = True) -> Column:
+    """Tokens of an index or a query: without stop words, or all of them."""
+    return content_tokens(text) if stop_words else tokens(text)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
@@ -58,10 +64,15 @@ def present(*parts: Column) -> Column:
     return F.concat_ws(" ", *(F.nullif(strip(p), F.lit("")) for p in parts))
 
 
-def stem_vocabulary(vocabulary, column: str = "token", extensions: bool = True):
-    """vocabulary(token) with stem: Python runs once per distinct token, not per occurrence."""
+def stemmed(token: Column, extensions: bool = True) -> Column:
+    """The stem of a token, for columns of few or distinct tokens."""
     @F.pandas_udf("string")
     def stems(words: pd.Series) -> pd.Series:
         return words.map(lambda w: None if w is None else stem(w, extensions))
 
-    return vocabulary.select(column).distinct().withColumn("stem", stems(F.col(column)))
+    return stems(token)
+
+
+def stem_vocabulary(vocabulary, column: str = "token", extensions: bool = True):
+    """vocabulary(token) with stem: Python runs once per distinct token, not per occurrence."""
+    return vocabulary.select(column).distinct().withColumn("stem", stemmed(F.col(column), extensions))

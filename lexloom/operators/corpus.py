@@ -12,14 +12,19 @@ def exclude(df: DataFrame, column: str, values) -> DataFrame:
     return df.filter(c.isNull() | ~c.isin(*map(str, values)))
 
 
+def within(df: DataFrame, season: int, last: int) -> DataFrame:
+    """The documents of one season up to a number: a slice of the corpus for a small graph."""
+    return df.filter((F.col("season") == season) & (F.col("number") <= last))
+
+
 def document_key(season: Column, number: Column) -> Column:
     """'{season}x{number}'; null if either is null."""
     return F.concat(season.cast("string"), F.lit("x"), number.cast("string"))
 
 
 def dedup_last(df: DataFrame, key: str, sequence: str) -> DataFrame:
-    """The last row of each key by sequence: a partial aggregate, not a window, so a hot key is reduced before its shuffle."""
-    last = F.max_by(F.struct(*df.columns), F.col(sequence))
+    """The last row of each key by sequence, ties by the whole row: a partial aggregate, not a window, so a hot key is reduced before its shuffle."""
+    last = F.max_by(F.struct(*df.columns), F.struct(sequence, *df.columns))
     return df.groupBy(F.col(key).alias("__key")).agg(last.alias("__row")).select("__row.*")
 
 

@@ -7,14 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import stem_vocabulary
 from lexloom.storage import cut
 
 EPSILON = 0.25
+#: Documents in a row of a posting list, expected.
+LIST_DOCS = 4096
 
 
 @dataclass(frozen=True)
 class Index:
-    """tf(token, doc_id, f, len), dl(doc_id, len), idf(token, n_t, idf), and the corpus's numbers."""
+    """tf(token, doc_id, f, len), dl(doc_id, len), idf(token, n_t, idf), and the corpus's numbers.
+
+    stem says that tokens are stems; queries are stemmed alike.
+    """
 
     tf: DataFrame
     dl: DataFrame
@@ -22,6 +28,7 @@ class Index:
     n: int
     avgdl: float
     avg_idf: float
+    stem: bool = False
 
     def save(self, path: str, buckets: int | None = None) -> None:
         """Parquet tables below path; postings sorted by token, so that a lookup skips row groups."""
@@ -29,7 +36,7 @@ class Index:
         self.dl.write.mode("overwrite").parquet(f"{path}/dl")
         self.idf.write.mode("overwrite").parquet(f"{path}/idf")
         spark = self.tf.sparkSession
-        spark.createDataFrame([(self.n, self.avgdl, self.avg_idf)], "n long, avgdl double, avg_idf double").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        spark.createDataFrame([(self.n, self.avgdl, self.avg_idf, self.stem)], "n long, avgdl double, avg_idf double, stem boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
@@ -42,26 +49,47 @@ def postings(tokenized: DataFrame) -> DataFrame:
     return tokenized.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).distinct().select("token", "doc_id")
 
 
-def posting_lists(post: DataFrame) -> DataFrame:
-    """(token, n_docs, doc_ids): the sorted list of each token, for export."""
-    return post.groupBy("token").agg(F.count("*").alias("n_docs"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+def listed(rows: DataFrame, keys: tuple[str, ...], size: int = LIST_DOCS) -> DataFrame:
+    """keys, n_docs, part, doc_ids: the distinct documents of each key as sorted lists of about `size` ids.
+
+    A key of n documents has ceil(n / size) parts, and a document's part goes by its MD5, so that no row grows with
+    the corpus. part counts from 0.
+    """
+    one = rows.select(*keys, "doc_id").distinct()
+    counts = one.groupBy(*keys).agg(F.count("*").alias("n_docs"))
+    number = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    parts = F.ceil(F.col("n_docs") / size).cast("long")
+    dealt = one.join(counts, list(keys)).withColumn("part", F.pmod(F.coalesce(number, F.lit(0)), parts))
+    return dealt.groupBy(*keys, "part").agg(F.first("n_docs").alias("n_docs"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+
+
+def posting_lists(post: DataFrame, size: int = LIST_DOCS) -> DataFrame:
+    """(token, part, n_docs, doc_ids): the sorted lists of each token, for export."""
+    return listed(post, ("token",), size)
 
 
 def raw_idf(n: int, n_t: Column) -> Column:
     return F.log(F.lit(float(n)) - n_t + 0.5) - F.log(n_t + 0.5)
 
 
-def build(tokenized: DataFrame) -> Index:
+def build(tokenized: DataFrame, stem: bool = False) -> Index:
     """Index of tokenized(doc_id, tokens), one row per document; documents without tokens count in n and avgdl.
 
     Frequencies are counted within each document's array, so the only shuffle of the postings is the one that
-    groups them by token for the document frequencies; two passes follow over the vocabulary alone.
+    groups them by token for the document frequencies; two passes follow over the vocabulary alone. stem=True merges
+    tokens of one stem: stems are made once per distinct token and joined to the counted postings.
     """
     dl = cut(tokenized.select("doc_id", F.size("tokens").cast("long").alias("len")), "dl")
     n, total = dl.agg(F.count("*"), F.sum("len")).first()
     counted = tokenized.select("doc_id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("token"))
-    tf = cut(counted.groupBy("token", "doc_id", "len").agg(F.count("*").alias("f")).select("token", "doc_id", "f", "len"), "tf")
+    tf = counted.groupBy("token", "doc_id", "len").agg(F.count("*").alias("f")).select("token", "doc_id", "f", "len")
+    if stem:
+        tf = cut(tf, "counted")
+        stems = cut(stem_vocabulary(tf), "stems")
+        merged = tf.join(stems, "token").groupBy(F.col("stem").alias("token"), "doc_id", "len").agg(F.sum("f").alias("f"))
+        tf = merged.select("token", "doc_id", "f", "len")
+    tf = cut(tf, "tf")
     df = cut(tf.groupBy("token").agg(F.count("*").alias("n_t")).withColumn("raw", raw_idf(n, F.col("n_t"))), "df")
     avg_idf = df.agg(F.avg("raw")).first()[0] or 0.0
     idf = df.select("token", "n_t", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.lit(EPSILON * avg_idf)).alias("idf"))
-    return Index(tf, dl, idf, n, (total or 0) / n if n else 0.0, avg_idf)
+    return Index(tf, dl, idf, n, (total or 0) / n if n else 0.0, avg_idf, stem)

@@ -97,6 +97,27 @@ def export_sqlite(df: DataFrame, path: str, table: str, batch: int = 10_000) ->
     con.close()
 
 
+def write_corpus(docs: DataFrame, postings: DataFrame, vectors: DataFrame, prefix: str = "", buckets: int = 0) -> None:
+    """The three managed tables of a corpus: documents, inverted_index(token, doc_id) and embeddings(doc_id, embedding).
+
+    Keys are checked first, since Spark's tables enforce none: doc_id is unique and not null in documents and
+    embeddings, token and doc_id are not null in the index, and both refer to documents. Any breach is an error.
+    """
+    for name, rows in (("documents", docs), ("embeddings", vectors)):
+        if rows.filter("doc_id is null").limit(1).count():
+            raise ValueError(f"a doc_id of {name} is null")
+        if rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+            raise ValueError(f"a doc_id of {name} repeats")
+    if postings.filter("token is null or doc_id is null").limit(1).count():
+        raise ValueError("a token or doc_id of inverted_index is null")
+    for name, rows in (("inverted_index", postings), ("embeddings", vectors)):
+        if rows.select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_anti").limit(1).count():
+            raise ValueError(f"{name} refers to a document that is not there")
+    write_table(docs, f"{prefix}documents", "doc_id", buckets=buckets)
+    write_table(postings, f"{prefix}inverted_index", "token", buckets=buckets)
+    write_table(vectors, f"{prefix}embeddings", "doc_id", buckets=buckets)
+
+
 def import_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
     with sqlite3.connect(path) as con:
         rows = con.execute(f'SELECT * FROM "{table}"').fetchall()
@@ -142,10 +163,23 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select(F.col("_id").alias("id"), as_map.alias("data")), edges.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), as_map.alias("data"))
 
 
+def write_network(viz_nodes: DataFrame, viz_edges: DataFrame, folder: str) -> None:
+    """A presented graph of any size as JSON lines below folder/nodes and folder/edges, for viewers that load parts."""
+    write_json(viz_nodes, f"{folder}/nodes")
+    write_json(viz_edges, f"{folder}/edges")
+
+
 def network_page(viz_nodes: DataFrame, viz_edges: DataFrame, title: str = "Entity graph", most: int = 2000) -> str:
-    """A stand-alone HTML page with a searchable list of nodes in their colours and their edges; for graphs up to `most` edges."""
-    nodes = [r.asDict() for r in viz_nodes.orderBy("name").limit(most).collect()]
-    edges = [r.asDict() for r in viz_edges.orderBy("src", "dst", "relation").limit(most).collect()]
+    """A stand-alone HTML page with a searchable list of nodes in their colours and their edges.
+
+    A page is for a graph that a browser can show: one of more than `most` nodes or edges is an error, not cut
+    short. subgraph() gives the densest part of a larger one, write_network() all of it.
+    """
+    for what, rows in (("nodes", viz_nodes), ("edges", viz_edges)):
+        if (n := rows.limit(most + 1).count()) > most:
+            raise ValueError(f"more than {most} {what} ({n} or more): take a subgraph, write_network() it, or raise `most`")
+    nodes = [r.asDict() for r in viz_nodes.orderBy("name").collect()]
+    edges = [r.asDict() for r in viz_edges.orderBy("src", "dst", "relation").collect()]
     data = json.dumps({"nodes": nodes, "edges": edges}, default=str).replace("</", "<\\/")
     return (
         f"<!DOCTYPE html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions.text import tokens
+from lexloom.sources.files import exists
 from lexloom.storage import fresh_path
 
 
@@ -24,6 +26,24 @@ def drained(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def latest(stream: DataFrame, path: str, keys: tuple[str, ...]) -> DataFrame:
+    """The last state of every key of an aggregation, those that are still open included.
+
+    Update mode gives a key out whenever it changes; a batch writes (or overwrites) its own folder, and the newest
+    row of a key counts. The watermark still drops state that cannot change any more.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    if not exists(stream.sparkSession, f"{path}/out"):
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/out")
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+    return newest.select("row.*")
+
+
 def index_stream(docs: DataFrame, path: str):
     """Write postings (token, doc_id, f, len) of a stream of documents(doc_id, text), a folder per batch.
 
@@ -48,12 +68,12 @@ def statistics(spark: SparkSession, path: str) -> DataFrame:
 def events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts per event type, by a stream over the events table read in a single pass.
 
-    Append mode gives a window out when the watermark has passed it; the last day stays in the state.
+    Windows that the watermark has not passed yet are part of the result, as they stand.
     """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     stream = raw.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    return drained(windowed(stream), fresh_path(spark, "stream"))
+    return latest(windowed(stream), fresh_path(spark, "stream"), ("start", "event_type"))
 
 
 def index_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,55 @@ def test_index(spark, ix, docs):
     assert lists["red"] == [1, 5] and lists["fox"] == [1, 2]
 
 
+def test_posting_lists_come_in_bounded_parts(spark):
+    post = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 7), ("b", 7)], "token string, doc_id long")
+    rows = index.posting_lists(post, 10).collect()
+    assert sorted(x for r in rows if r.token == "a" for x in r.doc_ids) == list(range(100)) and {r.n_docs for r in rows if r.token == "a"} == {100}
+    assert len([r for r in rows if r.token == "a"]) >= 8 and max(len(r.doc_ids) for r in rows) < 30
+    assert [(r.n_docs, r.part, r.doc_ids) for r in rows if r.token == "b"] == [(1, 0, [7])]
+
+
+STEMS = [(1, "running foxes run"), (2, "the runner runs"), (3, "a fox"), (4, None)]
+
+
+def test_stemmed_search_equals_a_plain_one(spark, tmp_path):
+    from lexloom.functions.stem import stem
+
+    d = spark.createDataFrame(STEMS, "doc_id long, text string").select("doc_id", T.terms(F.col("text")).alias("tokens"))
+    ix = index.build(d, stem=True)
+    plain = {i: [stem(w) for w in (t or "").split() if w not in T.STOP_WORDS] for i, t in STEMS}
+    assert {(r.token, r.doc_id, r.f, r.len) for r in ix.tf.collect()} == {(w, i, t.count(w), len(t)) for i, t in plain.items() for w in t}
+    ix.save(f"file://{tmp_path}/ix")
+    back = index.Index.load(spark, f"file://{tmp_path}/ix")
+    q = spark.createDataFrame([(0, "the run"), (1, "of the"), (2, "foxes running")], "query_id long, query string").withColumn("tokens", T.terms(F.col("query")))
+    assert {(r.query_id, r.doc_id, r.score) for r in search.overlap(q, back.tf.select("token", "doc_id"), stem=back.stem).collect()} == {(0, 1, 1), (0, 2, 1), (2, 1, 2), (2, 2, 1), (2, 3, 1)}
+    n, avgdl = len(plain), sum(map(len, plain.values())) / len(plain)
+    words = {w for t in plain.values() for w in t}
+    raw = {w: math.log(n - sum(w in t for t in plain.values()) + 0.5) - math.log(sum(w in t for t in plain.values()) + 0.5) for w in words}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    for r in search.bm25(q, back).collect():
+        t = plain[r.doc_id]
+        asked_for = [stem(w) for w in ("run",) if r.query_id == 0] or ["fox", "run"]
+        want = sum(idf[w] * t.count(w) * 2.25 / (t.count(w) + 1.25 * (0.4 + 0.6 * len(t) / avgdl)) for w in asked_for)
+        assert r.score == pytest.approx(want, abs=1e-6)
+
+
+def test_stemmed_queries_of_a_table(spark):
+    import __spark_entry__
+    from lexloom.functions.stem import stem
+
+    sf = "/root/testdata/sf0.001"
+    words = lambda t: [stem(w) for w in (x for x in __import__("regex").findall(T.TOKEN, (t or "").lower()) if x != "_") if w not in T.STOP_WORDS]
+    docs = {r.doc_id: set(words(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        q = words(r.text)
+        best = sorted((-sum(w in d for w in q), i) for i, d in docs.items() if any(w in d for w in q))[:5]
+        want |= {(r.item_id, i, -s) for s, i in best}
+    assert {(r.query_id, r.doc_id, r.score) for r in __spark_entry__.queries()["overlap_topk_stemmed"](spark, sf).collect()} == want
+    assert {r.stem for r in __spark_entry__.queries()["stem_vocabulary"](spark, sf).limit(500).collect()} and all(r.stem == stem(r.token) for r in __spark_entry__.queries()["stem_vocabulary"](spark, sf).collect())
+
+
 def test_index_round_trip(spark, ix, tmp_path):
     ix.save(f"file://{tmp_path}/ix")
     back = index.Index.load(spark, f"file://{tmp_path}/ix")
@@ -71,6 +120,28 @@ def test_bm25_padding_equals_an_exhaustive_ranking(spark, ix, k):
     assert got == [(i, d, s + 0.0) for i, d, s in want]
 
 
+def test_unmatched_grows_until_it_finds_enough(spark, monkeypatch):
+    monkeypatch.setattr(search, "PREFIX_IDS", 3)
+    ids = spark.createDataFrame([(i,) for i in range(200)], "doc_id long")
+    q = spark.createDataFrame([(0,), (1,), (2,), (3,)], "query_id long")
+    rows = [(0, i) for i in range(190)] + [(1, 0), (1, 2)] + [(2, i) for i in range(200)] + [(3, i) for i in range(0, 200, 2)]
+    got = search.unmatched(q, spark.createDataFrame(rows, "query_id long, doc_id long"), ids, 3).collect()
+    assert sorted(map(tuple, got)) == [(0, 190), (0, 191), (0, 192), (1, 1), (1, 3), (1, 4), (3, 1), (3, 3), (3, 5)]
+    assert search.unmatched(q, spark.createDataFrame([], "query_id long, doc_id long"), ids.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sweep_of_many_documents_equals_single_runs(spark, seed):
+    rng = np.random.default_rng(seed)
+    texts = [(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(1, 30)))) for i in range(80)]
+    ix = index.build(spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", T.tokens(F.col("text")).alias("tokens")))
+    q = asked(spark, "c d", "b", "e f g h c")
+    grid = [(0.5, 0.4), (1.25, 0.75), (2.0, 1.0)]
+    got = search.bm25_sweep(q, ix, grid)
+    for k1, b in grid:
+        assert ranks(got.filter((F.col("k1") == k1) & (F.col("b") == b)), "score") == ranks(search.bm25(q, ix, 5, k1, b), "score")
+
+
 def test_sweep_equals_single_runs(spark, ix):
     q = asked(spark, "red fox", "green bird")
     grid = [(0.5, 0.4), (2.0, 1.0)]
@@ -103,6 +174,43 @@ def test_lsh_recall(spark):
     assert vector.recall(vector.lsh_search(q, v, 64), vector.cosine(q, v)).agg(F.avg("recall")).first()[0] >= 0.85
 
 
+def test_lsh_index_of_clustered_vectors(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 3000)] + 0.3 * rng.normal(size=(3000, 32))
+    x[1000:2000] = x[0]  # a third are copies of one
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 32), (9002, [1.0])]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    vector.LshIndex.build(v, 32).save(f"file://{tmp_path}/ix")
+    ix = vector.LshIndex.load(spark, f"file://{tmp_path}/ix")
+    q = v.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    found, truth = ix.search(q, but_self=True), vector.cosine(q, v, but_self=True)
+    assert ix.measured >= 0.95 and vector.recall(found, truth).agg(F.avg("recall")).first()[0] >= 0.9
+    pairs, nodes = ix.candidates(q).count(), ix.nodes.count()
+    assert nodes == 2000 and pairs <= 0.2 * nodes * q.filter("size(embedding) = 32").count()
+    copies = found.filter("query_id = 1000").orderBy("rank").collect()
+    assert [r.doc_id for r in copies] == [0, 1001, 1002, 1003, 1004]
+
+
+def test_lsh_order_grows_with_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 8)))], "doc_id long, embedding array<double>")
+    assert vector.LshIndex.build(v, 8).order == 1
+    monkeypatch.setattr(vector, "BUCKET_ROWS", 4)
+    ix = vector.LshIndex.build(v, 8)
+    assert ix.order == 2
+    q = v.withColumnRenamed("doc_id", "query_id")
+    assert vector.recall(ix.search(q, but_self=True), vector.cosine(q, v, but_self=True)).agg(F.avg("recall")).first()[0] >= 0.85
+
+
+def test_rerank_pairs_have_the_parts_that_are_there(spark):
+    d = spark.createDataFrame([(1, "T", " ", "D"), (2, None, "S", "")], "doc_id long, title string, summary string, description string")
+    c = spark.createDataFrame([(0, 1), (0, 2), (0, 9)], "query_id long, doc_id long")
+    q = spark.createDataFrame([(0, "q")], "query_id long, query string")
+    assert {r.doc_id: r.text for r in fusion.rerank_pairs(c, q, d).collect()} == {1: "T D", 2: "S", 9: "9"}
+    assert fusion.model_rerank(fusion.rerank_pairs(c, q, d), lambda p: [float(len(t)) for _, t in p], 1).first().doc_id == 1
+
+
 def test_embedder_is_unit_length(spark, ix):
     for r in vector.embed(ix.tf, ix.idf, "doc_id", 16).collect():
         assert r.embedding is None or sum(x * x for x in r.embedding) == pytest.approx(1)
@@ -119,7 +227,7 @@ def test_rrf(spark):
 def test_rerank(spark, ix, docs):
     q = asked(spark, "red bird")
     cand = spark.createDataFrame([(0, 1), (0, 3), (0, 4), (0, 99)], "query_id long, doc_id long")
-    got = dict((d, s) for _, d, s in ranks(fusion.lexical_rerank(cand, q, docs, ix.idf, 5), "score"))
+    got = dict((d, s) for _, d, s in ranks(fusion.lexical_rerank(cand, q, ix, 5), "score"))
     assert got[4] == got[99] == 0.0 and 0 < got[1] < got[3] < 1 and got[1] + got[3] == pytest.approx(1, abs=1e-5)
     texts = cand.join(docs.select("doc_id", "text"), "doc_id").withColumn("query", F.lit("q"))
     assert ranks(fusion.model_rerank(texts, lambda pairs: [float(len(t or "")) for _, t in pairs], 1))[0][:2] == (0, 1)

@@ -47,12 +47,22 @@ def test_http(engine):
 
 def test_cli(spark, tmp_path, capsys):
     d = "/root/testdata/sf0.001"
-    assert cli.main(["--data", d, "--mode", "search", "--query", "the of", "--search-method", "bm25"], spark) == 0
-    assert cli.main(["--data", d, "--mode", "rag", "--query", "the of and"], spark) == 0
+    assert cli.main(["--data", d, "--mode", "search", "--query", "the of", "--search-method", "bm25", "--keep-stop-words", "--no-stems"], spark) == 0
+    assert cli.main(["--data", d, "--mode", "rag", "--query", "the of and", "--keep-stop-words"], spark) == 0
+    assert "1. [" in capsys.readouterr().out
+    built = f"file://{tmp_path}/built"
+    assert cli.main(["--data", d, "--mode", "build", "--index", built], spark) == 0
+    assert "documents" in capsys.readouterr().out
+    assert cli.main(["--index", built, "--mode", "search", "--query", "the of", "--search-method", "boolean"], spark) == 0
+    assert "1. [" not in capsys.readouterr().out  # stop words find nothing by default
+    word = spark.read.parquet(f"{built}/inverted_index").first()["token"]
+    for method in ("boolean", "ann"):
+        assert cli.main(["--index", built, "--mode", "search", "--query", word + " " + word, "--search-method", method], spark) == 0
     assert cli.main(["--data", d, "--sweep-bm25", "--k1-values", "1.0", "--b-values", "0.5", "0.6", "--output", f"file://{tmp_path}/s"], spark) == 0
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/s").count() == 2
-    with pytest.raises(SystemExit):
-        cli.main(["--data", d, "--mode", "search"], spark)
+    for bad in (["--data", d, "--mode", "search"], ["--mode", "eval"], ["--data", d, "--mode", "build"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad, spark)
     assert "1. [" in capsys.readouterr().out
 
 
@@ -92,6 +102,51 @@ def test_tables(spark, tmp_path):
         files.write_table(df.unionByName(df), "unused", "k", unique=True)
 
 
+def test_corpus_tables(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, title string")
+    post = spark.createDataFrame([("x", 1), ("y", 2)], "token string, doc_id long")
+    vectors = spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<double>")
+    files.write_corpus(docs, post, vectors, "t_", buckets=2)
+    assert spark.table("t_inverted_index").join(spark.table("t_documents"), "doc_id").count() == 2 and spark.table("t_embeddings").count() == 1
+    for t in ("documents", "inverted_index", "embeddings"):
+        spark.sql(f"DROP TABLE t_{t}")
+    stray = spark.createDataFrame([("x", 9)], "token string, doc_id long")
+    blank = spark.createDataFrame([(None, 1)], "token string, doc_id long")
+    for bad in ((docs.unionByName(docs), post, vectors), (docs, stray, vectors), (docs, blank, vectors), (docs, post, vectors.unionByName(vectors))):
+        with pytest.raises(ValueError):
+            files.write_corpus(*bad, "t_")
+
+
+def test_static_files(tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.css").write_text("b{}")
+    (tmp_path / "secret.txt").write_text("no")
+    assert api.static_file(f"{tmp_path}/s", "/static/a.css") == ("text/css", b"b{}")
+    for path in ("/static/none", "/static/../secret.txt", "/static/%2e%2e/secret.txt", "/static/"):
+        assert api.static_file(f"{tmp_path}/s", path) is None
+
+
+def test_open_windows_are_part_of_the_counts(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(datetime(2024, 1, d, 12), "a", float(d)) for d in (1, 1, 2)]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(f"file://{tmp_path}/ev")
+    read = lambda: incremental.windowed(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"file://{tmp_path}/ev"))
+    got = incremental.latest(read(), f"file://{tmp_path}/st", ("start", "event_type")).orderBy("start").collect()
+    assert [(r.n, r.total) for r in got] == [(2, 2.0), (1, 2.0)]
+    spark.createDataFrame([(datetime(2024, 1, 2, 13), "a", 5.0)], "ts timestamp, event_type string, value double").write.mode("append").parquet(f"file://{tmp_path}/ev")
+    got = incremental.latest(read(), f"file://{tmp_path}/st", ("start", "event_type")).orderBy("start").collect()
+    assert [(r.n, r.total) for r in got] == [(2, 2.0), (2, 7.0)]
+
+
+def test_changed_files_are_read_again(spark, tmp_path):
+    from lexloom.plans import catalog
+
+    for n in (1, 2):
+        spark.createDataFrame([(i, f"word{i} fox") for i in range(n)], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+        assert catalog.built(spark, f"file://{tmp_path}").n == n
+
+
 def test_streams(spark, tmp_path):
     files_dir = tmp_path / "docs"
     docs = spark.createDataFrame([(1, "a b a"), (2, None)], "doc_id long, text string")
