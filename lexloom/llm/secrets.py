@@ -248,6 +248,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=_order)
 
 
+def _union(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The disjoint intervals that spans, sorted by start, cover."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _order(span: tuple[int, int, str]) -> tuple[int, int, int]:
     return span[0], KINDS.index(span[2]), span[1]
 
@@ -260,9 +271,16 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     if not text:
         return [], []
     base = base_spans(text)
-    more = []
+    taken = _union(base)
+    more, first = [], 0
     for m in CANDIDATE.finditer(text):
-        touching = [(a, b) for a, b, _ in base if a < m.end() and m.start() < b]
+        # runs and taken intervals both ascend: one sweep over the two
+        while first < len(taken) and taken[first][1] <= m.start():
+            first += 1
+        touching, n = [], first
+        while n < len(taken) and taken[n][0] < m.end():
+            touching.append(taken[n])
+            n += 1
         if not touching and score(m[0])[1] >= THRESHOLD:
             more.append((m.start(), m.end(), "format"))
             continue
@@ -293,7 +311,7 @@ SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans st
 def find_secrets(docs: DataFrame, text: str = "text", redacted: bool = True) -> DataFrame:
     """docs with the counts and digest of base spans, all spans (kind:start:end, code points), and the redacted text.
 
-    A narrow pass over whole texts that holds one batch at a time. Null and empty texts have no spans (a null text
+    A narrow pass over whole texts that holds one batch at a time, linear in a text, however many secrets it has. Null and empty texts have no spans (a null text
     stays null when redacted); repeated rows agree; an empty table gives an empty result; columns of docs with the
     added names are replaced. redacted=False leaves that column null, and unread.
     """
