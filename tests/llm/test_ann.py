@@ -69,6 +69,46 @@ def test_one_vector_in_most_rows(spark):
     assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want if q % 3)  # ties by id
 
 
+@pytest.mark.parametrize("factor", [1e5, 1e200, 1e-200])
+def test_one_vector_of_another_length(spark, factor):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 24))
+    x[7] *= factor
+    rows = [(i, v.tolist(), "s") for i, v in enumerate(x)]
+    with np.errstate(over="ignore"):
+        got = collected(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), F.col("vec_id") % 20 == 0, 20, shard_rows=600))
+        assert recall(got, brute(rows, lambda i: i % 20 == 0)) >= 0.95
+
+
+def test_products_that_overflow(spark):
+    rows = [(0, [1e200, 1e200], "s"), (1, [1e200, 0.0], "s"), (2, [-1e200, 0.0], "s"), (3, [1e200, -1e200], "s"), (4, [1.0, 0.0], "s")]
+    got = collected(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), F.col("vec_id") == 0))
+    assert got[0][:2] == [(1, float("inf")), (4, 1e200)] and {i for i, _ in got[0]} <= {1, 2, 3, 4}
+
+
+def test_clustered_vectors_visit_few_shards(spark):
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(12, 32))
+    x = c[rng.integers(0, 12, 3000)] + 0.1 * rng.normal(size=(3000, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = ann.dealt(rows, 20, 250)
+    routed = ann.routes(ann.build(nodes, 20, f"{ann.fresh_path(spark, 'files')}"))
+    asked = rows.filter("vec_id % 20 = 0")
+    visits, ef, reached = ann.tuned(nodes, routed, asked, 20)
+    assert reached >= ann.WANTED and visits <= len(routed[32]["shard"]) / 3
+    assert sum(r.n for r in nodes.groupBy("shard").agg(F.count("*").alias("n")).collect()) == 3000
+    got = collected(ann.search(routed, asked, 20, ef, visits))
+    assert recall(got, brute([(i, v.tolist()) for i, v in enumerate(x)], lambda i: i % 20 == 0)) >= 0.95
+
+
+def test_shards_are_bounded_whatever_the_lengths(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 8)) * np.exp(rng.normal(0, 3, size=(2000, 1)))
+    nodes = ann.dealt(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 20, 300)
+    sizes = [r.n for r in nodes.groupBy("dim", "shard").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 600 and len(sizes) <= 60
+
+
 def test_empty(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
 
