@@ -106,6 +106,42 @@ def test_hard_rows(spark):
     assert some.count() == 0
 
 
+CLASH = ("lang_pred", "lang_score", "spans", "redacted", "n_assign", "size", "target", "copies", "taken", "source_size", "component_id", "n_shingles", "__n", "__copy", "ids", "__lang")
+
+
+def test_clashing_columns_keep_their_values(spark):
+    from lexloom.storage import cut
+
+    text = "the of and to in is a token = abcdefgh12345 and more words that are not repeated elsewhere "
+    rows = [(i, f"{text} number {i} " + " ".join(f"w{i}x{j}" for j in range(30)), "en", "s", 1, *(f"mine {c} {i}" for c in CLASH)) for i in range(1, 8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+    docs = spark.createDataFrame(rows, schema)
+    for name, f in P.STAGES[:-1]:
+        docs = cut(f(spark, docs, SF), name)
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")], name
+        got = docs.collect()
+        assert got and all(r[c] == f"mine {c} {r.doc_id}" for r in got for c in CLASH), name
+    assert P.STAGES[-1][1](spark, docs, SF).count() == len(got)
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in P.STAGES])
+def test_each_stage_on_hard_rows(spark, stage):
+    f = dict(P.STAGES)[stage]
+    long = "the of and to in is " * 5000
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, long, "en", "t", 1), (4, "the of and to in is for", "en", "s", 19), (4, "the of and to in is for", "en", "s", 19), (5, "a to the of and more other words here", None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert f(spark, docs.limit(0), SF).count() == 0
+    got = sorted(r.doc_id for r in f(spark, docs, SF).collect())
+    if stage == "language_id":
+        assert 1 not in got and 2 not in got and {3, 4} <= set(got)
+    elif stage == "near_duplicates":
+        assert got == [1, 2, 3, 4, 5]
+    elif stage in ("secret_scans", "bpe_encoding"):
+        assert got == [1, 2, 3, 4, 4, 5]
+    else:
+        assert set(got) <= {1, 2, 3, 4, 5} and got.count(4) % 2 == 0
+
+
 def test_guard():
     """The entry imports without the subpackage."""
     import subprocess
