@@ -15,7 +15,10 @@ broadcast), then its hash. The order decides speed only; any fixed order gives e
    that near copies share long paths. A set walks the trie with the overlap so far; a subtree ends when the
    overlap, plus what is left of the set or of the subtree's longest set, cannot reach what its smallest set needs,
    and when all its sets are already connected with the walking set. Verified links of a spanning forest come out.
-   Sets of a hub with several blocks that are not connected with the hub in their block walk the other blocks.
+   Where a hub has several blocks and sets that are not connected with it in their block, its sets meet again in
+   smaller groups: linked sets share l n-grams among the rarest |x| - ceil(t |x|) + l of each, so with l - 1 n-grams
+   set aside they still share one. Only groups that hold an unconnected set are formed. After SPLITS such rounds the
+   unconnected sets of groups that are still large walk the other blocks.
 3. Components by alternating large-star and small-star steps over the links, on the executors.
 
 Equal sets have one 128-bit fingerprint and are one node throughout.
@@ -37,15 +40,21 @@ from lexloom.storage import bounded_batches, cut
 
 from .memory import released
 
-SKETCH_BITS, SLICES = 23, 16
+#: Bits of the sketch: of at least SKETCH_BITS, growing with the rows, up to a broadcast of 32 MB.
+SKETCH_BITS, SKETCH_MOST, SLICES = 23, 25, 16
 #: Occurrences up to which the rows of an n-gram may meet in one task.
 COLD = 4096
-#: Bits of the filter that picks the sets to gather; it passes some others, which the join then drops.
-FILTER_BITS = 25
+#: Bits of the filter that picks the sets to gather (some others pass, and the join drops them): at least FILTER_BITS,
+#: eight per row, up to a broadcast of 128 MB.
+FILTER_BITS, FILTER_MOST = 25, 30
 #: Sets and n-grams under one hub up to which the bitmap filter works; larger hubs keep all their sets.
 FILTER_SETS, FILTER_GRAMS = 1 << 13, 1 << 27
 #: N-grams in a block, expected.
 BLOCK_GRAMS = 1 << 19
+#: Rounds in which the sets of large hubs meet again in smaller groups.
+SPLITS = 2
+#: Share of all rows from which on copies of a text count as a hot group; there are at most this many of them.
+HOT_GROUPS = 4096
 _CHUNK_BYTES = 4 << 20
 
 _RNG = np.random.default_rng(20240301)
@@ -128,8 +137,14 @@ def _node(fp: str):
     return F.conv(F.hex(F.substring(fp, 1, 5)), 16, 10).cast("long")
 
 
-def bucket(grams: np.ndarray) -> np.ndarray:
-    return ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def bits_for(rows: int, least: int, most: int, each: int) -> int:
+    """Bits of a structure of `each` positions per row, within bounds."""
+    return max(least, min(most, (max(1, rows) * each - 1).bit_length()))
+
+
+def bucket(grams: np.ndarray, size: int) -> np.ndarray:
+    """Positions in a sketch of a size that is a power of two."""
+    return ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
@@ -226,12 +241,12 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
     return (column[i].as_py() for i in range(len(column)))
 
 
-def fingerprints(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, fp, bits) of every row, sketch parts (slice, blob) of every task); one pass, written to the shared folder."""
+def fingerprints(docs: DataFrame, k: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n, fp, bits) of every row, parts (slice, blob) of every task of a sketch of that size); one pass, written to the shared folder."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("bits", pa.binary()), ("slice", pa.int32()), ("blob", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(size, np.uint32)
         for b in batches:
             n, fp, bits = [], [], []
             for text in _texts(b):
@@ -239,8 +254,7 @@ def fingerprints(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                 n.append(len(grams))
                 bits.append(np.packbits(parity(grams)).tobytes())
                 fp.append(fingerprint(grams))
-                at = bucket(grams)
-                np.add.at(counts, at, np.uint32(1))
+                np.add.at(counts, bucket(grams, size), np.uint32(1))
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bits, pa.binary()), *none], schema=schema)
         parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
@@ -257,7 +271,7 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.ceil(8 * np.log2(1.0 + counts))).astype(np.uint8)
 
 
-def frequencies(parts: DataFrame) -> np.ndarray:
+def frequencies(parts: DataFrame, size: int) -> np.ndarray:
     """The corpus's sketch as one byte per bucket, 8 times the binary logarithm; each slice is summed as it streams."""
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,10 +286,9 @@ def frequencies(parts: DataFrame) -> np.ndarray:
 
     # a slice streams through one task, whatever the number of parts; it holds the sums only
     found = parts.repartition(SLICES, "slice").mapInPandas(summed, "slice int, level binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    out, own = np.zeros(size, np.uint8), size // SLICES
     for r in found:
-        size = len(out) // SLICES
-        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["level"], np.uint8)
+        out[r["slice"] * own : (r["slice"] + 1) * own] = np.frombuffer(r["level"], np.uint8)
     return out
 
 
@@ -305,7 +318,7 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
                     continue
                 seen.add(nid)
                 first = n - -(-num * n // den) + 1
-                often = level[bucket(grams)]
+                often = level[bucket(grams, len(level))]
                 at = np.argsort(often, kind="stable")[:first]  # grams ascend: ties by hash
                 rare = grams[at] >> np.uint64(16)  # shorter names of n-grams: those that share one meet more than they must
                 hot.append(often[at] > warm)
@@ -397,25 +410,25 @@ def likely(members: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame
     return found.unionByName(members.filter(~small).select("hub", "nid", "n")).distinct()
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over ids(nid): bit nid mod 2^FILTER_BITS."""
-    part = (1 << FILTER_BITS) // SLICES
+def bitmap(ids: DataFrame, bits_: int = FILTER_BITS) -> np.ndarray:
+    """A filter of 2^bits_ positions, packed, over ids(nid): bit nid mod 2^bits_."""
+    part = (1 << bits_) // SLICES
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            at = b["nid"].to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
+            at = b["nid"].to_numpy(np.int64) & ((1 << bits_) - 1)
             for s in np.unique(at // part):
                 held.setdefault(int(s), np.zeros(part, bool))[at[at // part == s] % part] = True
         if held:
             yield pd.DataFrame({"slice": list(held), "bits": [np.packbits(x).tobytes() for x in held.values()]})
 
-    slice_of = F.floor(F.col("nid").bitwiseAND((1 << FILTER_BITS) - 1) / part)
+    slice_of = F.floor(F.col("nid").bitwiseAND((1 << bits_) - 1) / part)
     found = ids.select("nid").repartition(SLICES, slice_of).mapInPandas(bits, "slice int, bits binary").collect()
-    out = np.zeros(1 << FILTER_BITS, bool)
+    out = np.zeros((1 << bits_) // 8, np.uint8)
     for r in found:
-        out[r["slice"] * part : (r["slice"] + 1) * part] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).view(bool)
-    return np.packbits(out)
+        out[r["slice"] * part // 8 : (r["slice"] + 1) * part // 8] |= np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def gathered(docs: DataFrame, k: int, wanted) -> DataFrame:
@@ -424,13 +437,14 @@ def gathered(docs: DataFrame, k: int, wanted) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
+        most = len(bits) * 8 - 1
         for b in batches:
             seen, nids, fps, grams, held = set(), [], [], [], 0
             for text in _texts(b):
                 g = gram_set(text, k)
                 fp = fingerprint(g)
                 nid = node_id(fp)
-                at = nid & ((1 << FILTER_BITS) - 1)
+                at = nid & most
                 if not len(g) or not bits[at >> 3] >> (7 - (at & 7)) & 1 or fp in seen:
                     continue
                 seen.add(fp)
@@ -456,7 +470,7 @@ class Trie:
         self.num, self.den = num, den
         every = np.unique(np.concatenate(sets))
         rank = np.empty(len(every), np.int32)
-        rank[np.lexsort((every, -level[bucket(every)].astype(np.int16)))] = np.arange(len(every), dtype=np.int32)
+        rank[np.lexsort((every, -level[bucket(every, len(level))].astype(np.int16)))] = np.arange(len(every), dtype=np.int32)
         ranked = [np.sort(rank[np.searchsorted(every, s)]) for s in sets]
         keys = [r.astype(">i4").tobytes() for r in ranked]
         self.order = sorted(range(len(sets)), key=keys.__getitem__)
@@ -555,28 +569,76 @@ class Trie:
         return self.label[self.place[a]] == self.label[self.place[b]]
 
 
+def split(full: DataFrame, rest: DataFrame, skips: DataFrame, shared: int, num: int, den: int, order) -> tuple[DataFrame, DataFrame]:
+    """(members, skips) of smaller groups for the sets of groups that have unconnected ones.
+
+    Linked sets share `shared` n-grams among the rarest |x| - ceil(t |x|) + shared of each. `shared` - 1 are set
+    aside: those of the group's skips(gid, skip), and in the first round the one that most of the group has. Sets
+    meet under each of the others, if an unconnected set has it; sets too small for that meet under -1.
+    """
+    unconnected = rest.select("gid", "nid").distinct().withColumn("loose", F.lit(1))
+    own = full.filter("blocks > 1").select("gid", "nid", "n", "grams").dropDuplicates(["gid", "nid"])
+    own = own.join(unconnected.select("gid").distinct(), "gid", "left_semi").join(unconnected, ["gid", "nid"], "left")
+    schema = pa.schema([(c, pa.int64()) for c in ("gid", "token", "nid", "n", "loose")])
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = order.value
+        for b in batches:
+            for gid, nid, n, data, loose in zip(*(b.column(c).to_pylist() for c in ("gid", "nid", "n", "grams", "loose"))):
+                grams = np.frombuffer(data, np.uint64)
+                need = -(-num * len(grams) // den)
+                at = np.lexsort((grams, level[bucket(grams, len(level))]))[: len(grams) - need + shared]
+                found = grams[at].view(np.int64) if need >= shared else np.array([-1])
+                yield pa.RecordBatch.from_arrays([pa.array(found) if c == "token" else pa.array(np.full(len(found), v, np.int64)) for c, v in (("gid", gid), ("token", 0), ("nid", nid), ("n", n), ("loose", loose or 0))], schema=schema)
+
+    rows = cut(own.mapInArrow(tokens, "gid long, token long, nid long, n long, loose long"), "split")
+    # what all tasks agree on before sets meet: counts, partially aggregated
+    counts = cut(rows.groupBy("gid", "token").agg(F.count("*").alias("c"), F.min("nid").alias("lead"), F.max("loose").alias("any")).filter("c > 1"), "split-counts")
+    counts = counts.join(skips, "gid", "left").withColumn("skip", F.coalesce("skip", F.array().cast("array<long>")))
+    if shared == 2:
+        common = counts.filter("token != -1").groupBy("gid").agg(F.max_by("token", F.struct("c", "token")).alias("common"))
+        counts = counts.join(common, "gid", "left").withColumn("skip", F.when(F.col("common").isNull(), F.col("skip")).otherwise(F.array("common"))).drop("common")
+    groups = counts.filter((F.col("any") == 1) & ~F.array_contains("skip", F.col("token")))
+    groups = cut(groups.select("gid", "token", "lead", F.xxhash64("gid", "token").alias("next"), F.array_append("skip", F.col("token")).alias("skip")), "split-groups")
+    members = rows.join(groups.select("gid", "token", "lead", "next"), ["gid", "token"]).select(F.col("next").alias("gid"), "lead", "nid", "n")
+    return members, groups.select(F.col("next").alias("gid"), "skip")
+
+
 def links(members: DataFrame, sets: DataFrame, num: int, den: int, order) -> DataFrame:
     """(a, b): fingerprints of linked sets, at least a spanning forest of every component."""
-    blocks = members.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    members = members.join(blocks, "hub")
-    is_hub = F.col("hub") == F.col("nid")
-    block = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
-    members = members.withColumn("block", F.explode(F.when(is_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
-    full = cut(members.select("hub", "block", "blocks", "nid").join(sets, "nid"), "members")
 
     def grown(g: dict) -> list[tuple]:
-        """Rows: (a, b) of links; in a hub of several blocks also (hub, block, nid) of sets not connected with the hub."""
+        """Rows: (a, b) of links; in a group of several blocks also (gid, block, nid) of sets not connected with its lead."""
         fps, nids = g["fp"], g["nid"]
-        hub, at, many = g["hub"][0], g["block"][0], g["blocks"][0] > 1
+        gid, at, many = g["gid"][0], g["block"][0], g["blocks"][0] > 1
         trie = Trie([np.frombuffer(x, np.uint64) for x in g["grams"]], order.value, num, den)
-        first = nids.index(hub)
+        first = nids.index(g["lead"][0])
         rows = [(fps[i], fps[j], None, None, None) for i, j in trie.forest(first)]
         if many:
-            rows += [(None, None, hub, at, nids[i]) for i in range(len(nids)) if not trie.connected(first, i)]
+            rows += [(None, None, gid, at, nids[i]) for i in range(len(nids)) if not trie.connected(first, i)]
         return rows
 
-    found = cut(streamed(full, ("hub", "block"), grown, "a binary, b binary, hub long, block long, nid long"), "links")
-    rest = found.filter("nid is not null").select("hub", F.col("block").alias("from_block"), "nid")
+    def walked(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members with their blocks and sets, rows of grown()); the lead is in every block of its group."""
+        blocks = members.groupBy("gid").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
+        members = members.join(blocks, "gid")
+        block = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
+        block = F.when(F.col("lead") == F.col("nid"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+        full = cut(members.withColumn("block", F.explode(block)).select("gid", "lead", "block", "blocks", "nid", "n").join(sets, "nid"), "members")
+        found = streamed(full.select("gid", "lead", "block", "blocks", "nid", "fp", "grams"), ("gid", "block"), grown, "a binary, b binary, gid long, block long, nid long")
+        return full, cut(found, "links")
+
+    out, skips = None, members.sparkSession.createDataFrame([], "gid long, skip array<long>")
+    now = members.select(F.col("hub").alias("gid"), F.col("hub").alias("lead"), "nid", "n")
+    for shared in range(2, SPLITS + 3):
+        full, found = walked(now)
+        linked = found.filter("a is not null").select("a", "b")
+        out = linked if out is None else out.unionByName(linked)
+        rest = found.filter("nid is not null").select("gid", F.col("block").alias("from_block"), "nid")
+        if not rest.limit(1).count():
+            return out
+        if shared < SPLITS + 2:
+            now, skips = split(full, rest, skips, shared, num, den, order)
 
     def crossed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Walks of a block's unconnected sets through another block."""
@@ -590,15 +652,14 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int, order) -> Dat
                 rows += [(fps[s], fps[trie.order[j]]) for j in trie.walk(trie.sets[i], int(trie.label[i])) if j != i]
         return pd.DataFrame(rows, columns=["a", "b"])
 
-    # only hubs of several blocks have sets left to walk, and blocks to walk through
+    # only groups of several blocks have sets left to walk, and blocks to walk through
     several = full.filter("blocks > 1")
-    walking = rest.join(several.select("hub", F.col("block").alias("from_block"), "blocks", "nid", "fp", "grams"), ["hub", "from_block", "nid"])
+    walking = rest.join(several.select("gid", F.col("block").alias("from_block"), "blocks", "nid", "fp", "grams"), ["gid", "from_block", "nid"])
     walking = walking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block != from_block")
-    there = rest.select("hub", "from_block").distinct().join(several.select("hub", "block", "fp", "grams"), "hub").filter("block != from_block")
+    there = rest.select("gid", "from_block").distinct().join(several.select("gid", "block", "fp", "grams"), "gid").filter("block != from_block")
     there = there.select(*(F.col(c).alias(c) for c in there.columns))  # columns of its own: both sides come from one table
-    keys = ("hub", "from_block", "block")
-    more = walking.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(crossed, "a binary, b binary")
-    return found.filter("a is not null").select("a", "b").unionByName(more)
+    keys = ("gid", "from_block", "block")
+    return out.unionByName(walking.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(crossed, "a binary, b binary"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -634,17 +695,38 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     sc = docs.sparkSession.sparkContext
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows, parts = fingerprints(docs, k)
-    order = sc.broadcast(frequencies(parts))
+    total = docs.count()
+    size = 1 << bits_for(total, SKETCH_BITS, SKETCH_MOST, 32)
+    rows, parts = fingerprints(docs, k, size)
+    order = sc.broadcast(frequencies(parts, size))
     members = cut(hubs(cut(prefixes(docs, k, num, den, order), "prefixes"), num, den), "met")
     members = cut(likely(members, rows, num, den), "hubs")
-    wanted = sc.broadcast(bitmap(members))
+    wanted = sc.broadcast(bitmap(members, bits_for(total, FILTER_BITS, FILTER_MOST, 8)))
     edges = links(members, gathered(docs, k, wanted), num, den, order)
     roots = cut(components(edges), "components")
-    rows = rows.drop("bits").join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "fp").alias("root"))
-    least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return labelled(rows.drop("bits"), roots, total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def labelled(rows: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+    """doc_id, n, component_id of rows(doc_id, n, fp); roots(node, root) of the linked sets that are no roots.
+
+    Ids are reduced per set, then per root. Sets of one row that link with none are settled by themselves. Of the
+    others, the at most HOT_GROUPS sets that more than total / HOT_GROUPS rows share meet their rows by a broadcast;
+    the rest meet them by a join whose keys are all small. Empty sets take no part.
+    """
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    per = rows.filter("n > 0").groupBy("fp").agg(F.count("*").alias("c"), F.min("doc_id").alias("least"))
+    per = cut(per.join(roots, F.col("fp") == F.col("node"), "left").filter("c > 1 or root is not null").select("fp", "c", "least", "root"), "sets")
+    least = per.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"))
+    own = per.filter("root is null").select("fp", "c", F.col("least").alias("component"))
+    table = cut(own.unionByName(per.join(least, "root").select("fp", "c", "component")), "labels").withColumnRenamed("fp", "set")
+    hot = table.filter(F.col("c") > total / HOT_GROUPS).select("set", "component")
+    cold = table.filter(F.col("c") <= total / HOT_GROUPS).select("set", "component")
+    met = rows.join(F.broadcast(hot), F.col("fp") == F.col("set"), "left").withColumn("done", F.col("set").isNotNull()).drop("set")
+    settled = met.filter("done or n = 0").select("doc_id", "n", F.when(F.col("done"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    others = met.filter("not done and n > 0").drop("component").join(cold, F.col("fp") == F.col("set"), "left")
+    others = others.select("doc_id", "n", F.when(F.col("set").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return settled.unionByName(others)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -77,6 +77,40 @@ def test_blocks_and_unfiltered_hubs(spark, monkeypatch):
     assert result(J.join(spark.createDataFrame(rows, SCHEMA), 3, 80, 100)) == brute(rows, 3, 80)
 
 
+@pytest.mark.parametrize("splits, num, k", [(2, 80, 3), (1, 80, 3), (0, 80, 3), (2, 60, 1), (2, 90, 2)])
+def test_groups_of_many_blocks_meet_again(spark, monkeypatch, splits, num, k):
+    """Texts that share rare passages without being copies, and a few that link across blocks only."""
+    monkeypatch.setattr(J, "BLOCK_GRAMS", 120)
+    monkeypatch.setattr(J, "FILTER_SETS", 0)
+    monkeypatch.setattr(J, "SPLITS", splits)
+    rng = random.Random(splits + num)
+    shared = [f"s{i}" for i in range(9)]
+    rows = []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(rng.randrange(6, 14))]
+        rows.append((i, " ".join(shared + own), 0, ""))
+        if i % 4 == 0:
+            w = shared + own + ([f"e{i}"] if i % 8 else [])
+            rows.append((1000 + i, " ".join(w), 0, ""))
+    rows += [(2000 + i, w, 0, "") for i, w in enumerate(["s0", "s0 s1", "s0 s1 s2", "s1 s0", "S0"])]
+    assert result(J.join(spark.createDataFrame(rows, SCHEMA), k, num, 100)) == brute(rows, k, num)
+
+
+def test_hot_groups_and_empty_sets(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT_GROUPS", 4)
+    rows = [(i, "the same text stands here", 0, "") for i in range(100, 160)] + [(i, None if i % 2 else " ", 0, "") for i in range(40)] + [(i, f"text {i // 2} of two words each", 0, "") for i in range(60, 80)]
+    rows += [(None, "the same text stands here", 0, ""), (None, "", 0, "")]
+    assert result(J.join(spark.createDataFrame(rows, SCHEMA), 3, 90, 100)) == brute(rows, 3, 90)
+
+
+def test_sizes_grow_with_the_rows():
+    assert J.bits_for(0, 23, 25, 32) == 23 == J.bits_for(1 << 18, 23, 25, 32) and J.bits_for(1 << 19, 23, 25, 32) == 24 and J.bits_for(1 << 40, 23, 25, 32) == 25
+    grams = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    for bits in (5, 23, 25):
+        at = J.bucket(grams, 1 << bits)
+        assert at.min() >= 0 and at.max() < 1 << bits and len(np.unique(at)) > min(30, 1 << bits) - 3
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(40_000))
     rows = [(5, None, 1, "a"), (4, "", 1, "a"), (3, " \t\n", 1, "a"), (9, "one", 1, "a"), (2, "ONE", 1, "a"), (8, "one two", 1, "a"), (7, long, 1, "a"), (6, long + " end", 1, "a"),
