@@ -1,8 +1,8 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams, scored sparsely in numpy.
 
 Training counts the n-grams of a bounded hash sample of labelled rows on the executors; only one count vector per
-language reaches the driver. Prediction is a narrow pass: the log-probability matrix is broadcast, each text's
-n-grams index its rows, and their sum is the text's score.
+language reaches the driver. Prediction is a narrow pass: the log-probability matrix is broadcast, and the n-grams of
+a batch of texts, as a sparse matrix of texts by buckets, are multiplied with it at once.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 #: Expected number of labelled rows to fit on, drawn by hash of the row's id; the one sample of this operator.
 TRAIN_ROWS = 20_000
+#: Bytes of the log-probability matrix, at most; with more than 2,048 languages n-grams share fewer buckets.
+MATRIX_BYTES = 256 << 20
 UNDETERMINED = "und"
+#: Letters that are scored at once: those of many short texts, or a part of a long one.
 _CHUNK = 1 << 18
 _FACTORS = ((0x9E3779B1,), (0x85EBCA6B, 0xC2B2AE35), (0x27D4EB2F, 0x165667B1, 0xD3A2646D))
 _LETTERS: list[np.ndarray] = []
@@ -45,7 +48,7 @@ def letters_of(text: str | None) -> np.ndarray:
     return np.where(ok, codes, np.uint32(32)) if ok.any() else np.empty(0, np.uint32)
 
 
-def buckets(codes: np.ndarray, order: int) -> np.ndarray:
+def buckets(codes: np.ndarray, order: int, bits: int = BUCKET_BITS) -> np.ndarray:
     """The hash bucket of every n-gram of one order."""
     n = len(codes) - order + 1
     if n <= 0:
@@ -55,30 +58,35 @@ def buckets(codes: np.ndarray, order: int) -> np.ndarray:
         h += codes[k : k + n] * np.uint32(f)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return h >> np.uint32(32 - BUCKET_BITS)
+    return h >> np.uint32(32 - bits)
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def bits_for(langs: int) -> int:
+    """Bits of the buckets: BUCKET_BITS, fewer where the matrix of so many languages would not fit."""
+    return max(4, min(BUCKET_BITS, (MATRIX_BYTES // (4 * max(1, langs))).bit_length() - 1))
+
+
+def _counts(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     total: dict[str, list] = {}
     for b in batches:
         for lang, text in zip(b["lang"], b["text"]):
             codes = letters_of(text)
             if not len(codes):
                 continue
-            t = total.setdefault(lang, [0, np.zeros(1 << BUCKET_BITS, np.int64)])
+            t = total.setdefault(lang, [0, np.zeros(1 << bits, np.int64)])
             t[0] += 1
             for at in range(0, len(codes), _CHUNK):
                 for order in ORDERS:
-                    t[1] += np.bincount(buckets(codes[at : at + _CHUNK + order - 1], order), minlength=1 << BUCKET_BITS)
+                    t[1] += np.bincount(buckets(codes[at : at + _CHUNK + order - 1], order, bits), minlength=1 << bits)
     if total:
         rows = [(lang, n, zlib.compress(c.tobytes(), 1)) for lang, (n, c) in total.items()]
         yield pd.DataFrame(rows, columns=["lang", "n", "counts"])
 
 
 def _summed(b: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    total = np.int64(0)
     for c in b["counts"]:
-        total += np.frombuffer(zlib.decompress(c), np.int64)
+        total = total + np.frombuffer(zlib.decompress(c), np.int64)
     return pd.DataFrame({"lang": [b["lang"].iloc[0]], "n": [int(b["n"].sum())], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
@@ -86,22 +94,24 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     """Model of labelled (doc_id, text, lang); rows without a language or a letter teach nothing.
 
     Deterministic: the sample is drawn by hash of doc_id at the rate rows / (number of labelled rows), counts are
-    integers. Its size: one vector of 2^BUCKET_BITS doubles per language.
+    integers. Its size: one vector of 2^BUCKET_BITS floats per language, all of them at most MATRIX_BYTES: with more
+    languages than fit there are fewer buckets, not fewer languages.
     """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.filter("lang is not null").select("doc_id", "text", "lang")
-    n = labelled.count()
+    n, langs = labelled.agg(F.count("*"), F.countDistinct("lang")).first()
+    bits = bits_for(langs)
     if n > rows:
         draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30))
         labelled = labelled.filter(draw < int(rows / n * (1 << 30)))
     schema = "lang string, n long, counts binary"
-    parts = labelled.select("lang", "text").mapInPandas(_counts, schema)
+    parts = labelled.select("lang", "text").mapInPandas(lambda batches: _counts(batches, bits), schema)
     # two steps, so that no task gathers the vectors of more than a 64th of the tasks
     parts = parts.withColumn("k", F.pmod(F.spark_partition_id(), F.lit(64)))
     once = parts.groupBy("lang", "k").applyInPandas(lambda b: _summed(b), schema)
     found = once.groupBy("lang").applyInPandas(_summed, schema).orderBy("lang").collect()
     if not found:
-        return {"langs": [], "logp": np.zeros((1 << BUCKET_BITS, 0), np.float32), "prior": np.zeros(0)}
+        return {"langs": [], "logp": np.zeros((1 << bits, 0), np.float32), "prior": np.zeros(0)}
     counts = np.stack([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in found], axis=1) + SMOOTHING
     docs = np.array([r["n"] for r in found], float)
     return {
@@ -111,18 +121,72 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     }
 
 
-def score_text(model: dict, text: str | None) -> tuple[str, float]:
-    """(language, posterior probability); ('und', 0.0) for a text without letters or a model without languages."""
-    codes = letters_of(text)
-    if not len(codes) or not model["langs"]:
-        return UNDETERMINED, 0.0
-    total = model["prior"].copy()
-    for at in range(0, len(codes), _CHUNK):
+def _pieces(texts) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(text, letters, n-gram starts) of whole texts, long ones in pieces that overlap by an n-gram's length less one."""
+    for i, text in enumerate(texts):
+        codes = letters_of(text)
+        for at in range(0, len(codes), _CHUNK):
+            yield i, codes[at : at + _CHUNK + max(ORDERS) - 1], min(_CHUNK, len(codes) - at)
+
+
+def scores(model: dict, texts) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of log-probabilities [texts, languages], whether a text has letters).
+
+    N-grams of many texts are hashed together; those that would run over a text's end are left out. Each text's
+    n-grams are the column indices of its row of a sparse matrix, and the product with the log-probability matrix
+    is a sum by segments of the rows that they name.
+    """
+    texts = list(texts)
+    total = np.tile(model["prior"], (len(texts), 1))
+    known = np.zeros(len(texts), bool)
+    bits = int(model["logp"].shape[0]).bit_length() - 1
+
+    def add(held: list) -> None:
+        owner = np.array([i for i, _, _ in held])
+        size = np.array([len(c) for _, c, _ in held])
+        begins = np.array([n for _, _, n in held])
+        known[owner] = True
+        codes = np.concatenate([c for _, c, _ in held])
+        start = np.repeat(np.cumsum(size) - size, size)
+        place = np.arange(len(codes)) - start
+        whole, limit = np.repeat(size, size), np.repeat(begins, size)
         for order in ORDERS:
-            got = buckets(codes[at : at + _CHUNK + order - 1], order)
-            total += model["logp"].take(got, axis=0).sum(axis=0, dtype=np.float64)
-    best = int(np.argmax(total))
-    return model["langs"][best], float(1.0 / np.exp(total - total[best]).sum())
+            got = buckets(codes, order, bits)
+            ok = ((place + order <= whole) & (place < limit))[: len(got)]
+            row = np.repeat(np.arange(len(held)), size)[: len(got)][ok]
+            if not len(row):
+                continue
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            sums = np.add.reduceat(model["logp"].take(got[ok], axis=0), first, axis=0, dtype=np.float64)
+            np.add.at(total, owner[row[first]], sums)
+
+    held, letters = [], 0
+    for piece in _pieces(texts):
+        held.append(piece)
+        letters += len(piece[1])
+        if letters >= _CHUNK:
+            add(held)
+            held, letters = [], 0
+    if held:
+        add(held)
+    return total, known
+
+
+def decided(model: dict, texts) -> tuple[list[str], np.ndarray]:
+    """(languages, posterior probabilities); 'und' and 0.0 for a text without letters or a model without languages."""
+    texts = list(texts)
+    if not model["langs"]:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    total, known = scores(model, texts)
+    best = total.argmax(axis=1)
+    posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True, initial=-np.inf)).sum(axis=1)
+    return [model["langs"][x] if k else UNDETERMINED for x, k in zip(best, known)], np.where(known, posterior, 0.0)
+
+
+def score_text(model: dict, text: str | None) -> tuple[str, float]:
+    """decided() of one text."""
+    lang, score = decided(model, [text])
+    return lang[0], float(score[0])
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -137,9 +201,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([score_text(sent.value, t) for t in texts], columns=["lang_pred", "lang_score"])
+        langs, score = decided(sent.value, texts)
         released()
-        return out
+        return pd.DataFrame({"lang_pred": langs, "lang_score": score})
 
     out = docs.select(*rest, scored(F.col(text)).alias("__lang"))
     return out.select(*rest, F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.lang_score").alias("lang_score"))

@@ -66,6 +66,65 @@ def test_scores_match_a_plain_computation(spark, model):
     assert langid.score_text(model, text)[0] == model["langs"][int(total.argmax())]
 
 
+def plain_grams(text):
+    """Bucket numbers of all n-grams, by Python's integers."""
+    clean = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    if not clean.strip():
+        return []
+    out, word = [], (1 << 32) - 1
+    for factors in langid._FACTORS:
+        for i in range(len(clean) - len(factors) + 1):
+            h = sum(ord(c) * f for c, f in zip(clean[i:], factors)) & word
+            h ^= h >> 15
+            out.append((h * 0x2C1B3C6D & word) >> 17)
+    return out
+
+
+def test_fit_and_scores_equal_a_plain_naive_bayes(spark):
+    """Training and prediction of a table recomputed with counters and sums of logarithms."""
+    import math
+    from collections import Counter
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    grams = {i: Counter(plain_grams(t)) for i, t, _ in docs}
+    counts, rows = {}, Counter()
+    for i, t, lang in docs:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2 and grams[i]:
+            rows[lang] += 1
+            counts.setdefault(lang, Counter()).update(grams[i])
+    size = 1 << 15
+    total = {x: sum(c.values()) + 0.5 * size for x, c in counts.items()}
+    got = {r.doc_id: r for r in langid.query(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        if not grams[i]:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        value = {x: math.log(rows[x] / sum(rows.values())) + sum(n * math.log((counts[x][g] + 0.5) / total[x]) for g, n in grams[i].items()) for x in counts}
+        best = max(sorted(value), key=value.get)
+        posterior = 1 / sum(math.exp(v - value[best]) for v in value.values())
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(posterior, abs=1e-2)
+
+
+def test_batches_equal_single_texts(model, monkeypatch):
+    texts = ["der die das", None, "", "x", "où est le", "1 2", "the of " * 500, "à", "and in is that" * 40]
+    whole = [langid.score_text(model, t) for t in texts]
+    for chunk in (1 << 18, 7, 64):
+        monkeypatch.setattr(langid, "_CHUNK", chunk)
+        langs, score = langid.decided(model, texts)
+        assert langs == [x for x, _ in whole] and score == pytest.approx([s for _, s in whole])
+
+
+def test_many_languages_keep_the_matrix_small(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 1 << 12)
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    m = langid.fit(docs)
+    assert m["logp"].nbytes <= 1 << 12 and len(m["langs"]) == 3
+    got = langid.predict(docs, m).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.8 * len(got)
+
+
 def test_training_sample_is_bounded_and_stable(spark):
     docs = spark.createDataFrame(rows() * 3, SCHEMA)
     a, b = langid.fit(docs, rows=60), langid.fit(docs.repartition(5), rows=60)
