@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import uuid
 import zlib
@@ -127,13 +128,13 @@ def _chunks(f) -> Iterator[bytes]:
         yield block
 
 
-def normalise(source: str, target: str) -> list[tuple[int, int, str]]:
+def normalise(source: str, target: str) -> int:
     """Rewrite the archive at source as one member per record at target, with the index beside it (target + '.idx').
 
-    Returns the index: (offset, length, record id). The index file has a JSON line per record.
+    The index file has a JSON line per record: offset, length, id. Returns the number of records; none is held.
     """
     (fs1, p1), (fs2, p2) = filesystem(source), filesystem(target)
-    index, at = [], 0
+    records, at = 0, 0
     with fs1.open_input_stream(p1, compression=None) as f, fs2.open_output_stream(p2, compression=None) as out, fs2.open_output_stream(p2 + ".idx", compression=None) as idx:
         for data in records_of(_chunks(f)):
             deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -141,9 +142,9 @@ def normalise(source: str, target: str) -> list[tuple[int, int, str]]:
             rid = next(x for x in data[: data.find(CRLF + CRLF)].split(CRLF) if x.startswith(b"WARC-Record-ID:")).split(b": ", 1)[1].decode()
             out.write(member)
             idx.write(json.dumps({"offset": at, "length": len(member), "id": rid}).encode() + b"\n")
-            index.append((at, len(member), rid))
+            records += 1
             at += len(member)
-    return index
+    return records
 
 
 def with_revisits(pages: DataFrame, page: str = "html", least: int = 0) -> DataFrame:
@@ -206,20 +207,40 @@ def _int(v) -> int | None:
 
 
 def normalise_all(archives: DataFrame, folder: str) -> DataFrame:
-    """Normalise each archive; returns the index (archive, offset, length, id), written to the shared folder."""
+    """Normalise each archive; returns (archive, records), written to the shared folder. Their indexes are beside them."""
 
     def done(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for source in b["archive"]:
                 target = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                index = normalise(source, target)
-                for at in range(0, len(index), 10_000):
-                    part = index[at : at + 10_000]
-                    yield pd.DataFrame({"archive": target, "offset": [x[0] for x in part], "length": [x[1] for x in part], "id": [x[2] for x in part]})
+                yield pd.DataFrame({"archive": [target], "records": [normalise(source, target)]})
 
     n = max(1, archives.count())
     spread = archives.repartition(min(n, 4 * archives.sparkSession.sparkContext.defaultParallelism))
-    return cut(spread.mapInPandas(done, "archive string, offset long, length long, id string"), "index")
+    return cut(spread.mapInPandas(done, "archive string, records long"), "normalised")
+
+
+def index_of(archives: DataFrame) -> DataFrame:
+    """(archive, offset, length, id) of all records, by the sidecar beside each archive; spread over the tasks."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for archive in b["archive"]:
+                fs, path = filesystem(archive + ".idx")
+                held = []
+                with fs.open_input_stream(path, compression=None) as f:
+                    for line in io.TextIOWrapper(f, "utf-8"):
+                        held.append(json.loads(line))
+                        if len(held) == 10_000:
+                            yield pd.DataFrame(held).assign(archive=archive)
+                            held = []
+                if held:
+                    yield pd.DataFrame(held).assign(archive=archive)
+
+    found = archives.select("archive").mapInPandas(lines, "offset long, length long, id string, archive string")
+    # runs of neighbouring records stay together, and a large archive is read by many tasks
+    run = F.floor(F.col("offset") / (4 * _BLOCK))
+    return found.select("archive", "offset", "length", "id").repartition("archive", run).sortWithinPartitions("archive", "offset")
 
 
 def read(index: DataFrame) -> DataFrame:
@@ -270,12 +291,15 @@ def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None,
     """Write pages(page_id, url, html) as archives below folder, normalise them, and read every record back.
 
     Null html is an empty payload; repeated rows give repeated records; an empty table gives no archive and an
-    empty result. Files: folder/raw (monolithic), folder/warc (a member per record, each with its .idx).
+    empty result; other columns are not read, whatever their names. A task holds one record and its deflated copy at a
+    time, so the longest page bounds its memory. Files: folder/raw (monolithic), folder/warc (a member per record,
+    each with its .idx, by which the records are read).
     """
     folder = folder or fresh_path(spark, "warc")
+    pages = pages.select("page_id", "url", "html")
     archives = write(with_revisits(pages, least=least), f"{folder}/raw")
     filesystem(f"{folder}/warc")[0].create_dir(filesystem(f"{folder}/warc")[1], recursive=True)
-    return read(normalise_all(archives, f"{folder}/warc"))
+    return read(index_of(normalise_all(archives, f"{folder}/warc")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 
 import pytest
 
@@ -61,8 +62,9 @@ def test_normaliser(tmp_path, members):
     (tmp_path / "raw.warc.gz").write_bytes(raw)
     index = warc.normalise(f"file://{tmp_path}/raw.warc.gz", f"file://{tmp_path}/out.warc.gz")
     out = (tmp_path / "out.warc.gz").read_bytes()
-    assert len(index) == 40 and gzip.decompress(out) == b"".join(data)
-    for (at, n, rid), want in zip(index, data):
+    lines = [json.loads(x) for x in (tmp_path / "out.warc.gz.idx").read_text().splitlines()]
+    assert index == len(lines) == 40 and gzip.decompress(out) == b"".join(data)
+    for (at, n, rid), want in zip(((x["offset"], x["length"], x["id"]) for x in lines), data):
         assert gzip.decompress(out[at : at + n]) == want and rid in want.decode("latin-1")
     assert len((tmp_path / "out.warc.gz.idx").read_text().splitlines()) == 40
 
@@ -85,7 +87,33 @@ def test_several_archives_in_a_partition(spark, monkeypatch):
     folder = fresh_path(spark, "warc-test")
     pages = spark.createDataFrame([(i, "u", "t" * 900 + str(i), "", "") for i in range(12)], SCHEMA).coalesce(1)
     archives = warc.write(warc.with_revisits(pages), folder + "/raw")
-    assert archives.count() >= 1
+    assert archives.count() == 6  # two records of 900 characters and their heads reach the limit
+    filesystem, path = warc.filesystem(folder + "/warc")
+    filesystem.create_dir(path, recursive=True)
+    done = warc.normalise_all(archives, folder + "/warc")
+    assert sorted(r.records for r in done.collect()) == [2] * 6
+    assert sorted(r.page_id for r in warc.read(warc.index_of(done)).collect()) == list(range(12))
+
+
+def test_records_are_read_by_the_sidecar(spark):
+    """A sidecar without its first line hides that record: the offsets come from nowhere else."""
+    folder = fresh_path(spark, "warc-idx")
+    pages = spark.createDataFrame([(i, "u", f"text {i}", "", "") for i in range(5)], SCHEMA).coalesce(1)
+    archives = warc.write(warc.with_revisits(pages), folder + "/raw")
+    filesystem, path = warc.filesystem(folder + "/warc")
+    filesystem.create_dir(path, recursive=True)
+    done = warc.normalise_all(archives, folder + "/warc")
+    fs, idx = warc.filesystem(done.first().archive + ".idx")
+    lines = fs.open_input_stream(idx).read().splitlines(keepends=True)
+    with fs.open_output_stream(idx) as f:
+        f.write(b"".join(lines[1:]))
+    got = {r.page_id for r in warc.read(warc.index_of(done)).collect()}
+    assert len(lines) == 5 and len(got) == 4
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "ab", "mine", 7), (2, "u", "ab", "mine", 7)], "page_id long, url string, html string, payload string, __sha int")
+    assert {(r.page_id, r.refers_to) for r in warc.round_trip(spark, pages).collect()} == {(1, None), (2, 1)}
 
 
 def test_least_payload(spark):
