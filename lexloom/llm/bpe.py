@@ -265,7 +265,12 @@ def tokenize(docs: DataFrame, path: str | None = None, text: str = "text", keep:
 
 
 def digests(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the digest of tokenize(), made beside it so that no ids travel."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: the digest of tokenize(), made beside it so that no ids travel.
+
+    Whole texts, one at a time. Null and empty texts have no ids and the digests of no bytes; repeated rows agree, and
+    there are no ties; a null doc_id stays null; an empty table gives an empty result; other columns are not read,
+    whatever their names.
+    """
     path = path or default_path()
     bounded_batches(docs.sparkSession)
 
