@@ -1,8 +1,10 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
 A page becomes a sequence of leaf blocks: runs of text between block-level tags, with features of their ancestors
-(tags, words of class and id) and of their text (length, share of links, punctuation). The field labels each block
-main or other; its weights are learned from labelled pages and decoding is Viterbi's algorithm.
+(tags, words of class and id, whether they are hidden), of their place (inside the element that holds most of the
+page's prose, and how deep below it) and of their text (length, share of links, punctuation). The field labels each
+block main or other; its weights are learned from labelled pages, a third of which have names that mean nothing, and
+decoding is Viterbi's algorithm. Text that the page itself hides (hidden, aria-hidden, display:none) is no main text.
 """
 
 from __future__ import annotations
@@ -62,6 +64,9 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HREF = re.compile(r"\bhref\s*=", re.I)
+_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])(?!\s*=\s*[\"']?(?:false|until-found))|\baria-hidden\s*=\s*[\"']?true|\bdisplay\s*:\s*none", re.I)
+#: Attributes longer than this are not searched for hiding words: they hold data.
+_ATTRS = 4096
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
@@ -69,19 +74,22 @@ _END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 class _Open:
     """An open element: its tag and the features of it and all its ancestors, shared along the path."""
 
-    __slots__ = ("tag", "features", "near", "links")
+    __slots__ = ("tag", "features", "near", "links", "up", "prose", "below")
 
-    def __init__(self, tag: str, features: frozenset, near: str, links: bool):
-        self.tag, self.features, self.near, self.links = tag, features, near, links
+    def __init__(self, tag: str, features: frozenset, near: str, links: bool, up: _Open | None):
+        self.tag, self.features, self.near, self.links, self.up = tag, features, near, links, up
+        #: Characters of prose right below it, and half of those one level further down; levels below the page's home.
+        self.prose, self.below = 0.0, -1
 
 
 def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     """(text, features) of the leaf blocks in page order; blocks without text are left out."""
     if not page:
         return []
-    root = _Open("", frozenset(), "", False)
+    root = _Open("", frozenset(), "", False, None)
     stack: list[_Open] = [root]
-    found: list[tuple[str, frozenset, str, str, float]] = []
+    every: list[_Open] = [root]  # parents before their children
+    found: list[tuple[str, _Open, str, float]] = []
     parts: list[str] = []
     linked = 0
     at = 0
@@ -92,9 +100,13 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                top = stack[-1]
-                own = next((e.tag for e in reversed(stack) if e.tag in BLOCKS), "")
-                found.append((text, top.features, top.near, own, linked / max(1, sum(map(len, parts)))))
+                holder = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
+                links = linked / max(1, sum(map(len, parts)))
+                found.append((text, stack[-1], holder.tag, links))
+                if len(text) > 80 and links < 0.35 and holder.up is not None and "in:hidden" not in stack[-1].features:
+                    holder.up.prose += len(text)
+                    if holder.up.up is not None:
+                        holder.up.up.prose += len(text) / 2
             parts.clear()
         linked = 0
 
@@ -166,16 +178,28 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
                     if hint := HINTS.get(w.lower()):
                         more.add("hint:" + hint)
                         near = hint
+            if len(m[3]) <= _ATTRS and _HIDDEN.search(m[3]):
+                more.add("in:hidden")
         features = top.features if more <= top.features else top.features | more
-        stack.append(_Open(tag, features, near, top.links or (tag == "a" and bool(_HREF.search(m[3] or "")))))
+        stack.append(_Open(tag, features, near, top.links or (tag == "a" and bool(_HREF.search(m[3] or ""))), top))
+        every.append(stack[-1])
         depth[tag] = depth.get(tag, 0) + 1
     flush()
-    return [(t, _features(i, len(found), *x)) for i, x in enumerate(found) for t in x[:1]]
+    # the home is the element that holds most prose, the first of equals; a page without prose has none
+    home = max(every, key=lambda e: e.prose)
+    for e in every:
+        if e is home and e.prose:
+            e.below = 0
+        elif e.up is not None and e.up.below >= 0:
+            e.below = e.up.below + 1
+    return [(x[0], _features(i, len(found), *x, bool(home.prose))) for i, x in enumerate(found)]
 
 
-def _features(i: int, n: int, text: str, inherited: frozenset, near: str, own: str, links: float) -> list[str]:
+def _features(i: int, n: int, text: str, top: _Open, own: str, links: float, homely: bool) -> list[str]:
     size = len(text)
-    out = ["bias", "own:" + own, "near:" + near, *inherited]
+    out = ["bias", "own:" + own, "near:" + top.near, *top.features]
+    place = "none" if not homely else "out" if top.below < 0 else str(min(3, top.below))
+    out += ["home:" + place, "home:" + place + ":" + ("links" if links >= 0.35 else "long" if size > 80 else "short")]
     out.append("size:%d" % min(6, int(math.log2(size + 1)) // 2))
     out.append("links:%d" % (0 if links == 0 else 1 if links < 0.35 else 2 if links < 0.8 else 3))
     out.append("end:" + ("stop" if text[-1] in ".!?…:;\"'”»" else "other"))
@@ -248,9 +272,10 @@ class Field:
         edge = [[[math.exp(f[i][x] + t[x][y] + s[i + 1][y] + b[i + 1][y] - z) for y in LABELS] for x in LABELS] for i in range(n - 1)]
         return node, edge
 
-    def fit(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 6, rate: float = 0.2, decay: float = 1e-4, seed: int = 5) -> Field:
-        """Stochastic gradient ascent on the conditional log-likelihood with weight decay."""
+    def fit(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Field:
+        """Stochastic gradient ascent on the conditional log-likelihood with weight decay; the mean of the later epochs' weights."""
         order, rng = list(range(len(pages))), random.Random(seed)
+        total, moves, later = {}, [[0.0, 0.0], [0.0, 0.0]], epochs - epochs // 2
         for epoch in range(epochs):
             rng.shuffle(order)
             eta = rate / (1 + epoch)
@@ -269,6 +294,13 @@ class Field:
                     for x in LABELS:
                         for y in LABELS:
                             self.t[x][y] += eta * ((gold[i] == x and gold[i + 1] == y) - e[x][y] - decay * self.t[x][y])
+            if epoch >= epochs - later:
+                for f, x in self.w.items():
+                    held = total.setdefault(f, [0.0, 0.0])
+                    held[0] += x[0] / later
+                    held[1] += x[1] / later
+                moves = [[m + v / later for m, v in zip(a, b)] for a, b in zip(moves, self.t)]
+        self.w, self.t = total, moves
         return self
 
 
@@ -276,8 +308,14 @@ class Field:
 
 
 class _Maker:
-    def __init__(self, rng: random.Random):
+    def __init__(self, rng: random.Random, foreign: bool = False):
         self.rng, self.gold, self.style = rng, [], rng.choice(("tags", "tags", "classes", "classes", "both", "bare"))
+        if foreign:
+            self.style = "foreign"
+
+    def foreign(self) -> str:
+        """A name that means nothing."""
+        return "x" + self.words(1, 1)
 
     def words(self, a: int, b: int) -> str:
         r = self.rng
@@ -296,8 +334,10 @@ class _Maker:
 
     def wrap(self, tag: str, names: str, inner: str) -> str:
         r = self.rng
-        style = self.style if r.random() < 0.85 else r.choice(("tags", "classes", "both"))
-        name = r.choice(names.split())
+        style = self.style if r.random() < 0.85 or self.style == "foreign" else r.choice(("tags", "classes", "both"))
+        name = r.choice(names.split()) if style != "foreign" else self.foreign()
+        if style == "foreign" and r.random() < 0.3:
+            return f"<div>{inner}</div>"
         if style == "tags":
             return f"<{tag}>{inner}</{tag}>"
         attr = f'{r.choice(("class", "class", "id"))}="{r.choice(("", "", "site-", "page-", "c-"))}{name}{r.choice(("", "", "-box", " wide"))}"'
@@ -323,15 +363,24 @@ class _Maker:
             return self.wrap("aside", "sidebar widget related recommended popular trending", f"<h3>{say(1, 3)}</h3>" + (self.links(r.randint(2, 6)) if r.random() < 0.6 else p() + p()))
         if kind == "note":
             return self.wrap(r.choice(("div", "dialog", "section")), "cookie consent notice alert popup newsletter subscribe", p() + f"<button>{say(1, 2)}</button>")
+        if kind == "hidden":
+            how = r.choice((" hidden", ' style="display:none"', " style='color:red; display: none'", ' aria-hidden="true"'))
+            if r.random() < 0.5:
+                return f"<p{how}>{self.say(self.prose() if r.random() < 0.6 else self.words(2, 12), 0)}</p>"
+            return f"<div{how}>{p()}{p()}</div>"
+        if kind == "ad" and self.style == "foreign":
+            return f'<div class="{self.foreign()}">' + p() + "</div>"
         if kind == "ad":
             return f'<div class="{r.choice(("ad", "ads", "advert", "ad-slot", "sponsored", "promo", "advertisement", "banner ad"))}">' + (p() if r.random() < 0.5 else self.say(self.prose(), 0)) + "</div>"
         if kind == "form":
             return "<form" + r.choice(("", ' class="search"', ' id="login"', ' class="contact form"')) + f"><label>{say(1, 3)}</label><input name=q>" + f"<p>{self.say(self.prose(), 0)}</p>" + f"<button>{say(1, 2)}</button></form>"
         body = "".join(
-            f'<{a} class="{r.choice(("comment", "reply", "comment-body"))}"><p>{self.say(self.prose(), 0)}</p></{a}>'
-            for a in [r.choice(("article", "div", "li"))] for _ in range(r.randint(1, 4))
+            f'<{a} class="{name}">' + (f"<b>{say(1, 2)}</b><br>" if signed else "") + f"<p>{self.say(self.prose(), 0)}</p></{a}>"
+            for a in [r.choice(("article", "div", "li") if self.style != "foreign" else ("div", "li"))] for signed in [r.random() < 0.5]
+            for name in [r.choice(("comment", "reply", "comment-body")) if self.style != "foreign" else self.foreign()] for _ in range(r.randint(1, 6))
         )
-        return f'<{r.choice(("section", "div"))} {r.choice(("id", "class"))}="comments">' + f"<h2>{say(1, 3)}</h2>{body}" + "</section>"
+        around = r.choice(("section", "div"))
+        return f'<{around} {r.choice(("id", "class"))}="{"comments" if self.style != "foreign" else self.foreign()}">' + f"<h2>{say(1, 3)}</h2>{body}" + f"</{around}>"
 
     def article(self) -> str:
         r, out = self.rng, []
@@ -353,8 +402,12 @@ class _Maker:
             elif kind < 0.96:
                 out.append("<table>" + "".join(f"<tr><td>{self.say(self.words(1, 4), 1)}</td></tr>" for _ in range(3)) + "</table>")
             else:
-                out.append(self.junk(r.choice(("ad", "side", "note", "form", "nav"))))
+                out.append(self.junk(r.choice(("ad", "side", "note", "form", "nav", "hidden", "hidden"))))
         inner = "".join(out)
+        if out and r.random() < 0.2:  # the body in an element of its own, after the title
+            inner = out[0] + f"<div>{''.join(out[1:])}</div>"
+        if self.style == "foreign" and r.random() < 0.7:
+            return f'<div class="{self.foreign()}">{inner}</div>'
         if self.style == "bare":
             return f"<div>{inner}</div>"
         form = r.random()
@@ -367,26 +420,26 @@ class _Maker:
     def page(self) -> str:
         r = self.rng
         parts = []
-        for kind, chance in (("note", 0.3), ("header", 0.5), ("nav", 0.8), ("ad", 0.5), ("form", 0.2), ("side", 0.2)):
+        for kind, chance in (("note", 0.3), ("header", 0.5), ("nav", 0.8), ("ad", 0.5), ("form", 0.2), ("side", 0.2), ("hidden", 0.1)):
             if r.random() < chance:
                 parts.append(self.junk(kind))
         parts.append(self.article())
-        for kind, chance in (("reply", 0.35), ("side", 0.4), ("form", 0.25), ("ad", 0.3), ("nav", 0.15), ("footer", 0.8), ("note", 0.2)):
+        for kind, chance in (("reply", 0.35), ("side", 0.4), ("form", 0.25), ("ad", 0.3), ("nav", 0.15), ("footer", 0.8), ("note", 0.2), ("hidden", 0.1)):
             if r.random() < chance:
                 parts.append(self.junk(kind))
         return f"<!DOCTYPE html><html><head><title>t</title></head><body>{''.join(parts)}</body></html>"
 
 
-def labelled_page(seed: int) -> tuple[str, list[tuple[str, int]]]:
-    """A generated page and its blocks of text with labels, in page order."""
-    m = _Maker(random.Random(seed))
+def labelled_page(seed: int, foreign: bool = False) -> tuple[str, list[tuple[str, int]]]:
+    """A generated page and its blocks of text with labels, in page order; foreign: with names that mean nothing."""
+    m = _Maker(random.Random(seed), foreign)
     return m.page(), m.gold
 
 
-def examples(seeds) -> list[tuple[list[list[str]], list[int]]]:
+def examples(seeds, foreign: bool = False) -> list[tuple[list[list[str]], list[int]]]:
     out = []
     for seed in seeds:
-        page, gold = labelled_page(seed)
+        page, gold = labelled_page(seed, foreign)
         found = blocks(page)
         label = {" ".join(t.split()): y for t, y in gold}
         if found:
@@ -394,14 +447,14 @@ def examples(seeds) -> list[tuple[list[list[str]], list[int]]]:
     return out
 
 
-TRAIN_PAGES = 600
+TRAIN_PAGES, FOREIGN_PAGES = 1000, 500
 _FIELD: list[Field] = []
 
 
 def field() -> Field:
-    """The field trained on TRAIN_PAGES generated pages; deterministic, once per process."""
+    """The field trained on TRAIN_PAGES and FOREIGN_PAGES generated pages; deterministic, once per process."""
     if not _FIELD:
-        _FIELD.append(Field().fit(examples(range(TRAIN_PAGES))))
+        _FIELD.append(Field().fit(examples(range(TRAIN_PAGES)) + examples(range(FOREIGN_PAGES), foreign=True)))
     return _FIELD[0]
 
 
@@ -411,7 +464,7 @@ def main_text(page: str | None, crf: Field) -> str:
 
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:
-    """pages with text and n_chars (columns of these names are replaced).
+    """pages with text and n_chars (columns of these names are replaced; others keep their values, whatever their names).
 
     A narrow pass over whole pages. The weights (a few hundred features) are trained on the driver and broadcast.
     Null and empty pages, and pages without a main block, have an empty text; repeated rows agree; an empty table

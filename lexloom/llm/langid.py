@@ -133,13 +133,16 @@ def scores(model: dict, texts) -> tuple[np.ndarray, np.ndarray]:
     """(sums of log-probabilities [texts, languages], whether a text has letters).
 
     N-grams of many texts are hashed together; those that would run over a text's end are left out. Each text's
-    n-grams are the column indices of its row of a sparse matrix, and the product with the log-probability matrix
-    is a sum by segments of the rows that they name.
+    n-grams are the column indices of its row of a sparse matrix, and the product with the log-probability matrix is,
+    language by language, a sum by segments of the entries that they name.
     """
     texts = list(texts)
     total = np.tile(model["prior"], (len(texts), 1))
     known = np.zeros(len(texts), bool)
-    bits = int(model["logp"].shape[0]).bit_length() - 1
+    none = len(model["logp"])
+    bits = none.bit_length() - 1
+    if "columns" not in model:  # a contiguous column per language, and a bucket of weight 0
+        model["columns"] = np.vstack([model["logp"], np.zeros((1, len(model["langs"])), np.float32)]).T.copy()
 
     def add(held: list) -> None:
         owner = np.array([i for i, _, _ in held])
@@ -147,18 +150,20 @@ def scores(model: dict, texts) -> tuple[np.ndarray, np.ndarray]:
         begins = np.array([n for _, _, n in held])
         known[owner] = True
         codes = np.concatenate([c for _, c, _ in held])
-        start = np.repeat(np.cumsum(size) - size, size)
-        place = np.arange(len(codes)) - start
-        whole, limit = np.repeat(size, size), np.repeat(begins, size)
+        start = np.cumsum(size) - size
+        sums = np.zeros((len(held), len(model["langs"])))
         for order in ORDERS:
-            got = buckets(codes, order, bits)
-            ok = ((place + order <= whole) & (place < limit))[: len(got)]
-            row = np.repeat(np.arange(len(held)), size)[: len(got)][ok]
-            if not len(row):
-                continue
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            sums = np.add.reduceat(model["logp"].take(got[ok], axis=0), first, axis=0, dtype=np.float64)
-            np.add.at(total, owner[row[first]], sums)
+            got = np.full(len(codes), none, np.uint32)
+            found = buckets(codes, order, bits)
+            got[: len(found)] = found
+            # n-grams that a text's end cuts, or that the next piece counts
+            cut = start + np.minimum(begins, np.maximum(size - order + 1, 0))
+            for d in range(2 * max(ORDERS)):
+                at = cut + d
+                got[at[at < start + size]] = none
+            for x, column in enumerate(model["columns"]):
+                sums[:, x] += np.add.reduceat(column.take(got), start, dtype=np.float64)
+        np.add.at(total, owner, sums)
 
     held, letters = [], 0
     for piece in _pieces(texts):
