@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.storage import bounded_batches, cut
@@ -692,6 +692,15 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     a doc_id are separate rows. A null doc_id takes part but is never the smallest unless all are null. An empty
     table gives an empty result. Other columns of docs are not read.
     """
+    return classes(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, fp, key, component_id of every row: join() with the fingerprint of the row's set and of its component.
+
+    Rows are of one component if their keys are equal; an empty set has none. Other than component_id, the key also
+    tells components apart that share their smallest doc_id.
+    """
     sc = docs.sparkSession.sparkContext
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -704,11 +713,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     wanted = sc.broadcast(bitmap(members, bits_for(total, FILTER_BITS, FILTER_MOST, 8)))
     edges = links(members, gathered(docs, k, wanted), num, den, order)
     roots = cut(components(edges), "components")
-    return labelled(rows.drop("bits"), roots, total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return labelled(rows.drop("bits"), roots, total)
 
 
 def labelled(rows: DataFrame, roots: DataFrame, total: int) -> DataFrame:
-    """doc_id, n, component_id of rows(doc_id, n, fp); roots(node, root) of the linked sets that are no roots.
+    """doc_id, n, fp, key, component_id of rows(doc_id, n, fp); roots(node, root) of the linked sets that are no roots.
 
     Ids are reduced per set, then per root. Sets of one row that link with none are settled by themselves. Of the
     others, the at most HOT_GROUPS sets that more than total / HOT_GROUPS rows share meet their rows by a broadcast;
@@ -718,23 +727,25 @@ def labelled(rows: DataFrame, roots: DataFrame, total: int) -> DataFrame:
     per = rows.filter("n > 0").groupBy("fp").agg(F.count("*").alias("c"), F.min("doc_id").alias("least"))
     per = cut(per.join(roots, F.col("fp") == F.col("node"), "left").filter("c > 1 or root is not null").select("fp", "c", "least", "root"), "sets")
     least = per.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    own = per.filter("root is null").select("fp", "c", F.col("least").alias("component"))
-    table = cut(own.unionByName(per.join(least, "root").select("fp", "c", "component")), "labels").withColumnRenamed("fp", "set")
-    hot = table.filter(F.col("c") > total / HOT_GROUPS).select("set", "component")
-    cold = table.filter(F.col("c") <= total / HOT_GROUPS).select("set", "component")
+    own = per.filter("root is null").select("fp", "c", F.col("least").alias("component"), F.col("fp").alias("key"))
+    table = cut(own.unionByName(per.join(least, "root").select("fp", "c", "component", F.col("root").alias("key"))), "labels").withColumnRenamed("fp", "set")
+    hot = table.filter(F.col("c") > total / HOT_GROUPS).select("set", "component", "key")
+    cold = table.filter(F.col("c") <= total / HOT_GROUPS).select("set", "component", "key")
     met = rows.join(F.broadcast(hot), F.col("fp") == F.col("set"), "left").withColumn("done", F.col("set").isNotNull()).drop("set")
-    settled = met.filter("done or n = 0").select("doc_id", "n", F.when(F.col("done"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    others = met.filter("not done and n > 0").drop("component").join(cold, F.col("fp") == F.col("set"), "left")
-    others = others.select("doc_id", "n", F.when(F.col("set").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("done"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+    settled = met.filter("done or n = 0").select("doc_id", "n", "fp", "key", component)
+    others = met.filter("not done and n > 0").drop("component", "key", "done").join(cold, F.col("fp") == F.col("set"), "left")
+    others = others.withColumn("done", F.col("set").isNotNull()).select("doc_id", "n", "fp", F.coalesce("key", "fp").alias("key"), component)
     return settled.unionByName(others)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, of each component of join() the document with the smallest doc_id only.
+    """docs, of each component of join() one row only: that of the smallest doc_id, null ids last.
 
-    Rows that share a doc_id are one document: the one with the smallest text stays. Rows without a doc_id stay.
+    Where a component has several rows of that id, the smallest fingerprint, then the smallest text decides. So rows
+    that share an id, or have none, stay if no other row is like them. Texts without words stay.
     """
-    found = cut(join(docs, k, num, den), "joined")
+    found = cut(classes(docs, k, num, den), "joined")
     per = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"), F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("first"))
     per = cut(per.filter("c > 1 or coalesce(first, 0) = 0"), "special")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(per.select(F.col("doc_id").alias("nid"))))
@@ -744,20 +755,28 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
         at = ids.to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
         return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
 
+    @F.pandas_udf("binary")
+    def named(texts: pd.Series) -> pd.Series:
+        out = pd.Series([fingerprint(gram_set(t, k)) for t in texts], dtype=object)
+        released()
+        return out
+
     # most rows are settled by the filter where they are; only those that it cannot tell meet the list by a join
     ids = F.col("doc_id").cast("long")
     listed = special(F.coalesce(ids, F.lit(-1)))  # without nulls, which would make the ids floats
-    plain = docs.filter(ids.isNull() | ~listed)
-    rest = docs.filter(ids.isNotNull() & listed).join(per.select("doc_id", F.col("c").alias("__c"), F.col("first").alias("__first")), "doc_id", "left")
-    single = rest.filter("__c is null")
-    many = rest.filter("__c > 1 and __first = 1").withColumn("__n", F.row_number().over(_by_text())).filter("__n = 1")
-    return plain.unionByName(single.select(*docs.columns)).unionByName(many.select(*docs.columns))
-
-
-def _by_text():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("text")
+    plain = docs.filter(ids.isNotNull() & ~listed)
+    rest = docs.filter(ids.isNotNull() & listed).join(per.select("doc_id", F.col("c").alias("__c")), "doc_id", "left")
+    single = rest.filter("__c is null").select(*docs.columns)
+    # rows that their id does not tell apart: the first row of each set and id, of those the first set of each component
+    several = rest.filter("__c > 1").select(*docs.columns).unionByName(docs.filter(ids.isNull())).withColumn("__fp", named("text"))
+    empty = several.filter(F.col("__fp") == F.lit(fingerprint(gram_set(None, k)))).select(*docs.columns)
+    once = several.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy("text"))).filter("__n = 1")
+    repeated = per.filter("c > 1").select(F.col("doc_id").alias("__id"))
+    first = found.filter("n > 0 and component_id <=> doc_id")
+    first = first.filter("doc_id is null").unionByName(first.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi"))
+    first = first.groupBy("key", F.col("doc_id").alias("__id")).agg(F.min("fp").alias("__set")).select("__id", "__set")
+    once = once.join(first, (F.col("__fp") == F.col("__set")) & ids.eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    return plain.unionByName(single).unionByName(empty).unionByName(once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
