@@ -177,41 +177,55 @@ def scores(model: dict, texts) -> tuple[np.ndarray, np.ndarray]:
     return total, known
 
 
-def decided(model: dict, texts) -> tuple[list[str], np.ndarray]:
-    """(languages, posterior probabilities); 'und' and 0.0 for a text without letters or a model without languages."""
+def grams_in(text: str | None) -> int:
+    """Number of n-grams that a text with letters is scored by."""
+    n = len(text.lower()) if text else 0
+    return sum(max(0, n - order + 1) for order in ORDERS)
+
+
+def decided(model: dict, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, posterior probabilities, fits); 'und' and 0.0 for a text without letters or a model without languages.
+
+    The posterior says which learned language is likeliest, however unlikely all are; the fit says whether it is likely:
+    the mean over the n-grams of log(probability in that language / probability if all buckets were alike).
+    """
     texts = list(texts)
     if not model["langs"]:
-        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     total, known = scores(model, texts)
     best = total.argmax(axis=1)
+    grams = np.array([grams_in(t) for t in texts], float)
+    chance = -np.log(len(model["logp"]))
+    likely = total[np.arange(len(texts)), best] - model["prior"][best]
+    fit_ = np.where(known, likely / np.maximum(grams, 1) - chance, 0.0)
     posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True, initial=-np.inf)).sum(axis=1)
-    return [model["langs"][x] if k else UNDETERMINED for x, k in zip(best, known)], np.where(known, posterior, 0.0)
+    return [model["langs"][x] if k else UNDETERMINED for x, k in zip(best, known)], np.where(known, posterior, 0.0), fit_
 
 
 def score_text(model: dict, text: str | None) -> tuple[str, float]:
     """decided() of one text."""
-    lang, score = decided(model, [text])
+    lang, score, _ = decided(model, [text])
     return lang[0], float(score[0])
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score (columns of these names are replaced); reads the text column only.
+    """docs with lang_pred, lang_score and lang_fit (columns of these names are replaced); reads the text column only.
 
     Whole texts in chunks of bounded memory. Ties go to the smaller language. Repeated rows agree; an empty table
-    gives an empty result; null or letterless text: 'und' with score 0.
+    gives an empty result; null or letterless text: 'und' with score and fit 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_fit")]
 
-    @F.pandas_udf("lang_pred string, lang_score double")
+    @F.pandas_udf("lang_pred string, lang_score double, lang_fit double")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        langs, score = decided(sent.value, texts)
+        langs, score, fits = decided(sent.value, texts)
         released()
-        return pd.DataFrame({"lang_pred": langs, "lang_score": score})
+        return pd.DataFrame({"lang_pred": langs, "lang_score": score, "lang_fit": fits})
 
     out = docs.select(*rest, scored(F.col(text)).alias("__lang"))
-    return out.select(*rest, F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.lang_score").alias("lang_score"))
+    return out.select(*rest, *(F.col(f"__lang.{c}").alias(c) for c in ("lang_pred", "lang_score", "lang_fit")))
 
 
 def held_out(doc_id):

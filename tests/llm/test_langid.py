@@ -112,7 +112,7 @@ def test_batches_equal_single_texts(model, monkeypatch):
     whole = [langid.score_text(model, t) for t in texts]
     for chunk in (1 << 18, 7, 64):
         monkeypatch.setattr(langid, "_CHUNK", chunk)
-        langs, score = langid.decided(model, texts)
+        langs, score, _ = langid.decided(model, texts)
         assert langs == [x for x, _ in whole] and score == pytest.approx([s for _, s in whole])
 
 
@@ -129,3 +129,21 @@ def test_training_sample_is_bounded_and_stable(spark):
     docs = spark.createDataFrame(rows() * 3, SCHEMA)
     a, b = langid.fit(docs, rows=60), langid.fit(docs.repartition(5), rows=60)
     assert a["langs"] == b["langs"] and (a["logp"] == b["logp"]).all()
+
+
+def test_fit_tells_learned_languages_from_others(spark):
+    """The lowest fit of any document of the learned languages is above chance; another script and noise are below."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(d)
+    got = langid.predict(d, model).filter("lang_pred != 'und'")
+    assert got.agg(F.min("lang_fit")).first()[0] > 0
+    other = ["Это обычный текст на другом языке и с другими буквами", "这是另一种语言的普通文本没有学过", "ξζ ψω χφ ϟϡ ϖϱ"]
+    assert all(fit < 0 for fit in langid.decided(model, other)[2])
+
+
+def test_fit_is_the_mean_log_ratio(spark, model):
+    for text in ("der Die où", "the", "a" * 500_000):
+        lang, _, fits = langid.decided(model, [text])
+        x, grams = model["langs"].index(lang[0]), plain_grams(text) if len(text) < 100 else [b for o in langid.ORDERS for b in langid.buckets(langid.letters_of(text), o)]
+        want = sum(float(model["logp"][g, x]) for g in grams) / len(grams) + 15 * 0.6931471805599453
+        assert abs(fits[0] - want) < 1e-4 and langid.grams_in(text) == len(grams)
