@@ -1,6 +1,6 @@
 """Queries of this subpackage, one per operator, and their SQL."""
 
-from . import ann, bpe, htmltext, langid, mixing, ngramjoin, quality, secrets, urlfilter, warc
+from . import ann, bpe, centroids, htmltext, langid, mixing, ngramjoin, quality, secrets, urlfilter, warc, whitening
 
 QUERIES = {
     "op1_url_filters": urlfilter.query,
@@ -13,10 +13,13 @@ QUERIES = {
     "op8_secret_scans": secrets.query,
     "op9_html_extraction": htmltext.query,
     "op10_quality_rules": quality.query,
+    "op11_whitening": whitening.query,
+    "op13_centroid_clustering": centroids.query,
 }
 ORACLES = {
     "op1_url_filters": urlfilter.oracle(),
     "op3_warc": warc.oracle(),
     "op6_mixing": mixing.oracle(),
     "op10_quality_rules": quality.oracle(),
+    "op13_centroid_clustering": centroids.oracle(),
 }
