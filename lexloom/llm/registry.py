@@ -1,6 +1,6 @@
 """Queries of this subpackage, one per operator, and their SQL."""
 
-from . import ann, bpe, centroids, htmltext, langid, mixing, ngramjoin, quality, secrets, urlfilter, warc, whitening
+from . import ann, bpe, centroids, htmltext, langid, mixing, ngramjoin, phrases, quality, secrets, urlfilter, warc, whitening
 
 QUERIES = {
     "op1_url_filters": urlfilter.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_html_extraction": htmltext.query,
     "op10_quality_rules": quality.query,
     "op11_whitening": whitening.query,
+    "op12_benchmark_decontamination": phrases.query,
     "op13_centroid_clustering": centroids.query,
 }
 ORACLES = {
@@ -21,5 +22,6 @@ ORACLES = {
     "op3_warc": warc.oracle(),
     "op6_mixing": mixing.oracle(),
     "op10_quality_rules": quality.oracle(),
+    "op12_benchmark_decontamination": phrases.oracle(),
     "op13_centroid_clustering": centroids.oracle(),
 }
