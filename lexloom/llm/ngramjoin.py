@@ -49,6 +49,8 @@ COLD = 4096
 FILTER_BITS, FILTER_MOST = 25, 30
 #: Sets and n-grams under one hub up to which the bitmap filter works; larger hubs keep all their sets.
 FILTER_SETS, FILTER_GRAMS = 1 << 13, 1 << 27
+#: Sets that a task remembers, in order to send on one copy of each.
+SEEN = 1 << 18
 #: N-grams in a block, expected.
 BLOCK_GRAMS = 1 << 19
 #: Rounds in which the sets of large hubs meet again in smaller groups.
@@ -58,12 +60,12 @@ HOT_GROUPS = 4096
 _CHUNK_BYTES = 4 << 20
 
 _RNG = np.random.default_rng(20240301)
-_BYTES = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BASE = int(_RNG.integers(0, 1 << 64, dtype=np.uint64)) | 1
+#: A random number for each byte at each of the first places of a word; farther ones are mixed from byte and place.
+_PLACES = 64
+_AT = _RNG.integers(0, 1 << 64, (_PLACES, 256), dtype=np.uint64).ravel()
 _MIX = [np.uint64(int(x) | 1) for x in _RNG.integers(0, 1 << 64, 64, dtype=np.uint64)]
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -72,18 +74,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        full = lambda b: np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(b))]))
-        _POWERS[size] = (full(_BASE), full(pow(_BASE, -1, 1 << 64)))
-    return _POWERS[size]
-
-
 def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word [^\\x20\\x09-\\x0D]+ of the bytes, A-Z lower-cased."""
+    """A hash of each word [^\\x20\\x09-\\x0D]+ of the bytes, A-Z lower-cased: the sum of a random number per byte and place.
+
+    Such sums have no structure that words could share; a polynomial modulo 2^64 has (Thue-Morse words collide in any base).
+    """
     raw = np.frombuffer(data.lower(), np.uint8)
     out = []
     at = 0
@@ -99,10 +94,13 @@ def word_hashes(data: bytes) -> np.ndarray:
         blank = _BLANK[part]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
         start, stop = edge[::2], edge[1::2]
-        power, inverse = _powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTES[part] * power[: len(part)], out=total[1:])
-        out.append(_mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)))
+        if len(start):
+            place = np.arange(len(part)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(part)]])))
+            value = _AT[np.minimum(place, _PLACES - 1) * 256 + part]
+            far = np.flatnonzero(place >= _PLACES)
+            value[far] = _mixed(_mixed(place[far].astype(np.uint64)) ^ value[far])
+            value[blank] = 0
+            out.append(_mixed(np.add.reduceat(value, start) + (stop - start).astype(np.uint64)))
         at = end
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -432,14 +430,14 @@ def bitmap(ids: DataFrame, bits_: int = FILTER_BITS) -> np.ndarray:
 
 
 def gathered(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(nid, fp, grams) of the sets that the filter passes, each once."""
+    """(nid, fp, grams) of the sets that the filter passes, each once: a task sends on one of its copies of a set."""
     schema = pa.schema([("nid", pa.int64()), ("fp", pa.binary()), ("grams", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
-        most = len(bits) * 8 - 1
+        most, seen = len(bits) * 8 - 1, set()
         for b in batches:
-            seen, nids, fps, grams, held = set(), [], [], [], 0
+            nids, fps, grams, held = [], [], [], 0
             for text in _texts(b):
                 g = gram_set(text, k)
                 fp = fingerprint(g)
@@ -447,6 +445,8 @@ def gathered(docs: DataFrame, k: int, wanted) -> DataFrame:
                 at = nid & most
                 if not len(g) or not bits[at >> 3] >> (7 - (at & 7)) & 1 or fp in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(fp)
                 nids.append(nid)
                 fps.append(fp)
@@ -748,11 +748,12 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     found = cut(classes(docs, k, num, den), "joined")
     per = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"), F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("first"))
     per = cut(per.filter("c > 1 or coalesce(first, 0) = 0"), "special")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(per.select(F.col("doc_id").alias("nid"))))
+    size = bits_for(per.count(), FILTER_BITS, FILTER_MOST, 8)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(per.select(F.col("doc_id").alias("nid")), size))
 
     @F.pandas_udf("boolean")
     def special(ids: pd.Series) -> pd.Series:
-        at = ids.to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
+        at = ids.to_numpy(np.int64) & ((1 << size) - 1)
         return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
 
     @F.pandas_udf("binary")

@@ -225,3 +225,24 @@ def test_trie_with_sets_inside_each_other():
         for i, s in enumerate(sets):
             found = {trie.order[j] for j in trie.walk(trie.sets[trie.place[i]], None)}
             assert found == {j for j, t in enumerate(sets) if 190 * len(np.intersect1d(s, t)) >= 90 * (len(s) + len(t))}
+
+
+def test_words_without_common_structure(spark):
+    """Thue-Morse words and their complements collide in every polynomial hash modulo 2^64."""
+    rows = []
+    for n in (10, 11, 12):
+        w = "a"
+        for _ in range(n):
+            w += w.translate(str.maketrans("ab", "ba"))
+        rows += [(len(rows), w), (len(rows) + 1, w.translate(str.maketrans("ab", "ba")))]
+    hashes = [int(J.word_hashes(t.encode())[0]) for _, t in rows]
+    assert len(set(hashes)) == len(rows)
+    out = J.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in out)
+
+
+def test_word_hashes_follow_words():
+    text = "One  two\tone " + "x" * 300 + " two " + "x" * 299 + "y " + "x" * 300
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    hashes = J.word_hashes(text.encode()).tolist()
+    assert [words.index(w) for w in words] == [hashes.index(h) for h in hashes]
