@@ -41,8 +41,9 @@ FIT_ROWS, TUNE_QUERIES = 16384, 128
 #: Share of true neighbours that must lie in the shards visited, and recall that the beam must reach on the sample.
 REACH, WANTED = 0.99, 0.95
 M, M0, EF_BUILD = 16, 32, 80
-#: Beams that are tried in turn; the last one is taken where none reaches WANTED.
+#: Beams that are tried in turn. Where none reaches WANTED, every node of the shards visited is scored: EXACT.
 EF_SEARCH = (112, 192, 320, 512, 768)
+EXACT, EXACT_CELLS = 1 << 62, 1 << 23
 BATCH, EXPAND, SEEN_BYTES = 1024, 4, 64 << 20
 
 
@@ -310,10 +311,15 @@ class Shard:
         for (a, b, top), graph in zip(self.bands, self.graphs):
             with np.errstate(over="ignore"):
                 may = np.flatnonzero(scores[:, -1] <= np.exp(log + top) * (1 + 1e-9))
-            for at in range(0, len(may), 512):
-                rows = may[at : at + 512]
+            step = 512 if graph is None or ef < EXACT else max(1, min(512, EXACT_CELLS // (b - a)))
+            for at in range(0, len(may), step):
+                rows = may[at : at + step]
                 if graph is None:
                     near = np.broadcast_to(np.arange(b - a), (len(rows), b - a))
+                elif ef >= EXACT:
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        sims = np.nan_to_num(q[rows] @ self.x[a:b].T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                    near = _top(sims, min(k + 1, b - a))
                 else:
                     near = graph.search(np.concatenate([unit[rows], np.zeros((len(rows), 1))], axis=1).astype(np.float32), k + 1, ef)
                 with np.errstate(over="ignore", invalid="ignore"):
@@ -511,7 +517,10 @@ def truth(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def tuned(nodes: DataFrame, routed: dict[int, dict], queries: DataFrame, k: int) -> tuple[int, int, float]:
-    """(visits, ef, recall on the sample): the least that reach REACH and WANTED on TUNE_QUERIES queries."""
+    """(visits, ef, recall on the sample): the least that reach REACH and WANTED on TUNE_QUERIES queries.
+
+    Where no beam does, ef is EXACT: the shards visited are then scored whole, and what is missed lies in other shards only.
+    """
     sample = cut(queries.orderBy(F.xxhash64("vec_id")).limit(TUNE_QUERIES), "sample")
     want = truth(nodes, sample, k).collect()
     vectors: dict[int, list] = {}
@@ -531,7 +540,7 @@ def tuned(nodes: DataFrame, routed: dict[int, dict], queries: DataFrame, k: int)
     for r in want:
         worst[r["query_id"]] = min(worst.get(r["query_id"], np.inf), r["score"])
     reached = 0.0
-    for ef in EF_SEARCH:
+    for ef in (*EF_SEARCH, EXACT):
         got = search(routed, sample, k, ef, visits).collect()
         reached = sum(r["score"] >= worst[r["query_id"]] - 1e-9 * abs(worst[r["query_id"]]) for r in got if r["query_id"] in worst) / len(want)
         if reached >= WANTED:

@@ -119,3 +119,17 @@ def test_flat_arrays_restore_the_graph():
     h = ann.Graph.of(x, *g.flat())
     assert h.entry == g.entry and all((a == b).all() for a, b in zip(g.levels, h.levels))
     assert all(((m >= -1) & (m < len(x))).all() for m in g.levels)
+
+
+def test_beams_that_miss_the_recall_give_way_to_whole_shards(spark, monkeypatch):
+    """With beams that cannot reach the recall wanted, the shards visited are scored whole."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist(), "s") for i, v in enumerate(rng.normal(size=(3000, 24)))]
+    monkeypatch.setattr(ann, "EF_SEARCH", (1,))
+    monkeypatch.setattr(ann, "WANTED", 2.0)
+    seen = []
+    tuned = ann.tuned
+    monkeypatch.setattr(ann, "tuned", lambda *a: seen.append(tuned(*a)) or seen[-1])
+    got = collected(ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, shard_rows=1000))
+    assert seen[0][1] == ann.EXACT and seen[0][2] >= ann.REACH
+    assert recall(got, brute(rows, lambda i: i % 20 == 0)) >= 0.97
