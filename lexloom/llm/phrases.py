@@ -114,7 +114,7 @@ class Segment:
         step[step == 0xFFFF] = np.frombuffer(large, "<i8")
         total = step.cumsum()
         ends = ends.astype(np.int64)
-        before = np.concatenate([[0], total])[np.concatenate([[0], ends[:-1]])]
+        before = np.concatenate([[0], total])[np.concatenate([[0], ends])[:-1]]
         return cls(terms.split(), ends, total - np.repeat(before, np.diff(ends, prepend=0)), lengths, gap)
 
 

@@ -253,7 +253,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     vectors(vec_id, embedding); other columns are not read. A vector that is null or empty, holds null, NaN or an
     infinity, or an entry from LARGEST on takes no part, nor does one whose number of entries is not the most frequent
     (ties: the smaller). Rows repeat as they are given, those of one id or without an id included; equal vectors get
-    equal rows. deviation is null where it exceeds a long (the model's spread() is exact). Where a component has no
+    equal rows, up to rounding. deviation is null where it exceeds a long (the model's spread() is exact). Where a component has no
     variance, as for one vector or equal ones, whitened is null; where none has, explained and identity_error are null
     too. Equal variances keep the order that the rotations leave. Empty table: empty result. The fit runs when the
     frame is made: three passes over the vectors, the result is the fourth.
