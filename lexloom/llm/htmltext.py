@@ -3,7 +3,7 @@
 A page becomes a sequence of leaf blocks: runs of text between block-level tags, with features of their ancestors
 (tags, words of class and id, whether they are hidden), of their place (inside the element that holds most of the
 page's prose, and how deep below it) and of their text (length, share of links, punctuation). The field labels each
-block main or other; its weights are learned from labelled pages, a third of which have names that mean nothing, and
+block main or other; its weights are learned from labelled pages (trained(), kept in htmlweights.py), a third of which have names that mean nothing, and
 decoding is Viterbi's algorithm. Text that the page itself hides (hidden, aria-hidden, display:none) is no main text.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from lexloom.storage import bounded_batches
 
+from .htmlweights import MOVES, WEIGHTS
+
 #: Elements whose tags end a block (HTML's block-level and table elements, and list and form parts).
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -64,13 +66,26 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HREF = re.compile(r"\bhref\s*=", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])(?!\s*=\s*[\"']?(?:false|until-found))|\baria-hidden\s*=\s*[\"']?true|\bdisplay\s*:\s*none", re.I)
-#: Attributes longer than this are not searched for hiding words: they hold data.
-_ATTRS = 4096
+_HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+_NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none")
+_NAMED = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
 
+def hides(attributes: str) -> bool:
+    """Whether the attributes of a tag hide its element; what merely speaks of hiding in a value does not."""
+    if not _HIDDEN.search(attributes):
+        return False
+    for a in _NAMED.finditer(attributes):
+        name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+        if name == "hidden" and value not in ("false", "until-found") or name == "aria-hidden" and value == "true":
+            return True
+        if name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 class _Open:
     """An open element: its tag and the features of it and all its ancestors, shared along the path."""
 
@@ -143,9 +158,8 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         if tag in RAW:
             if tag in BLOCKS:
                 flush()
-            end = _END[tag].search(page, at) if not m[3].endswith("/") else None
-            if not m[3].endswith("/"):
-                at = end.end() if end else n
+            end = _END[tag].search(page, at)  # also behind a slash: these elements are never closed by their own tag
+            at = end.end() if end else n
             continue
         if tag == "br":
             parts.append(" ")
@@ -178,7 +192,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
                     if hint := HINTS.get(w.lower()):
                         more.add("hint:" + hint)
                         near = hint
-            if len(m[3]) <= _ATTRS and _HIDDEN.search(m[3]):
+            if hides(m[3]):
                 more.add("in:hidden")
         features = top.features if more <= top.features else top.features | more
         stack.append(_Open(tag, features, near, top.links or (tag == "a" and bool(_HREF.search(m[3] or ""))), top))
@@ -202,13 +216,15 @@ def _features(i: int, n: int, text: str, top: _Open, own: str, links: float, hom
     out += ["home:" + place, "home:" + place + ":" + ("links" if links >= 0.35 else "long" if size > 80 else "short")]
     out.append("size:%d" % min(6, int(math.log2(size + 1)) // 2))
     out.append("links:%d" % (0 if links == 0 else 1 if links < 0.35 else 2 if links < 0.8 else 3))
-    out.append("end:" + ("stop" if text[-1] in ".!?…:;\"'”»" else "other"))
+    out.append("end:" + ("stop" if text[-1] in ".!?…:;\"'”»。！？」।؟" else "other"))
     if size > 80 and links < 0.35:
         out.append("prose")
     if "©" in text or "®" in text:
         out.append("mark")
     if n > 1:
         out.append("at:%d" % min(4, 5 * i // n))
+    if n <= 3:
+        out += ["few", "few:" + ("links" if links >= 0.35 else "own" if own in ("p", "pre", "blockquote") else "other")]
     return out
 
 
@@ -430,16 +446,61 @@ class _Maker:
         return f"<!DOCTYPE html><html><head><title>t</title></head><body>{''.join(parts)}</body></html>"
 
 
-def labelled_page(seed: int, foreign: bool = False) -> tuple[str, list[tuple[str, int]]]:
+    def plain_page(self) -> str:
+        """Hardly any markup: a heading or none, and some paragraphs, also short or single ones."""
+        r = self.rng
+        parts = [f"<h1>{self.say(self.words(2, 8).capitalize(), 1)}</h1>"] if r.random() < 0.4 else []
+        for _ in range(r.choice((1, 1, 1, 2, 3, 6))):
+            t = self.say(self.sentence(2, 9) if r.random() < 0.4 else self.words(2, 8) if r.random() < 0.3 else self.prose(), 1)
+            parts.append(f"<{k}>{t}</{k}>" if (k := r.choice(("p", "p", "p", "pre", "div"))) else t)
+        if len(parts) > 2 and r.random() < 0.4:
+            parts.append(f"<p>{self.say('© ' + self.words(2, 5), 0)}</p>")
+        body = "".join(parts)
+        return r.choice((f"<body>{body}</body>", body, f"<html><head><title>t</title></head><body>{body}</body></html>", f"<body><main>{body}</main></body>"))
+
+    def table_page(self) -> str:
+        """Layout by tables: cells of links or bare words around a cell that holds the article."""
+        r = self.rng
+        cell = lambda: "<td>" + (self.links(1) if r.random() < 0.4 else self.say(self.words(1, 3), 0) if r.random() < 0.5 else f'<a href="/">{self.say(self.words(1, 2), 0)}</a>') + "</td>"
+        top = "<tr>" + "".join(cell() for _ in range(r.randint(1, 6))) + "</tr>" if r.random() < 0.85 else ""
+        side = "<td>" + self.links(r.randint(2, 6)) + "</td>" if r.random() < 0.4 else "".join(cell() for _ in range(r.randint(0, 2)))
+        inner = f"<h1>{self.say(self.words(3, 9).capitalize(), 1)}</h1>" if r.random() < 0.8 else ""
+        inner += "".join(f"<p>{self.say(self.prose() + ' ' + self.sentence(8, 16), 1)}</p>" for _ in range(r.choice((1, 2, 3, 5))))
+        foot = "<tr>" + "".join(cell() for _ in range(r.randint(1, 3))) + "</tr>" if r.random() < 0.7 else ""
+        return f"<html><body><table>{top}<tr>{side}<td>{inner}</td></tr>{foot}</table></body></html>"
+
+    def index_page(self) -> str:
+        """Links and nothing else, or a forum: none of it is an article's text."""
+        r = self.rng
+        parts = [self.junk("header") if r.random() < 0.5 else "", self.junk("nav")]
+        parts += [self.links(r.randint(4, 14)) for _ in range(r.randint(1, 3))]
+        return f"<html><body>{''.join(parts)}{self.junk('footer') if r.random() < 0.6 else ''}</body></html>"
+
+    def code_page(self) -> str:
+        """A manual: paragraphs with code between them."""
+        r, out = self.rng, [f"<h1>{self.say(self.words(2, 6).capitalize(), 1)}</h1>"]
+        for _ in range(r.randint(2, 6)):
+            out.append(f"<p>{self.say(self.prose(), 1)}</p>")
+            code = self.say("; ".join(f"{self.words(1, 1)}({self.words(1, 1)})" for _ in range(r.randint(1, 8))), 1)
+            out.append(r.choice((f"<pre><code>{code}</code></pre>", f"<pre>{code}</pre>", f'<div class="highlight"><pre>{code}</pre></div>')))
+        inner = "".join(out)
+        box = r.choice((f"<main>{inner}</main>", f"<div>{inner}</div>", f'<div class="{self.words(1, 1)}">{inner}</div>'))
+        return f"<html><body>{self.junk('nav')}{box}{self.junk('footer') if r.random() < 0.6 else ''}</body></html>"
+
+
+FAMILIES = ("page", "plain_page", "table_page", "index_page", "code_page")
+
+
+def labelled_page(seed: int, foreign: bool = False, family: str = "page") -> tuple[str, list[tuple[str, int]]]:
     """A generated page and its blocks of text with labels, in page order; foreign: with names that mean nothing."""
-    m = _Maker(random.Random(seed), foreign)
-    return m.page(), m.gold
+    m = _Maker(random.Random(f"{family}-{seed}" if family != "page" else seed), foreign)
+    return getattr(m, family)(), m.gold
 
 
-def examples(seeds, foreign: bool = False) -> list[tuple[list[list[str]], list[int]]]:
+def examples(seeds, foreign: bool = False, family: str = "page") -> list[tuple[list[list[str]], list[int]]]:
     out = []
     for seed in seeds:
-        page, gold = labelled_page(seed, foreign)
+        page, gold = labelled_page(seed, foreign, family)
         found = blocks(page)
         label = {" ".join(t.split()): y for t, y in gold}
         if found:
@@ -447,15 +508,23 @@ def examples(seeds, foreign: bool = False) -> list[tuple[list[list[str]], list[i
     return out
 
 
-TRAIN_PAGES, FOREIGN_PAGES = 1000, 500
-_FIELD: list[Field] = []
+TRAIN_PAGES, FOREIGN_PAGES, FAMILY_PAGES = 1000, 500, 150
+
+
+def trained() -> Field:
+    """The field trained on generated pages: TRAIN_PAGES, FOREIGN_PAGES and FAMILY_PAGES of every other family; deterministic."""
+    pages = examples(range(TRAIN_PAGES)) + examples(range(FOREIGN_PAGES), foreign=True)
+    for i, family in enumerate(FAMILIES[1:]):
+        pages += examples(range(FAMILY_PAGES), foreign=i % 2 == 1, family=family)
+    return Field().fit(pages)
 
 
 def field() -> Field:
-    """The field trained on TRAIN_PAGES and FOREIGN_PAGES generated pages; deterministic, once per process."""
-    if not _FIELD:
-        _FIELD.append(Field().fit(examples(range(TRAIN_PAGES)) + examples(range(FOREIGN_PAGES), foreign=True)))
-    return _FIELD[0]
+    """The field with the weights that trained() gives, as kept in htmlweights.py; those of the two labels are opposite."""
+    out = Field()
+    out.w = {f: [-x, x] for f, x in WEIGHTS.items()}
+    out.t = [list(x) for x in MOVES]
+    return out
 
 
 def main_text(page: str | None, crf: Field) -> str:
@@ -466,7 +535,7 @@ def main_text(page: str | None, crf: Field) -> str:
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:
     """pages with text and n_chars (columns of these names are replaced; others keep their values, whatever their names).
 
-    A narrow pass over whole pages. The weights (a few hundred features) are trained on the driver and broadcast.
+    A narrow pass over whole pages with the weights of about a hundred features.
     Null and empty pages, and pages without a main block, have an empty text; repeated rows agree; an empty table
     gives an empty result. Parsing is linear in the page, for unclosed and misnested tags too.
     """
