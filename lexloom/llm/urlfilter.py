@@ -32,15 +32,25 @@ def place_of(url: Column) -> Column:
     return F.concat_ws("/", F.array_insert(segments, 1, host_of(url)))
 
 
-def keys_of(place: Column) -> Column:
-    """All keys of a place: the host, the domains above it, the host with leading path segments."""
-    parts = F.split(place, "/")
-    labels = F.split(parts[0], r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(
-        F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i > 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
-    )
-    return F.array_distinct(F.concat(domains, paths))
+def listed_sizes(entries: DataFrame) -> tuple[list[int], list[int]]:
+    """(numbers of labels, numbers of path segments) that the listed keys have: small sets, got by one job.
+
+    A URL has so many keys at most as there are sizes, whatever its length.
+    """
+    key = entries.filter("key is not null").select(F.split("key", "/").alias("parts"))
+    size = F.struct(F.when(F.size("parts") == 1, F.size(F.split(F.col("parts")[0], r"\."))).alias("labels"), (F.size("parts") - 1).alias("segments"))
+    found = key.select(size.alias("s")).distinct().collect()
+    return sorted({r["s"]["labels"] for r in found} - {None}), sorted({r["s"]["segments"] for r in found} - {0})
+
+
+def keys_of(place: Column, labels: list[int], segments: list[int]) -> Column:
+    """The keys of a place that a list with keys of these sizes may hold: the host and the domains above it, by their
+    numbers of labels, and the host with leading path segments, by their number."""
+    host = F.substring_index(place, "/", 1)
+    dots, slashes = F.regexp_count(host, F.lit(r"\.")), F.regexp_count(place, F.lit("/"))
+    domains = [F.when(dots >= n - 1, F.substring_index(host, ".", -n)) for n in labels]
+    paths = [F.when(slashes >= n, F.substring_index(place, "/", n + 1)) for n in segments]
+    return F.array_distinct(F.array_compact(F.array(*domains, *paths, F.lit(None).cast("string"))))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -68,12 +78,15 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     """captures with host, rule_key, rule_since, action and blocked (columns of these names are replaced).
 
     Unlisted captures, and those without a host or a date, have null rule columns and are not blocked. Repeated
-    captures agree. Empty captures: empty result; empty entries: nothing is blocked.
+    captures agree. Of one key's entries on one day the strongest counts; of a capture's listed keys the longest, then
+    the greatest by code point. Long URLs are read whole: a URL has a key for each size (labels, segments) that listed
+    keys have, so its cost grows with its length. Empty captures: empty result; empty entries: nothing is blocked.
+    Two small jobs run when the frame is made: the sizes of the listed keys, and the captures' last day.
     """
     rest = [c for c in captures.columns if c not in ("host", "rule_key", "rule_since", "action", "blocked")]
     placed = captures.select(*rest, host_of(F.col(url)).alias("host"), place_of(F.col(url)).alias("__place"), F.to_date(fetched).alias("__day"))
     asked = placed.filter("host is not null and __day is not null").select("__place", "__day").distinct()
-    asked = asked.select("__place", "__day", F.explode(keys_of(F.col("__place"))).alias("key"))
+    asked = asked.select("__place", "__day", F.explode(keys_of(F.col("__place"), *listed_sizes(entries))).alias("key"))
     probes = asked.select("key", "__day").distinct().withColumn("month", _month(F.col("__day")))
     # no interval needs to reach past the captures' last day: one value, got beforehand
     last = captures.agg(F.max(F.to_date(fetched))).first()[0]

@@ -62,3 +62,22 @@ def test_empty_tables(spark):
 def test_native_plan(spark):
     plan = urlfilter.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_long_urls_take_linear_time(spark):
+    """A path of a megabyte, a host of a hundred thousand labels and a listed key of many segments."""
+    import time
+
+    deep = "x.org/" + "/".join("ab" for _ in range(300))
+    entries = [*ENTRY_ROWS, (deep, D(2024, 1, 1), "block", ""), ("p.net", D(2024, 1, 1), "block", "")]
+    rows = [(1, "http://x.org/" + "ab/" * 350_000, D(2024, 2, 1), "k", "h"), (2, "http://" + "a." * 100_000 + "p.net/", D(2024, 2, 1), "k", "h"), (3, "http://x.org/" + "ab/" * 299, D(2024, 2, 1), "k", "h")]
+    rows += [(4, "http://x.org/" + "y" * 1_000_000, D(2024, 2, 1), "k", "h")]
+    began = time.time()
+    got = {r.id: r.rule_key for r in urlfilter.url_filter(spark.createDataFrame(rows, CAPTURES), spark.createDataFrame(entries, ENTRIES)).collect()}
+    assert got == {1: deep, 2: "p.net", 3: "x.org", 4: "x.org"}
+    assert time.time() - began < 20
+
+
+def test_keys_have_listed_sizes_only(spark):
+    entries = spark.createDataFrame([("a.b.c", None, "block", ""), ("x.org/p/q", None, "block", ""), (None, None, "block", "")], ENTRIES)
+    assert urlfilter.listed_sizes(entries) == ([3], [2])
