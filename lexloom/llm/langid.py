@@ -24,8 +24,8 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 #: Expected number of labelled rows to fit on, drawn by hash of the row's id; the one sample of this operator.
 TRAIN_ROWS = 20_000
-#: Bytes of the log-probability matrix, at most; with more than 2,048 languages n-grams share fewer buckets.
-MATRIX_BYTES = 256 << 20
+#: Languages at most: their log-probabilities, 128 KB each, are broadcast.
+MAX_LANGUAGES = 2048
 UNDETERMINED = "und"
 #: Letters that are scored at once: those of many short texts, or a part of a long one.
 _CHUNK = 1 << 18
@@ -61,11 +61,6 @@ def buckets(codes: np.ndarray, order: int, bits: int = BUCKET_BITS) -> np.ndarra
     return h >> np.uint32(32 - bits)
 
 
-def bits_for(langs: int) -> int:
-    """Bits of the buckets: BUCKET_BITS, fewer where the matrix of so many languages would not fit."""
-    return max(4, min(BUCKET_BITS, (MATRIX_BYTES // (4 * max(1, langs))).bit_length() - 1))
-
-
 def _counts(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     total: dict[str, list] = {}
     for b in batches:
@@ -94,13 +89,15 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     """Model of labelled (doc_id, text, lang); rows without a language or a letter teach nothing.
 
     Deterministic: the sample is drawn by hash of doc_id at the rate rows / (number of labelled rows), counts are
-    integers. Its size: one vector of 2^BUCKET_BITS floats per language, all of them at most MATRIX_BYTES: with more
-    languages than fit there are fewer buckets, not fewer languages.
+    integers. Its size: one vector of 2^BUCKET_BITS floats per language. It is broadcast, so more than MAX_LANGUAGES
+    are an error: there are fewer written languages with digital text than that.
     """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.filter("lang is not null").select("doc_id", "text", "lang")
     n, langs = labelled.agg(F.count("*"), F.countDistinct("lang")).first()
-    bits = bits_for(langs)
+    if langs > MAX_LANGUAGES:
+        raise ValueError(f"{langs} languages; at most {MAX_LANGUAGES}")
+    bits = BUCKET_BITS
     if n > rows:
         draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30))
         labelled = labelled.filter(draw < int(rows / n * (1 << 30)))

@@ -116,13 +116,12 @@ def test_batches_equal_single_texts(model, monkeypatch):
         assert langs == [x for x, _ in whole] and score == pytest.approx([s for _, s in whole])
 
 
-def test_many_languages_keep_the_matrix_small(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MATRIX_BYTES", 1 << 12)
+def test_languages_are_bounded_and_the_hash_space_is_not(spark, monkeypatch):
     docs = spark.createDataFrame(rows(), SCHEMA)
-    m = langid.fit(docs)
-    assert m["logp"].nbytes <= 1 << 12 and len(m["langs"]) == 3
-    got = langid.predict(docs, m).collect()
-    assert sum(r.lang == r.lang_pred for r in got) > 0.8 * len(got)
+    assert langid.fit(docs)["logp"].shape == (1 << langid.BUCKET_BITS, 3)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="3 languages; at most 2"):
+        langid.fit(docs)
 
 
 def test_training_sample_is_bounded_and_stable(spark):
