@@ -40,7 +40,7 @@ LEAST, FALL = 20, 40.0
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGITS
-#: Publicly documented credential formats: literal parts and (alphabet, length) parts.
+#: Publicly documented credential formats: literal parts and parts of an (alphabet, length), or of lengths (least, most).
 FORMATS = {
     "github": ["gh", ("pousr", 1), "_", (_ALNUM, 36)],
     "gitlab": ["glpat-", (_ALNUM + "_-", 20)],
@@ -49,6 +49,9 @@ FORMATS = {
     "stripe": ["sk_", "live_", (_ALNUM, 24)],
     "npm": ["npm_", (_ALNUM, 36)],
     "sendgrid": ["SG.", (_ALNUM + "_-", 22), ".", (_ALNUM + "_-", 43)],
+    "huggingface": ["hf_", (_UPPER + _LOWER, (34, 37))],
+    "pypi": ["pypi-AgEIcHlwaS5vcmc", (_ALNUM + "_-", (70, 150))],
+    "google_oauth": ["ya29.", (_ALNUM + "_-", (60, 140))],
     "jwt": ["eyJ", (_ALNUM + "_-", 33), ".", "eyJ", (_ALNUM + "_-", 60), ".", (_ALNUM + "_-", 43)],
 }
 
@@ -56,7 +59,13 @@ FORMATS = {
 def labelled(samples: int = SAMPLES, seed: int = SEED) -> dict[str, list[str]]:
     """Credentials by format, drawn from FORMATS with a fixed seed."""
     rng = random.Random(seed)
-    draw = lambda part: part if isinstance(part, str) else "".join(rng.choice(part[0]) for _ in range(part[1]))
+
+    def draw(part) -> str:
+        if isinstance(part, str):
+            return part
+        size = part[1] if isinstance(part[1], int) else rng.randint(*part[1])
+        return "".join(rng.choice(part[0]) for _ in range(size))
+
     return {name: ["".join(map(draw, parts)) for _ in range(samples)] for name, parts in FORMATS.items()}
 
 
@@ -204,12 +213,16 @@ def starts() -> re.Pattern:
     return _STARTS[0]
 
 
-def longest(word: str, floor: float = 1e-4) -> int:
-    """Length of the likeliest beginning of the word that reaches THRESHOLD under some automaton, 0 if none does."""
+def longest(text: str, start: int, end: int, floor: float = 1e-4) -> int:
+    """Length of the likeliest beginning of text[start:end] that reaches THRESHOLD under some automaton, 0 if none does.
+
+    A walk reads no more than it needs: it ends where the ratio has fallen by FALL.
+    """
     best, length = 0.0, 0
     for a in automata().values():
         q, before, total, top = 0, "a", 0.0, 0.0
-        for i, c in enumerate(word):
+        for i in range(end - start):
+            c = text[start + i]
             s = symbol(c, i)
             if i < HEAD and s not in a.next[q]:
                 break
@@ -230,7 +243,7 @@ def inside(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     """Credentials of text[start:end] that begin as some format does, whatever they are glued to, up to the word's end."""
     out, at = [], start
     for m in starts().finditer(text, start, end):
-        if m.start() >= at and end - m.start() >= LEAST and (n := longest(text[m.start() : end])):
+        if m.start() >= at and end - m.start() >= LEAST and (n := longest(text, m.start(), end)):
             at = _TAIL.match(text, m.start() + n, end).end()
             out.append((m.start(), at, "format"))
     return out

@@ -263,3 +263,19 @@ def test_whole_table_against_patterns(spark):
         assert r.base_sha256 == hashlib.sha256(S.written(b).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, _, k in b) for x in ("assign", "access", "hex"))
         assert {f"{k}:{a}:{e}" for a, e, k in b} <= set(filter(None, r.spans.split(",")))
+
+
+def test_further_formats_and_lengths():
+    """Credentials of varying lengths, on their own and glued, and runs full of beginnings in linear time."""
+    import time
+
+    for seed in range(3):
+        for name, found in S.labelled(20, seed + 100).items():
+            for c in found:
+                text = f"x {c} y, url=/{c}"
+                spans = S.scan(text)[1]
+                assert any(a <= 2 and b >= 2 + len(c) for a, b, _ in spans), (name, c)
+    for beginning in ("ghp_", "eyJa", "hf_", "ya29."):
+        began = time.time()
+        S.scan(beginning * (60_000 // len(beginning)))
+        assert time.time() - began < 10
