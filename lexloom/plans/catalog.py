@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.functions.vectors import norm, normalized
-from lexloom.operators import corpus, evaluate, fusion, graph, index, rag, search, syntax, vector
+from lexloom.operators import blockmax, corpus, evaluate, fusion, graph, index, lsa, positional, quantized, rag, search, syntax, vector
 from lexloom.sources import files
 from lexloom.storage import cut, fresh_path, table
 from lexloom.streaming import incremental
@@ -155,6 +155,43 @@ def vector_index(spark: SparkSession, sf_dir: str, which: str) -> vector.LshInde
     return kept[name]
 
 
+def block_index(spark: SparkSession, sf_dir: str) -> blockmax.BlockIndex:
+    kept = _built(spark, sf_dir)
+    if "blocks" not in kept:
+        kept["blocks"] = blockmax.BlockIndex.build(built(spark, sf_dir))
+    return kept["blocks"]
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positional postings of all tokens, stop words included."""
+    kept = _built(spark, sf_dir)
+    if "positions" not in kept:
+        kept["positions"] = cut(positional.postings(tokenized(spark, sf_dir)), "positions")
+    return kept["positions"]
+
+
+def quantized_index(spark: SparkSession, sf_dir: str) -> quantized.IvfPq:
+    """The inverted file of the embeddings table, written and read again once per application."""
+    kept = _built(spark, sf_dir)
+    if "ivfpq" not in kept:
+        path = fresh_path(spark, "ivfpq")
+        quantized.IvfPq.build(all_vectors(spark, sf_dir)[1], DIM).save(path)
+        kept["ivfpq"] = quantized.IvfPq.load(spark, path)
+    return kept["ivfpq"]
+
+
+def latent(spark: SparkSession, sf_dir: str) -> tuple[lsa.Lsa, DataFrame, DataFrame]:
+    """(model, vectors of the documents, vectors of the passages), once per application."""
+    kept = _built(spark, sf_dir)
+    if "lsa" not in kept:
+        ix = built(spark, sf_dir)
+        rows = cut(lsa.rows(ix.tf, ix.idf, "doc_id"), "lsa-rows")
+        model = lsa.Lsa.fit(rows, DIM)
+        terms = search.query_terms(asked(spark, sf_dir)).withColumnRenamed("m", "f")
+        kept["lsa"] = (model, cut(model.embed(rows, "doc_id"), "lsa"), cut(model.embed(lsa.rows(terms, ix.idf, "query_id"), "query_id"), "lsa"))
+    return kept["lsa"]
+
+
 def ranked_by(spark: SparkSession, sf_dir: str, method: str, k: int = 5) -> DataFrame:
     """query_id, doc_id, score, rank of a method by its id."""
     if k == 5:
@@ -383,6 +420,54 @@ def bm25_topk(spark, sf_dir):
     return ranked_by(spark, sf_dir, "bm25")
 
 
+@query(f"WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 5, 'b5')} SELECT * FROM b5")
+def bm25_blockmax_topk(spark, sf_dir):
+    """bm25_topk by bounds of blocks, then scores where a document may be among the best."""
+    return block_index(spark, sf_dir).search(asked(spark, sf_dir))[0]
+
+
+_RANGE = f"(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % greatest(1, ceil(n / {blockmax.RANGE_DOCS}.0))::BIGINT)::BIGINT"
+
+
+@query(f"""WITH {_TF}, g AS (SELECT token, {_RANGE} AS range, f * (1.25::DOUBLE + 1) / (f + 1.25::DOUBLE * (1 - 0.6::DOUBLE + 0.6::DOUBLE * len / avgdl)) AS gain FROM tf JOIN dl USING (doc_id), st)
+    SELECT token, range, count(*) AS n, round(max(gain), 6) AS top FROM g GROUP BY token, range""")
+def bm25_blocks(spark, sf_dir):
+    """The blocks of postings with their maxima."""
+    return block_index(spark, sf_dir).blocks.select("token", "range", "n", F.round("top", 6).alias("top"))
+
+
+_POS = f"ta AS MATERIALIZED (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM documents), pos AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pl FROM ta)"
+
+
+@query(f"WITH {_POS} SELECT token, doc_id, count(*) AS f, string_agg(pl::VARCHAR, ',' ORDER BY pl) AS positions FROM pos GROUP BY token, doc_id")
+def positional_postings(spark, sf_dir):
+    return positions(spark, sf_dir).withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
+
+
+@query(f"""WITH {_POS}, q AS (SELECT item_id AS query_id, {_TOKENS.format('text')} AS qt FROM benchmark),
+    c AS (SELECT query_id, doc_id, qt, toks FROM q JOIN ta ON len(qt) > 0 AND contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || array_to_string(qt, ' ') || ' ')),
+    m AS (SELECT query_id, doc_id, list_filter(range(0, len(toks) - len(qt) + 1), lambda i: toks[i + 1:i + len(qt)] = qt) AS starts FROM c)
+    SELECT query_id, doc_id, len(starts) AS n, list_min(starts)::INT AS first FROM m""")
+def phrase_match(spark, sf_dir):
+    """Documents that hold the words of a passage in a row."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("tokens"))
+    return positional.phrases(q, positions(spark, sf_dir))
+
+
+@query(f"""WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 20, 'b20')}, {_POS},
+    ev AS MATERIALIZED (SELECT c.query_id, c.doc_id, token, pl FROM b20 c JOIN qt USING (query_id) JOIN pos USING (doc_id, token)),
+    tt AS MATERIALIZED (SELECT query_id, doc_id, token, count(*) OVER (PARTITION BY query_id, doc_id) AS matched FROM (SELECT DISTINCT query_id, doc_id, token FROM ev)),
+    ends AS (SELECT e.query_id, e.doc_id, e.pl, t.token, t.matched FROM (SELECT DISTINCT query_id, doc_id, pl FROM ev) e JOIN tt t ON t.query_id = e.query_id AND t.doc_id = e.doc_id),
+    lp AS (SELECT e.query_id, e.doc_id, e.pl, e.matched, x.pl AS p FROM ends e ASOF JOIN ev x ON x.query_id = e.query_id AND x.doc_id = e.doc_id AND x.token = e.token AND e.pl >= x.pl),
+    sp AS (SELECT query_id, doc_id, any_value(matched) AS matched, min(size) AS span FROM (SELECT query_id, doc_id, pl, matched, pl - min(p) + 1 AS size FROM lp GROUP BY query_id, doc_id, pl, matched HAVING count(*) = matched) GROUP BY query_id, doc_id),
+    rs AS (SELECT c.query_id, c.doc_id, round(score + ln({positional.ALPHA}::DOUBLE + coalesce(exp(-span::DOUBLE / matched), 0)), 6) AS score FROM b20 c LEFT JOIN sp ON sp.query_id = c.query_id AND sp.doc_id = c.doc_id), {_best('rs', 5, 'f5')}
+    SELECT * FROM f5""")
+def proximity_topk(spark, sf_dir):
+    """BM25's best, reranked by how near a passage's words stand to each other."""
+    q = asked(spark, sf_dir)
+    return positional.proximity_rerank(ranked_by(spark, sf_dir, "bm25", fusion.RERANK), q, positions(spark, sf_dir), 5)
+
+
 @query()
 def overlap_topk_stemmed(spark, sf_dir):
     ix = built(spark, sf_dir, stem=True)
@@ -424,6 +509,34 @@ def ann_recall(spark, sf_dir):
     return vector.recall(vector_index(spark, sf_dir, "embeddings").search(q, but_self=True), vector.cosine(q, v, but_self=True))
 
 
+@query()
+def ann_ivfpq_topk(spark, sf_dir):
+    """Every vector asked against all others, by cells and codes."""
+    return quantized_index(spark, sf_dir).search(all_vectors(spark, sf_dir)[0], but_self=True)
+
+
+@query()
+def ann_ivfpq_recall(spark, sf_dir):
+    q, v = all_vectors(spark, sf_dir)
+    return vector.recall(quantized_index(spark, sf_dir).search(q, but_self=True), vector.cosine(q, v, but_self=True))
+
+
+@query()
+def semantic_lsa_topk(spark, sf_dir):
+    """Passages against documents by the cosine of their latent semantic vectors."""
+    _, docs, passages = latent(spark, sf_dir)
+    return vector.cosine(passages, docs)
+
+
+@query()
+def lsa_singular_values(spark, sf_dir):
+    """The singular values of the documents' tf-idf rows, falling, with the share of the squares that they hold."""
+    values = [float(v) for v in latent(spark, sf_dir)[0].values]
+    n = doc_vectors(spark, sf_dir).filter("embedding is not null").agg(F.count("*").alias("n"))
+    each = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(len(values))).alias("i"), F.array(*map(F.lit, values)).alias("value")))
+    return n.select("n", each.alias("x")).select("x.i", F.round("x.value", 4).alias("value"), F.round(F.pow("x.value", 2) / F.col("n"), 6).alias("share"))
+
+
 @query()
 def metrics_ann(spark, sf_dir):
     """The metrics of the approximate method, which SQL cannot follow."""
