@@ -50,14 +50,14 @@ FILTER_BITS, FILTER_MOST = 25, 30
 #: Sets and n-grams under one hub up to which the bitmap filter works; larger hubs keep all their sets.
 FILTER_SETS, FILTER_GRAMS = 1 << 13, 1 << 27
 #: Sets that a task remembers, in order to send on one copy of each.
-SEEN = 1 << 18
+SEEN = 1 << 16
 #: N-grams in a block, expected.
 BLOCK_GRAMS = 1 << 19
 #: Rounds in which the sets of large hubs meet again in smaller groups.
 SPLITS = 2
 #: Share of all rows from which on copies of a text count as a hot group; there are at most this many of them.
 HOT_GROUPS = 4096
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240301)
 #: A random number for each byte at each of the first places of a word; farther ones are mixed from byte and place.
@@ -95,10 +95,15 @@ def word_hashes(data: bytes) -> np.ndarray:
         edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
         start, stop = edge[::2], edge[1::2]
         if len(start):
-            place = np.arange(len(part)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(part)]])))
-            value = _AT[np.minimum(place, _PLACES - 1) * 256 + part]
+            place = np.arange(len(part), dtype=np.int32)
+            place -= np.repeat(np.concatenate([[0], start]).astype(np.int32), np.diff(np.concatenate([[0], start, [len(part)]])))
             far = np.flatnonzero(place >= _PLACES)
-            value[far] = _mixed(_mixed(place[far].astype(np.uint64)) ^ value[far])
+            beyond = place[far].astype(np.uint64)
+            np.minimum(place, _PLACES - 1, out=place)
+            place *= 256
+            place += part
+            value = _AT[place]
+            value[far] = _mixed(_mixed(beyond) ^ value[far])
             value[blank] = 0
             out.append(_mixed(np.add.reduceat(value, start) + (stop - start).astype(np.uint64)))
         at = end
@@ -281,6 +286,7 @@ def frequencies(parts: DataFrame, size: int) -> np.ndarray:
         if total:
             level = [level_of(t).tobytes() for t in total.values()]
             yield pd.DataFrame({"slice": list(total), "level": level})
+        released()
 
     # a slice streams through one task, whatever the number of parts; it holds the sums only
     found = parts.repartition(SLICES, "slice").mapInPandas(summed, "slice int, level binary").collect()
@@ -420,6 +426,7 @@ def bitmap(ids: DataFrame, bits_: int = FILTER_BITS) -> np.ndarray:
                 held.setdefault(int(s), np.zeros(part, bool))[at[at // part == s] % part] = True
         if held:
             yield pd.DataFrame({"slice": list(held), "bits": [np.packbits(x).tobytes() for x in held.values()]})
+        released()
 
     slice_of = F.floor(F.col("nid").bitwiseAND((1 << bits_) - 1) / part)
     found = ids.select("nid").repartition(SLICES, slice_of).mapInPandas(bits, "slice int, bits binary").collect()
@@ -457,6 +464,7 @@ def gathered(docs: DataFrame, k: int, wanted) -> DataFrame:
                     nids, fps, grams, held = [], [], [], 0
             if nids:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((nids, fps, grams), schema)], schema=schema)
+        released()
 
     # dealt by nid, as the join with the members needs them
     return docs.select("text").mapInArrow(made, "nid long, fp binary, grams binary").repartition("nid").dropDuplicates(["nid", "fp"])
