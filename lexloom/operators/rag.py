@@ -11,6 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
+
+from .sentences import Extractive
+from .sentences import answers as extracted
+
 CONTEXT_DOCS, CONTEXT_CHARS, TITLE_CHARS = 5, 800, 100
 RETRIEVAL_FAILED = "Documents could not be retrieved."
 PROMPT = """Use only the passages below to answer. If they do not hold the answer, say that you do not know.
@@ -38,24 +43,6 @@ def prompt(query: str, text: str) -> str:
     return PROMPT.format(context=text, query=query)
 
 
-@dataclass
-class Extractive:
-    """Offline generator: the context's sentences that share most words with the question."""
-
-    sentences: int = 2
-
-    def available(self) -> bool:
-        return True
-
-    def __call__(self, query: str, text: str) -> str | None:
-        import re
-
-        words = set(re.findall(r"\w+", query.lower()))
-        found = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n", text) if s.strip() and s.strip() != "---"]
-        best = sorted(range(len(found)), key=lambda i: (-len(words & set(re.findall(r"\w+", found[i].lower()))), i))[: self.sentences]
-        return " ".join(found[i] for i in sorted(best)) or None
-
-
 @dataclass
 class HttpModel:
     """A local model server with a generate endpoint; answers None on any failure."""
@@ -130,8 +117,14 @@ def report(a: Answer) -> str:
 
 
 def answers(ranked: DataFrame, queries: DataFrame, docs: DataFrame, generator=None) -> DataFrame:
-    """query_id, n_docs, answer, source for a batch of queries(query_id, query): contexts and answers on the executors."""
-    generator = generator or Extractive()
+    """query_id, n_docs, answer, source for a batch of queries(query_id, query): contexts and answers on the executors.
+
+    Without a generator the answers are sentences of the documents, ranked by joins; a generator, such as a model's
+    client, is called in Arrow batches.
+    """
+    if generator is None:
+        asked = queries.select("query_id", T.terms(F.col("query")).alias("tokens"))
+        return extracted(ranked, asked, docs).withColumn("source", F.lit(Extractive.__name__))
 
     @F.pandas_udf("string")
     def generated(q: pd.Series, c: pd.Series) -> pd.Series:

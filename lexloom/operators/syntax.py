@@ -56,6 +56,32 @@ def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
     return t.withColumn("dep", dep).select("doc_id", "sent", "i", "text", "lemma", pos.alias("pos"), "dep", head.alias("head"), F.when(is_name, F.col("lemma")).alias("name"))
 
 
+# Forms of "be" before a participle, and the word before the one who acts.
+BE, AGENT = ("is", "are", "was", "were", "been", "being", "be"), "by"
+
+
+def with_passives(tokens: DataFrame) -> DataFrame:
+    """The token table of parsed() with passives: name, a form of "be", a participle (-ed, -en, -n, -t), "by", name.
+
+    The first name becomes the participle's passive subject, "by" its preposition and the second name that one's object.
+    """
+    order = Window.partitionBy("doc_id", "sent").orderBy("i")
+    at = lambda c, k: F.lead(c, k).over(order) if k > 0 else F.lag(c, -k).over(order)
+    word = lambda k: F.lower(at("text", k)) if k else F.lower(F.col("text"))
+    name = lambda k: (at("pos", k) if k else F.col("pos")) == "PROPN"
+
+    def found(k: int):
+        """Whether such a run starts k tokens before this one."""
+        return F.coalesce(name(-k) & word(1 - k).isin(*BE) & F.regexp_like(word(2 - k), F.lit("^.+(?:ed|en|n|t)$")) & (word(3 - k) == AGENT) & name(4 - k), F.lit(False))
+
+    part = F.when(found(0), 0).when(found(2), 2).when(found(3), 3).when(found(4), 4)
+    out = tokens.withColumns({"__part": part, "__back": at("i", -1), "__on": at("i", 2)})
+    dep = F.when(F.col("__part") == 0, PASSIVE).when(F.col("__part") == 3, "prep").when(F.col("__part") == 4, "pobj").when(F.col("__part") == 2, "root").otherwise(F.col("dep"))
+    head = F.when(F.col("__part") == 0, F.col("__on")).when(F.col("__part").isin(3, 4), F.col("__back")).when(F.col("__part") == 2, F.col("i")).otherwise(F.col("head"))
+    pos = F.when(F.col("__part") == 2, "VERB").when(F.col("__part") == 3, "ADP").otherwise(F.col("pos"))
+    return out.select("doc_id", "sent", "i", "text", "lemma", pos.alias("pos"), dep.alias("dep"), head.alias("head"), "name")
+
+
 def named(tokens: DataFrame, spans: DataFrame, referents: DataFrame | None = None, last_wins: bool = True) -> DataFrame:
     """tokens with name: the entity whose span covers the token, else what its pronoun stands for.
 

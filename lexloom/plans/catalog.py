@@ -9,15 +9,18 @@ queries every vector, each against all rows but its own. Every query runs over i
 from __future__ import annotations
 
 import itertools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions import sql as sql_functions
 from lexloom.functions import text as T
 from lexloom.functions.vectors import norm, normalized
-from lexloom.operators import blockmax, corpus, evaluate, fusion, graph, index, lsa, positional, quantized, rag, search, syntax, vector
-from lexloom.sources import files
+from lexloom.operators import blockmax, components, corpus, evaluate, fusion, graph, index, lsa, positional, quantized, rag, search, sentences, syntax, vector
+from lexloom.sources import files, postings
 from lexloom.storage import cut, fresh_path, table
-from lexloom.streaming import incremental
+from lexloom.streaming import incremental, upkeep
 
 # The grid of the BM25 sweep, and the methods with their names and speeds.
 K1_GRID, B_GRID = (0.5, 1.0, 1.25, 1.5, 1.75, 2.0), (0.4, 0.6, 0.75, 0.85, 0.9, 1.0)
@@ -71,6 +74,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple, dict] = {}
 
 
+def forget() -> None:
+    """Let go of everything that was derived: the next query makes its own."""
+    _BUILT.clear()
+
+
 def _built(spark: SparkSession, sf_dir: str) -> dict:
     """What has been derived from a folder's tables in this application; changed files make a new entry."""
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -583,11 +591,6 @@ def enrich_results(spark, sf_dir):
     return corpus.enrich(r, documents(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str(m) for m in METHODS) + ") AS v(id, name, speed)")
-def method_catalog(spark, sf_dir):
-    return spark.createDataFrame(METHODS, "id string, name string, speed string")
-
-
 # ---- evaluation --------------------------------------------------------------------------------------------------
 
 
@@ -639,6 +642,14 @@ def bm25_sweep(spark, sf_dir):
     return evaluate.macro_means(evaluate.metrics(found, gold_of(spark, sf_dir), keys, group=("k1", "b")), "k1", "b")
 
 
+@query(f"{_EVAL}, {_MEANS} SELECT v.id, v.name, v.speed, mm.ndcg FROM (VALUES " + ", ".join(str(m) for m in METHODS) + ") AS v(id, name, speed) LEFT JOIN mm ON mm.method = v.id")
+def method_catalog(spark, sf_dir):
+    """The methods, with the quality that those that are compared reach on the passages."""
+    known = spark.createDataFrame(METHODS, "id string, name string, speed string")
+    means = evaluate.macro_means(scored_methods(spark, sf_dir)).select(F.col("method").alias("id"), "ndcg")
+    return known.join(means, "id", "left").select("id", "name", "speed", "ndcg")
+
+
 @query(f"{_EVAL}, {_MEANS} SELECT *, row_number() OVER (ORDER BY ndcg DESC, method) AS rank FROM mm")
 def method_ranking(spark, sf_dir):
     return evaluate.ranking(evaluate.macro_means(scored_methods(spark, sf_dir)))
@@ -669,8 +680,10 @@ def rag_context(spark, sf_dir):
     return rag.context(ranked_by(spark, sf_dir, "bm25"), table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"""{_HYBRID}, {sentences.oracle('f5').format(words=_CONTENT.format(_TOKENS.format('sentence')))}
+    SELECT n.query_id, n.n_docs, sa.answer, 'Extractive' AS source FROM (SELECT query_id, count(*) AS n_docs FROM f5 GROUP BY query_id) n LEFT JOIN sa USING (query_id)""")
 def rag_answer(spark, sf_dir):
+    """Two sentences of the best documents, by walks on the graph of shared words."""
     return rag.answers(ranked_by(spark, sf_dir, "fused"), asked(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
@@ -692,11 +705,34 @@ def graph_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 _ENT_STOP = ", ".join(f"'{w}'" for w in graph.ENTITY_STOP + graph.SENTENCE_STARTS)
-_ENTS = rf"""sn AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?]+\s+') AS ss FROM documents)),
+_CANONICAL = r"regexp_replace(trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', ' ', 'g')), '^the ', '')"
+
+
+def _labels_sql() -> str:
+    """CTE lb(name, label) of graph.propagated(), round by round, over sn(s)."""
+    seeds = ", ".join(f"('{side}:{w}', '{label}')" for (side, label), ws in graph.SEEDS.items() for w in ws.split())
+    side = lambda pattern, name, word, label: f"SELECT unnest(regexp_extract_all(s, '{pattern}', {name})) AS raw, '{label}:' || unnest(regexp_extract_all(s, '{pattern}', {word})) AS context FROM sn"
+    out = f"""cx AS MATERIALIZED (SELECT name, context, count(*) AS w FROM (SELECT {_CANONICAL.format('raw')} AS name, context FROM ({side(graph.AFTER, 1, 2, 'after')} UNION ALL {side(graph.BEFORE, 2, 1, 'before')}))
+      WHERE length(name) > 1 AND name NOT IN ({_ENT_STOP}) GROUP BY name, context),
+    k0 AS (SELECT context, min(label) AS label FROM (VALUES {seeds}) AS v(context, label) GROUP BY context), l0 AS (SELECT NULL::VARCHAR AS name, NULL::VARCHAR AS label WHERE false)"""
+
+    def voted(key: str, labelled: str, by: str, done: str) -> str:
+        return f"""SELECT * FROM {done} UNION ALL SELECT {key}, label FROM (SELECT {key}, label, row_number() OVER (PARTITION BY {key} ORDER BY sum(w) DESC, label) AS place
+      FROM cx JOIN {labelled} USING ({by}) WHERE {key} NOT IN (SELECT {key} FROM {done}) GROUP BY {key}, label) WHERE place = 1"""
+
+    for i in range(graph.LABEL_ROUNDS):
+        out += f""",
+    l{i + 1} AS MATERIALIZED ({voted('name', f'k{i}', 'context', f'l{i}')}),
+    k{i + 1} AS MATERIALIZED ({voted('context', f'l{i + 1}', 'name', f'k{i}')})"""
+    return out + f""",
+    lb AS (SELECT * FROM l{graph.LABEL_ROUNDS})"""
+
+
+_ENTS = rf"""sn AS MATERIALIZED (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?]+\s+') AS ss FROM documents)),
     rn AS (SELECT doc_id, sent, unnest(regexp_extract_all(s, '\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)*')) AS raw FROM sn),
-    cn AS (SELECT doc_id, sent, regexp_replace(trim(regexp_replace(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', ' ', 'g')), '^the ', '') AS name FROM rn),
-    ents AS (SELECT DISTINCT doc_id, sent::INT AS sent, name, CASE WHEN contains(name, ' ') THEN 'PERSON' WHEN length(name) >= 10 THEN 'ORGANIZATION' ELSE 'LOCATION' END AS label
-      FROM cn WHERE length(name) > 1 AND name NOT IN ({_ENT_STOP}))"""
+    cn AS (SELECT doc_id, sent, {_CANONICAL.format('raw')} AS name FROM rn),
+    {_labels_sql()},
+    ents AS MATERIALIZED (SELECT c.doc_id, c.sent, c.name, coalesce(label, '{graph.UNKNOWN}') AS label FROM (SELECT DISTINCT doc_id, sent::INT AS sent, name FROM cn WHERE length(name) > 1 AND name NOT IN ({_ENT_STOP})) c LEFT JOIN lb USING (name))"""
 _TRIPLES = f"{_ENTS}, tr AS (SELECT a.doc_id, a.sent, a.name AS src, 'co_occurs_with' AS relation, b.name AS dst FROM (SELECT DISTINCT doc_id, sent, name FROM ents) a JOIN (SELECT DISTINCT doc_id, sent, name FROM ents) b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.name <> b.name)"
 _EDGES = f"{_TRIPLES}, et AS (SELECT DISTINCT doc_id, src, relation, dst FROM tr), ed AS (SELECT src, relation, dst, count(*) AS weight FROM et GROUP BY src, relation, dst)"
 _LISTS = _parts("src, relation, dst", "et", "weight, part, episodes")
@@ -783,6 +819,73 @@ def kg_tokens(spark, sf_dir):
     return token_table(spark, sf_dir).filter("pos != 'X'").select("doc_id", "i", "lemma", "pos", "dep", "head", "name")
 
 
+@query(f"""WITH {_PARSED}, nm AS (SELECT doc_id, sent, min(i) AS first, max(i) AS last, arg_min(name, i) AS name FROM tk WHERE name IS NOT NULL GROUP BY doc_id, sent)
+    SELECT tk.doc_id, tk.i, nm.name FROM tk JOIN nm ON tk.doc_id = nm.doc_id AND tk.i BETWEEN first AND last""")
+def kg_span_tokens(spark, sf_dir):
+    """Spans from a sentence's first name to its last, joined to the tokens that they cover."""
+    tokens = token_table(spark, sf_dir)
+    held = tokens.filter("name is not null").groupBy("doc_id", "sent").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end"), F.min_by("name", "i").alias("name"))
+    spans = held.select("doc_id", F.col("sent").alias("seq"), "name", "start", "end")
+    return graph.span_tokens(tokens.select("doc_id", "i"), spans).filter("name is not null")
+
+
+_PRONOUNS = [", ".join(f"'{w}'" for w in ws) for ws in (syntax.PERSON_PRONOUNS, syntax.OTHER_PRONOUNS)]
+
+
+@query(f"""WITH {_PARSED}, {_ENTS}, pl2 AS (SELECT doc_id, name, label, row_number() OVER (PARTITION BY doc_id, label ORDER BY sent DESC, name DESC) AS r FROM ents WHERE label IN ('PERSON', 'ORGANIZATION')),
+    rf AS (SELECT doc_id, max(name) FILTER (label = 'PERSON') AS person, coalesce(max(name) FILTER (label = 'PERSON'), max(name) FILTER (label = 'ORGANIZATION')) AS other FROM pl2 WHERE r = 1 GROUP BY doc_id)
+    SELECT tk.doc_id, i, lemma, CASE WHEN lemma IN ({_PRONOUNS[0]}) THEN person ELSE other END AS name FROM tk JOIN rf ON rf.doc_id = tk.doc_id
+    WHERE tk.name IS NULL AND (lemma IN ({_PRONOUNS[0]}) AND person IS NOT NULL OR lemma IN ({_PRONOUNS[1]}) AND other IS NOT NULL)""")
+def kg_pronouns(spark, sf_dir):
+    """Pronouns with the last person, or else organization, of their document."""
+    tokens = token_table(spark, sf_dir)
+    ents = graph_inputs(spark, sf_dir)[0].withColumn("seq", F.struct("sent", "name"))
+    names = tokens.filter("name is not null").select("doc_id", F.col("i").alias("seq"), "name", F.col("i").alias("start"), (F.col("i") + 1).alias("end"))
+    told = syntax.named(tokens, names, graph.referents(ents)).filter("name is not null")
+    return told.filter(F.col("lemma").isin(*syntax.PERSON_PRONOUNS, *syntax.OTHER_PRONOUNS)).join(names.select("doc_id", F.col("seq").alias("i")), ["doc_id", "i"], "left_anti").select("doc_id", "i", "lemma", "name")
+
+
+_BE = ", ".join(f"'{w}'" for w in syntax.BE)
+_RUNS = f"""px AS (SELECT *, pos = 'PROPN' AND lead(lemma, 1) OVER o IN ({_BE}) AND regexp_full_match(lead(lemma, 2) OVER o, '.+(?:ed|en|n|t)') AND lead(lemma, 3) OVER o = '{syntax.AGENT}' AND lead(pos, 4) OVER o = 'PROPN' AS run FROM tk WINDOW o AS (PARTITION BY doc_id, sent ORDER BY i)),
+    py AS (SELECT *, CASE WHEN run THEN 0 WHEN lag(run, 2) OVER o THEN 2 WHEN lag(run, 3) OVER o THEN 3 WHEN lag(run, 4) OVER o THEN 4 END AS part FROM px WINDOW o AS (PARTITION BY doc_id, sent ORDER BY i)),
+    tp AS MATERIALIZED (SELECT doc_id, i, lemma, name, CASE part WHEN 2 THEN 'VERB' WHEN 3 THEN 'ADP' ELSE pos END AS pos, CASE part WHEN 0 THEN '{syntax.PASSIVE}' WHEN 3 THEN 'prep' WHEN 4 THEN 'pobj' WHEN 2 THEN 'root' ELSE dep END AS dep,
+      CASE part WHEN 0 THEN i + 2 WHEN 3 THEN i - 1 WHEN 4 THEN i - 1 WHEN 2 THEN i ELSE head END AS head FROM py)"""
+_VERB_NAMES = "CASE x " + " ".join(f"WHEN '{v}' THEN '{r}'" for v, r in graph.VERB_RELATIONS.items()) + " ELSE x END"
+
+
+@query(f"""WITH {_PARSED}, {_RUNS},
+    cj AS (SELECT doc_id, i, i AS j FROM tp UNION ALL SELECT doc_id, head, i FROM tp WHERE dep = 'conj' AND head <> i),
+    hd AS MATERIALIZED (SELECT cj.doc_id, cj.i AS c, name FROM cj JOIN tp ON tp.doc_id = cj.doc_id AND tp.i = cj.j WHERE name IS NOT NULL),
+    vb AS (SELECT doc_id, i AS v, regexp_replace(lemma, '[^a-z]', '', 'g') AS x FROM tp WHERE pos = 'VERB'),
+    sj AS (SELECT t.doc_id, t.head AS v, hd.name AS subj, t.dep = '{syntax.PASSIVE}' AS passive FROM tp t JOIN hd ON hd.doc_id = t.doc_id AND hd.c = t.i WHERE t.dep IN ('nsubj', '{syntax.PASSIVE}') AND t.head <> t.i),
+    sv AS (SELECT *, bool_or(passive) OVER (PARTITION BY doc_id, v) AS swap FROM sj),
+    oj AS (SELECT t.doc_id, t.head AS v, hd.name AS obj FROM tp t JOIN hd ON hd.doc_id = t.doc_id AND hd.c = t.i WHERE t.dep = 'dobj'
+      UNION ALL SELECT p.doc_id, p.head, hd.name FROM tp p JOIN tp t ON t.doc_id = p.doc_id AND t.head = p.i AND t.dep = 'pobj' JOIN hd ON hd.doc_id = t.doc_id AND hd.c = t.i WHERE p.dep = 'prep')
+    SELECT DISTINCT sv.doc_id, CASE WHEN swap THEN obj ELSE subj END AS src, {_VERB_NAMES} AS relation, CASE WHEN swap THEN subj ELSE obj END AS dst
+    FROM sv JOIN vb ON vb.doc_id = sv.doc_id AND vb.v = sv.v JOIN oj ON oj.doc_id = sv.doc_id AND oj.v = sv.v WHERE x NOT IN ({_VERB_STOP}) AND x <> '' AND subj <> obj""")
+def kg_relations_verbs(spark, sf_dir):
+    """All objects under their verb's relation, with passive subjects as objects."""
+    return syntax.verb_relations(syntax.with_passives(token_table(spark, sf_dir)))
+
+
+@query(f"""WITH {_ENTS}, nw AS (SELECT DISTINCT doc_id, name, list_distinct(string_split(name, ' ')) AS ws FROM ents),
+    ev AS (SELECT a.name AS short, b.name AS long, count(*) AS docs FROM nw a JOIN nw b ON a.doc_id = b.doc_id AND len(a.ws) < len(b.ws) AND list_has_all(b.ws, a.ws) GROUP BY a.name, b.name),
+    go AS MATERIALIZED (SELECT short, long FROM (SELECT *, row_number() OVER (PARTITION BY short ORDER BY docs DESC, long) AS r FROM ev) WHERE r = 1),
+    tops AS (WITH RECURSIVE w(name, top) AS (SELECT short, long FROM go UNION ALL SELECT w.name, go.long FROM w JOIN go ON go.short = w.top) SELECT name, top FROM w WHERE top NOT IN (SELECT short FROM go)),
+    mem AS (SELECT name, top FROM tops UNION SELECT top, top FROM tops)
+    SELECT name, min(name) OVER (PARTITION BY top) AS class FROM mem""")
+def kg_alias_classes(spark, sf_dir):
+    """Names and their short forms, as classes."""
+    return components.alias_classes(graph_inputs(spark, sf_dir)[0])
+
+
+@query("SELECT doc_id, length(x)::INT AS n_chars, md5(x) AS source_md5 FROM (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) || '. ' || coalesce(text, '') AS x FROM documents)")
+def kg_source_text(spark, sf_dir):
+    """Title and description, as graphs of titled documents read them."""
+    x = graph.source_text(F.col("title"), F.col("description"))
+    return documents(spark, sf_dir).select("doc_id", F.length(x).alias("n_chars"), F.md5(x.cast("binary")).alias("source_md5"))
+
+
 @query(f"WITH {_CLAUSES} SELECT doc_id, src, relation, dst FROM cr")
 def kg_relations_clauses(spark, sf_dir):
     """Subject, verb and object, objects of prepositions and conjuncts included."""
@@ -903,6 +1006,68 @@ def json_round_trip(spark, sf_dir):
     return found.select("doc_id", F.size(files.tokens_from_json("tokens")).alias("n_tokens"))
 
 
+def saved_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the index as sources.postings keeps it, written once per application."""
+    kept = _built(spark, sf_dir)
+    if "saved" not in kept:
+        ix, path = built(spark, sf_dir), fresh_path(spark, "postings")
+        postings.save(ix.tf, path, ix.n, ix.avgdl, ix.avg_idf)
+        kept["saved"] = path
+    return kept["saved"]
+
+
+@query(f"""WITH {_TF}, {_Q}, top AS (SELECT token FROM qt GROUP BY token ORDER BY count(*) DESC, token LIMIT 10)
+    SELECT token, count(*) AS n_docs, sum(f)::BIGINT AS occurrences FROM tf JOIN top USING (token) GROUP BY token""")
+def index_lookup_source(spark, sf_dir):
+    """A report on the ten tokens that most passages have, by the data source that opens their files alone."""
+    often = search.query_terms(asked(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "token").limit(10)
+    tokens = [r["token"] for r in often.collect()]
+    found = postings.load(spark, saved_index(spark, sf_dir)).filter(F.col("token").isin(tokens))
+    return found.groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("f").alias("occurrences"))
+
+
+@query(f"WITH {_TF} SELECT doc_id, round(sum(f * idf), 4) AS mass FROM tf JOIN idf USING (token) GROUP BY doc_id")
+def bucketed_tfidf_mass(spark, sf_dir):
+    """Postings and idf as tables with the same buckets: their join shuffles neither."""
+    ix, base = built(spark, sf_dir), f"lexloom_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {base} LOCATION '{fresh_path(spark, 'tables')}'")
+    files.write_table(ix.tf, f"{base}.postings", "token", buckets=8)
+    files.write_table(ix.idf, f"{base}.idf", "token", buckets=8)
+    met = spark.table(f"{base}.postings").join(spark.table(f"{base}.idf").hint("merge"), "token")
+    return met.groupBy("doc_id").agg(F.round(F.sum(F.col("f") * F.col("idf")), 4).alias("mass"))
+
+
+# ---- SQL functions -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_TF}, {_Q}, {_BM25S}, {_best('bs', 5, 'b5')} SELECT * FROM b5")
+def sql_search(spark, sf_dir):
+    """The table function search() in SQL, once per passage."""
+    sql_functions.register(spark, saved_index(spark, sf_dir))
+    asked_rows = table(spark, sf_dir, "benchmark")
+    found = "SELECT b.item_id AS query_id, s.doc_id, s.score, s.rank FROM {rows} b, LATERAL search('bm25', b.text, 5) s"
+    return spark.sql(found, rows=asked_rows)
+
+
+@query(f"""WITH {_TOK} SELECT 'text' AS kind, doc_id AS id, len(toks)::DOUBLE AS value FROM tok
+    UNION ALL SELECT 'vector', vec_id, round(list_cosine_similarity(embedding::DOUBLE[], embedding[2:]::DOUBLE[] || embedding[:1]::DOUBLE[]), 5) + 0.0::DOUBLE FROM embeddings""")
+def sql_scalar_functions(spark, sf_dir):
+    """tokenize() and cosine() in SQL: the tokens of every document, and every vector against itself moved by one entry."""
+    sql_functions.register(spark)
+    return spark.sql(
+        """SELECT 'text' AS kind, doc_id AS id, CAST(size(tokenize(text)) AS DOUBLE) AS value FROM {docs}
+        UNION ALL SELECT 'vector', vec_id, round(cosine(embedding, concat(slice(embedding, 2, size(embedding)), slice(embedding, 1, 1))), 5) + 0.0D FROM {vectors}""",
+        docs=table(spark, sf_dir, "documents"), vectors=table(spark, sf_dir, "embeddings"),
+    )
+
+
+@query()
+def sql_stem(spark, sf_dir):
+    """stem() in SQL over the vocabulary."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT token, stem(token) AS stem FROM {words}", words=built(spark, sf_dir).idf.select("token"))
+
+
 # ---- streaming (an extension) ------------------------------------------------------------------------------------
 
 
@@ -917,3 +1082,12 @@ def stream_index(spark, sf_dir):
     return incremental.index_query(spark, sf_dir)
 
 
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', text, source) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3),
+    t AS MATERIALIZED (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM d)
+    SELECT token, count(DISTINCT doc_id) AS n_t, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS token FROM t) GROUP BY token
+    UNION ALL SELECT NULL, count(*), sum(len(toks))::BIGINT FROM t""")
+def stream_index_upkeep(spark, sf_dir):
+    """Statistics of an index whose documents come, change and go, kept by deltas."""
+    return upkeep.query(spark, sf_dir)

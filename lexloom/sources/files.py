@@ -6,6 +6,7 @@ import html
 import json
 import sqlite3
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,11 +119,29 @@ def write_corpus(docs: DataFrame, postings: DataFrame, vectors: DataFrame, prefi
     write_table(vectors, f"{prefix}embeddings", "doc_id", buckets=buckets)
 
 
-def import_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    with sqlite3.connect(path) as con:
-        rows = con.execute(f'SELECT * FROM "{table}"').fetchall()
+def import_sqlite(spark: SparkSession, path: str, table: str, schema: str, part_rows: int = 100_000) -> DataFrame:
+    """A table of a SQLite file that the executors can open, too, read by ranges of its row ids, a task each.
+
+    The driver reads the least and greatest row id alone.
+    """
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        first, last = con.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
     con.close()
-    return spark.createDataFrame(rows, schema)
+    wanted = T._parse_datatype_string(schema)
+    if first is None:
+        return spark.createDataFrame([], wanted)
+    starts = spark.range(first, last + 1, part_rows, numPartitions=-(-(last + 1 - first) // part_rows))
+
+    def rows(batches):
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+            for b in batches:
+                for start in b["id"]:
+                    found = con.execute(f'SELECT * FROM "{table}" WHERE rowid >= ? AND rowid < ?', (int(start), int(start) + part_rows))
+                    while part := found.fetchmany(10_000):
+                        yield pd.DataFrame(part, columns=wanted.names, dtype=object)
+        con.close()
+
+    return starts.mapInPandas(rows, wanted)
 
 
 def graphml_lines(nodes: DataFrame, edges: DataFrame, node_id: str = "name") -> DataFrame:

@@ -33,9 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_OWN: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder below shared_dir(). Spark's file system deletes it when the application ends."""
+    folder = f"{shared_dir(spark)}/lexloom-{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWN.add(folder)
+    return folder
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below shared_dir() that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below own_dir() that nothing else uses."""
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

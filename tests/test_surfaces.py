@@ -165,3 +165,24 @@ def test_storage(spark):
     assert cut(spark.createDataFrame([], "a int")).count() == 0
     bounded_batches(spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_scratch_tables_go_with_the_application(spark):
+    """cut() writes below the application's folder, which Spark's file system deletes when the application ends."""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+
+    from lexloom.storage import own_dir
+
+    assert own_dir(spark).endswith(spark.sparkContext.applicationId)
+    folder = tempfile.mkdtemp(prefix="lexloom-shared-")
+    code = (
+        "from pyspark.sql import SparkSession; from lexloom.storage import cut; import os, sys;"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://' + sys.argv[1]).getOrCreate();"
+        "cut(s.range(3)).count(); print(sum(x.startswith('lexloom-') for x in os.listdir(sys.argv[1]))); s.stop()"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code, folder], capture_output=True, text=True, cwd=root, timeout=180)
+    assert out.stdout.strip() == "1" and not [x for x in os.listdir(folder) if x.startswith("lexloom-")]

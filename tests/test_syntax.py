@@ -78,3 +78,13 @@ def test_the_offline_annotator(spark):
 @pytest.mark.parametrize("f", [syntax.clause_relations, syntax.verb_relations, syntax.path_relations])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_passives_are_found_in_the_order_of_words(spark):
+    d = spark.createDataFrame([(1, "Ada was seen by Bruno. Carla is fought by Dora in Norrvik. Egon was near by Fritz? Gerd was kissed. Hans hit Ida."), (2, None)], "doc_id long, text string")
+    tokens = syntax.with_passives(syntax.parsed(d))
+    assert triples(syntax.verb_relations(tokens)) == [("bruno", "seen", "ada"), ("dora", "attack", "carla"), ("egon", "is", "fritz"), ("hans", "hit", "ida")]
+    held = {r["text"]: (r["dep"], r["pos"]) for r in tokens.collect()}
+    assert held["Ada"][0] == "nsubjpass" and held["seen"] == ("root", "VERB") and held["Bruno"][0] == "pobj" and held["Gerd"][0] == "nsubj"
+    plain = syntax.parsed(d).count()
+    assert tokens.count() == plain
