@@ -17,6 +17,7 @@ from lexloom.operators import corpus, fusion, index, rag, search, vector
 from lexloom.storage import cut
 
 METHODS = {"boolean": "Boolean", "bm25": "BM25", "semantic": "Semantic", "ann": "ANN", "fused": "Fused"}
+SPEEDS = {"boolean": "very fast", "bm25": "fast", "semantic": "medium", "ann": "fast", "fused": "slow", "rag": "slowest"}
 MIN_QUERY = 2
 
 
@@ -117,8 +118,7 @@ class Engine:
 
 
 def catalog() -> list[dict]:
-    speeds = {"boolean": "very fast", "bm25": "fast", "semantic": "medium", "ann": "fast", "fused": "slow", "rag": "slowest"}
-    return [{"id": m, "name": METHODS.get(m, "RAG"), "speed": s} for m, s in speeds.items()]
+    return [{"id": m, "name": METHODS.get(m, "RAG"), "speed": s} for m, s in SPEEDS.items()]
 
 
 def handle(engine: Engine, verb: str, path: str, body: bytes = b"") -> tuple[int, dict]:

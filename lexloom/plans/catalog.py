@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom import api
 from lexloom.functions import sql as sql_functions
 from lexloom.functions import text as T
 from lexloom.functions.vectors import norm, normalized
@@ -22,11 +23,11 @@ from lexloom.sources import files, postings
 from lexloom.storage import cut, fresh_path, table
 from lexloom.streaming import incremental, upkeep
 
-# The grid of the BM25 sweep, and the methods with their names and speeds.
+# The grid of the BM25 sweep.
 K1_GRID, B_GRID = (0.5, 1.0, 1.25, 1.5, 1.75, 2.0), (0.4, 0.6, 0.75, 0.85, 0.9, 1.0)
 GRID = tuple(itertools.product(K1_GRID, B_GRID))
 DIM = 64
-METHODS = (("boolean", "Boolean", "very fast"), ("bm25", "BM25", "fast"), ("semantic", "Semantic", "medium"), ("ann", "ANN", "fast"), ("fused", "Fused", "slow"), ("rag", "RAG", "slowest"))
+METHODS = tuple((m["id"], m["name"], m["speed"]) for m in api.catalog())
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -74,9 +75,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple, dict] = {}
 
 
-def forget() -> None:
-    """Let go of everything that was derived: the next query makes its own."""
-    _BUILT.clear()
+def forget(but: tuple[str, ...] = ()) -> None:
+    """Let go of what was derived, but for the parts named: the next query makes its own."""
+    for kept in _BUILT.values():
+        for name in [n for n in kept if n not in but]:
+            del kept[name]
 
 
 def _built(spark: SparkSession, sf_dir: str) -> dict:
