@@ -75,10 +75,10 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple, dict] = {}
 
 
-def forget(but: tuple[str, ...] = ()) -> None:
-    """Let go of what was derived, but for the parts named: the next query makes its own."""
+def forget_lists() -> None:
+    """Let go of ranked lists, gold lists and metrics: the next query makes its own from the kept index."""
     for kept in _BUILT.values():
-        for name in [n for n in kept if n not in but]:
+        for name in [n for n in kept if not isinstance(n, str) or n == "gold"]:
             del kept[name]
 
 
