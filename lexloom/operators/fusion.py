@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.storage import cut
 
-from .index import Index
+from .index import Index, spread
 from .search import query_terms, top_k
 
 RRF_K, CANDIDATES, RERANK = 10, 50, 20
@@ -28,13 +28,15 @@ def rrf(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
 def lexical_rerank(candidates: DataFrame, queries: DataFrame, index: Index, k: int) -> DataFrame:
     """Rerank candidates(query_id, doc_id) by the share of the query's idf mass that the document's tokens cover.
 
-    Only the postings of the queries' tokens are read, and no text.
+    Only the candidates' postings are spread, and no text is read.
     """
     candidates = cut(candidates.select("query_id", "doc_id"), "candidates")
-    terms = query_terms(queries, index.stem).select("query_id", "token").join(index.idf.select("token", "idf"), "token")
+    terms = cut(query_terms(queries, index.stem).select("query_id", "token"), "query-terms").join(index.idf.select("token", "idf"), "token")
+    terms = cut(terms, "query-weights")
     mass = terms.groupBy("query_id").agg(F.sum("idf").alias("mass"))
     wanted = candidates.join(terms, "query_id")
-    words = index.tf.select("token", "doc_id").join(wanted.select("token", "doc_id").distinct(), ["doc_id", "token"], "left_semi")
+    tf = index.tf if index.forward is None else spread(index.forward.join(cut(candidates.select("doc_id").distinct(), "candidates"), "doc_id", "left_semi"))
+    words = tf.select("token", "doc_id").join(wanted.select("token", "doc_id").distinct(), ["doc_id", "token"], "left_semi")
     met = wanted.join(words.withColumn("hit", F.lit(1)), ["doc_id", "token"], "left")
     covered = met.groupBy("query_id", "doc_id").agg(F.sum(F.when(F.col("hit") == 1, F.col("idf")).otherwise(0.0)).alias("covered"))
     scored = candidates.select("query_id", "doc_id").join(covered, ["query_id", "doc_id"], "left").join(mass, "query_id", "left")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexloom.storage import bounded_batches, cut
 
+from .index import weighed
 from .vector import hash_slots
 
 #: Slots of tokens, directions of a pass, passes at most, and the change of a singular value that ends them.
@@ -36,7 +37,7 @@ def rows(terms: DataFrame, idf: DataFrame, key: str, slots: int = SLOTS) -> Data
 
     Rows without a known token, or whose sums are all 0, have no entry and are left out.
     """
-    hashed = terms.join(hash_slots(idf.select("token", "idf"), slots), "token")
+    hashed = weighed(terms.select(key, "token", "f"), hash_slots(idf, slots))
     summed = hashed.groupBy(key, "slot").agg(F.sum(F.col("f") * F.col("idf") * F.col("idf") * F.col("sign")).alias("w")).filter("w != 0")
     size = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size")
     one = summed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("x"), size)
