@@ -88,3 +88,24 @@ def test_passives_are_found_in_the_order_of_words(spark):
     assert held["Ada"][0] == "nsubjpass" and held["seen"] == ("root", "VERB") and held["Bruno"][0] == "pobj" and held["Gerd"][0] == "nsubj"
     plain = syntax.parsed(d).count()
     assert tokens.count() == plain
+
+
+def test_heads_without_a_shuffle(spark):
+    """Passives made with the heads equal those made from the table; no window, no exchange; relations need no other words."""
+    import random
+
+    rng = random.Random(3)
+    words = [*"Anna Bob Carl Dora was is eaten taken seen by in to and the quickly 7 The met".split(), "Anna was eaten by Bob", "Carl is seen by Dora and Anna"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 60))).replace(" 7", rng.choice([". ", " 7"]))) for i in range(150)] + [(900, None), (901, "")], "doc_id long, text string").repartition(3)
+    table = syntax.parsed(docs)
+    analyzed = table._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in analyzed and "Aggregate" not in analyzed
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    passive = syntax.with_passives(table)
+    assert passive.filter("dep = 'nsubjpass'").count() > 5
+    assert rows(syntax.parsed(docs, passives=True)) == rows(passive)
+    few = syntax.parsed(docs, others=False)
+    assert rows(few) == rows(table.filter("pos != 'X'"))
+    for relations in (syntax.clause_relations, syntax.path_relations):
+        assert rows(relations(few)) == rows(relations(table)) != []
+    assert rows(syntax.verb_relations(syntax.parsed(docs, passives=True, others=False))) == rows(syntax.verb_relations(passive))
