@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -70,17 +71,28 @@ def search_function(index: str):
             wanted, found = frozenset(asked), defaultdict(list)
             for file in postings.files_of(path, wanted):
                 for b in postings.read_file(path, file, wanted, ["token", "doc_id", "f", "len"]):
-                    for token, doc, f, size in zip(*(c.to_pylist() for c in b.columns)):
-                        found[token].append((doc, f, size))
-            score: dict[int, float] = defaultdict(float)
-            for token, m in asked.items():
-                n_t = len(found[token])
-                raw = math.log(z["n"] - n_t + 0.5) - math.log(n_t + 0.5)
+                    words = b.column("token").dictionary_encode()
+                    at, columns = words.indices.to_numpy(), [b.column(c).to_numpy() for c in ("doc_id", "f", "len")]
+                    for i, token in enumerate(words.dictionary.to_pylist()):
+                        own = at == i
+                        found[token].append([c[own] for c in columns])
+            ids, gains = [], []
+            for token in asked:
+                if token not in found:
+                    continue
+                m, (doc, f, size) = asked[token], (np.concatenate(c) for c in zip(*found.pop(token)))
+                raw = math.log(z["n"] - len(doc) + 0.5) - math.log(len(doc) + 0.5)
                 idf = raw if raw >= 0 else EPSILON * z["avg_idf"]
-                for doc, f, size in found[token]:
-                    score[doc] += m * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * size / z["avgdl"])) if method == "bm25" else m
-            best = sorted((-round(s, DIGITS), d) for d, s in score.items())[:k]
-            for i, (s, d) in enumerate(best, 1):
-                yield i, d, -s
+                ids.append(doc)
+                gains.append(m * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * size / z["avgdl"])) if method == "bm25" else np.full(len(doc), float(m)))
+            if not ids:
+                return
+            docs, place = np.unique(np.concatenate(ids), return_inverse=True)
+            score = np.round(np.bincount(place, np.concatenate(gains)), DIGITS)
+            if 0 < k < len(docs):  # only those that reach the k-th score are sorted
+                reach = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                docs, score = docs[reach], score[reach]
+            for i, at in enumerate(np.lexsort((docs, -score))[:k], 1):
+                yield i, int(docs[at]), float(score[at])
 
     return F.udtf(Search, returnType="rank int, doc_id long, score double")

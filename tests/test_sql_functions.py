@@ -80,3 +80,10 @@ def test_bucketed_postings_join_without_a_shuffle(spark, built, tmp_path):
     met = spark.table("bucket_test.postings").join(spark.table("bucket_test.idf").hint("merge"), "token")
     assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == built.tf.count()
     spark.sql("DROP DATABASE bucket_test CASCADE")
+
+
+def test_table_function_calls_are_spread_over_tasks(spark):
+    from lexloom.plans import catalog
+
+    found = catalog.QUERIES["sql_search"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
