@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.storage import bounded_batches, cut
+from lexloom.storage import bounded_batches, cut, discard, shuffles_go
 
 from .memory import released
 
@@ -260,7 +260,8 @@ def fingerprints(docs: DataFrame, k: int, size: int) -> tuple[DataFrame, DataFra
                 np.add.at(counts, bucket(grams, size), np.uint32(1))
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bits, pa.binary()), *none], schema=schema)
-        parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
+        # the four bytes of all counts apart: the upper ones are nearly all 0
+        parts = [zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
         none = pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary())
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
         released()
@@ -281,7 +282,7 @@ def frequencies(parts: DataFrame, size: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for s, blob in zip(b["slice"], b["blob"]):
-                counts = np.frombuffer(zlib.decompress(blob), np.uint32)
+                counts = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
                 total[s] = total.get(s, 0) + counts.astype(np.uint64)
         if total:
             level = [level_of(t).tobytes() for t in total.values()]
@@ -289,7 +290,8 @@ def frequencies(parts: DataFrame, size: int) -> np.ndarray:
         released()
 
     # a slice streams through one task, whatever the number of parts; it holds the sums only
-    found = parts.repartition(SLICES, "slice").mapInPandas(summed, "slice int, level binary").collect()
+    with shuffles_go(parts.sparkSession):
+        found = parts.repartition(SLICES, "slice").mapInPandas(summed, "slice int, level binary").collect()
     out, own = np.zeros(size, np.uint8), size // SLICES
     for r in found:
         out[r["slice"] * own : (r["slice"] + 1) * own] = np.frombuffer(r["level"], np.uint8)
@@ -429,7 +431,8 @@ def bitmap(ids: DataFrame, bits_: int = FILTER_BITS) -> np.ndarray:
         released()
 
     slice_of = F.floor(F.col("nid").bitwiseAND((1 << bits_) - 1) / part)
-    found = ids.select("nid").repartition(SLICES, slice_of).mapInPandas(bits, "slice int, bits binary").collect()
+    with shuffles_go(ids.sparkSession):
+        found = ids.select("nid").repartition(SLICES, slice_of).mapInPandas(bits, "slice int, bits binary").collect()
     out = np.zeros((1 << bits_) // 8, np.uint8)
     for r in found:
         out[r["slice"] * part // 8 : (r["slice"] + 1) * part // 8] |= np.frombuffer(r["bits"], np.uint8)
@@ -716,7 +719,9 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     size = 1 << bits_for(total, SKETCH_BITS, SKETCH_MOST, 32)
     rows, parts = fingerprints(docs, k, size)
     order = sc.broadcast(frequencies(parts, size))
-    members = cut(hubs(cut(prefixes(docs, k, num, den, order), "prefixes"), num, den), "met")
+    listed = cut(prefixes(docs, k, num, den, order), "prefixes")
+    members = cut(hubs(listed, num, den), "met")
+    discard(listed)
     members = cut(likely(members, rows, num, den), "hubs")
     wanted = sc.broadcast(bitmap(members, bits_for(total, FILTER_BITS, FILTER_MOST, 8)))
     edges = links(members, gathered(docs, k, wanted), num, den, order)
@@ -755,14 +760,21 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """
     found = cut(classes(docs, k, num, den), "joined")
     per = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"), F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("first"))
-    per = cut(per.filter("c > 1 or coalesce(first, 0) = 0"), "special")
-    size = bits_for(per.count(), FILTER_BITS, FILTER_MOST, 8)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(per.select(F.col("doc_id").alias("nid")), size))
+    per = cut(per.select("doc_id", "c", (F.coalesce("first", F.lit(0)) == 1).alias("first")), "judged")
+    special = cut(per.filter("c > 1 or not first"), "special")
+    staying = per.filter("c > 1 or first")
 
-    @F.pandas_udf("boolean")
-    def special(ids: pd.Series) -> pd.Series:
-        at = ids.to_numpy(np.int64) & ((1 << size) - 1)
-        return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+    def among(ids: DataFrame):
+        """A function of a column that says which ids may be among these; the others are not."""
+        size = bits_for(ids.count(), FILTER_BITS, FILTER_MOST, 8)
+        bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.col("doc_id").alias("nid")), size))
+
+        @F.pandas_udf("boolean")
+        def may(ids: pd.Series) -> pd.Series:
+            at = ids.to_numpy(np.int64) & ((1 << size) - 1)
+            return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+        return may
 
     @F.pandas_udf("binary")
     def named(texts: pd.Series) -> pd.Series:
@@ -770,17 +782,19 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
         released()
         return out
 
-    # most rows are settled by the filter where they are; only those that it cannot tell meet the list by a join
+    # most rows are settled by two filters where they are, those that stay and those that go alike, so that their texts
+    # are not shuffled; only rows that the filters cannot tell meet the list by a join
     ids = F.col("doc_id").cast("long")
-    listed = special(F.coalesce(ids, F.lit(-1)))  # without nulls, which would make the ids floats
+    known = F.coalesce(ids, F.lit(-1))  # without nulls, which would make the ids floats
+    listed, stays = among(special)(known), among(staying)(known)
     plain = docs.filter(ids.isNotNull() & ~listed)
-    rest = docs.filter(ids.isNotNull() & listed).join(per.select("doc_id", F.col("c").alias("__c")), "doc_id", "left")
+    rest = docs.filter(ids.isNotNull() & listed & stays).join(special.select("doc_id", F.col("c").alias("__c")), "doc_id", "left")
     single = rest.filter("__c is null").select(*docs.columns)
     # rows that their id does not tell apart: the first row of each set and id, of those the first set of each component
     several = rest.filter("__c > 1").select(*docs.columns).unionByName(docs.filter(ids.isNull())).withColumn("__fp", named("text"))
     empty = several.filter(F.col("__fp") == F.lit(fingerprint(gram_set(None, k)))).select(*docs.columns)
     once = several.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy("text"))).filter("__n = 1")
-    repeated = per.filter("c > 1").select(F.col("doc_id").alias("__id"))
+    repeated = special.filter("c > 1").select(F.col("doc_id").alias("__id"))
     first = found.filter("n > 0 and component_id <=> doc_id")
     first = first.filter("doc_id is null").unionByName(first.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi"))
     first = first.groupBy("key", F.col("doc_id").alias("__id")).agg(F.min("fp").alias("__set")).select("__id", "__set")

@@ -2,10 +2,13 @@ import random
 import re
 import string
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from lexloom.llm import ngramjoin as J
+from lexloom.storage import cut, own_dir
 
 SCHEMA = "doc_id long, text string, n long, fp string"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -169,6 +172,30 @@ def test_keep_one_with_large_ids(spark):
     assert got == [*range(0, 40, 2), 99]
 
 
+def test_texts_of_copies_are_not_shuffled(spark, request):
+    """Copies go where they are, by their ids; the table of prefixes goes after its use."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices(string.ascii_letters, k=12)) for _ in range(2000)) for _ in range(4)]
+    docs = spark.createDataFrame([(i, texts[i % 4]) for i in range(160)], "doc_id long, text string")
+    docs = cut(docs, "copies")
+    folder = Path(own_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
+    kept = J.keep_one(docs)
+    left = {p.name.partition("-")[0] for p in folder.iterdir() if p.name not in before}
+    assert "met" in left and "prefixes" not in left
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        found = store.executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    at, threshold = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with lists of ids too large for it
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold))
+    assert sorted((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()) == list(enumerate(texts))
+    assert written() - at < 4 * len(texts[0])
+
+
 def test_trie_finds_all_links():
     rng = np.random.default_rng(5)
     level = np.zeros(1 << J.SKETCH_BITS, np.uint8)
