@@ -17,15 +17,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.storage import bounded_batches, cut
+from lexloom.storage import bounded_batches, cut, shuffles_go
 
-from .index import weighed
-from .vector import hash_slots
+from .index import Index, weighed
+from .vector import hash_slots, index_sums
 
 #: Slots of tokens, directions of a pass, passes at most, and the change of a singular value that ends them.
 SLOTS, WIDTH, PASSES, TOLERANCE = 1 << 16, 32, 12, 1e-5
 #: Slots in a row of the block between tasks; parts that one task sums; entries of rows that are multiplied at once.
 CHUNK, FAN, ENTRIES = 1024, 32, 1 << 15
+#: Cells (rows x slots that they have) up to which a group of rows is multiplied as a dense matrix.
+CELLS = 1 << 22
 #: Singular values below this part of the largest belong to no direction.
 LEAST = 1e-3
 
@@ -44,6 +46,15 @@ def rows(terms: DataFrame, idf: DataFrame, key: str, slots: int = SLOTS) -> Data
     return one.select(key, F.transform("x", lambda e: e["slot"].cast("int")).alias("slots"), F.transform("x", lambda e: (e["w"] / F.col("size")).cast("float")).alias("weights"))
 
 
+def index_rows(index: Index, slots: int = SLOTS) -> DataFrame:
+    """rows() of an index's documents, from its forward rows where it has them."""
+    if index.forward is None:
+        return rows(index.tf, index.idf, "doc_id", slots)
+    one = index_sums(index, slots, 2).filter("norm > 0")
+    one = one.select("doc_id", F.filter("slots", lambda e: e["w"] != 0).alias("x"), "norm")
+    return one.select("doc_id", F.transform("x", lambda e: e["slot"].cast("int")).alias("slots"), F.transform("x", lambda e: (e["w"] / F.col("norm")).cast("float")).alias("weights"))
+
+
 def entries(b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, row of each entry from 0, slots, weights) of a batch, about ENTRIES entries at a time."""
     slots, weights = b.column("slots"), b.column("weights")
@@ -62,6 +73,34 @@ def times(x: np.ndarray, row: np.ndarray, slots: np.ndarray, weights: np.ndarray
     return np.add.reduceat(x[slots] * weights[:, None], np.flatnonzero(np.diff(row, prepend=-1)))
 
 
+def add_squared(total: np.ndarray, x: np.ndarray, row: np.ndarray, slots: np.ndarray, weights: np.ndarray, room: np.ndarray) -> None:
+    """Add A'A x of a group's rows A to total; room: CELLS zeros, which come back as zeros.
+
+    The group's own slots make a dense matrix, for which products are fastest; where that has more than CELLS cells, as
+    with many short rows, entries are multiplied one by one.
+    """
+    seen = np.zeros(len(x), bool)
+    seen[slots] = True
+    own = np.flatnonzero(seen)
+    if (int(row[-1]) + 1) * len(own) > len(room):
+        y = times(x, row, slots, weights)
+        order = np.argsort(slots, kind="stable")
+        first = np.flatnonzero(np.diff(slots[order], prepend=-1))
+        total[own] += np.add.reduceat(y[row[order]] * weights[order][:, None], first)
+        return
+    place = np.cumsum(seen, dtype=np.int32) - 1
+    cell = row * len(own) + place[slots]
+    room[cell] = weights
+    a = room[: (int(row[-1]) + 1) * len(own)].reshape(-1, len(own))
+    total[own] += a.T @ (a @ x[own])
+    room[cell] = 0
+
+
+def few(table: DataFrame) -> DataFrame:
+    """table in two parts per core at most: each part sums a whole block, whatever it has of rows, which stream through it."""
+    return table.coalesce(2 * table.sparkSession.sparkContext.defaultParallelism)
+
+
 def _squared(table: DataFrame, x: np.ndarray, parts: int) -> np.ndarray:
     """A'A x over the rows A of the table, by one pass and a tree of sums."""
     sent, slots, width = table.sparkSession.sparkContext.broadcast(x), *x.shape
@@ -72,11 +111,8 @@ def _squared(table: DataFrame, x: np.ndarray, parts: int) -> np.ndarray:
         for b in batches:
             for _, row, at, w in entries(b):
                 if total is None:
-                    total = np.zeros((slots, width), np.float32)
-                y = times(sent.value, row, at, w)
-                order = np.argsort(at, kind="stable")
-                first = np.flatnonzero(np.diff(at[order], prepend=-1))
-                total[at[order][first]] += np.add.reduceat(y[row[order]] * w[order][:, None], first)
+                    total, room = np.zeros((slots, width), np.float32), np.zeros(CELLS, np.float32)
+                add_squared(total, sent.value, row, at, w, room)
         if total is not None:
             for c in range(0, slots, CHUNK):
                 block = total[c : c + CHUNK]
@@ -94,8 +130,11 @@ def _squared(table: DataFrame, x: np.ndarray, parts: int) -> np.ndarray:
     while parts > 1:
         blocks = blocks.groupBy("chunk", F.floor(F.col("part") / FAN).alias("group")).applyInArrow(summed, schema)
         parts = -(-parts // FAN)
+    with shuffles_go(table.sparkSession):
+        found = blocks.select("*").collect()
+    sent.destroy()
     out = np.zeros((slots, width))
-    for r in blocks.collect():
+    for r in found:
         block = np.frombuffer(bytes(r["block"]), np.float32).reshape(-1, width)
         out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(block)] += block
     return out
@@ -116,6 +155,7 @@ class Lsa:
         Fewer directions come out where the rows have fewer.
         """
         bounded_batches(table.sparkSession)
+        table = few(table.select("slots", "weights"))
         parts = table.rdd.getNumPartitions()
         x = np.linalg.qr(np.random.default_rng(seed).normal(size=(slots, min(slots, max(WIDTH, -(-2 * dim // PASSES))))))[0]
         space, inner, values, done = np.empty((slots, 0)), np.empty((0, 0)), np.zeros(0), 0

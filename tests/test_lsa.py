@@ -91,3 +91,24 @@ def test_passages_without_known_words_have_no_vector(spark):
     q = spark.createDataFrame([(1, ["notaword"])], "query_id long, tokens array<string>")
     terms = search.query_terms(q).withColumnRenamed("m", "f")
     assert catalog.latent(spark, TINY)[0].embed(lsa.rows(terms, ix.idf, "query_id"), "query_id").count() == 0
+
+
+def test_a_pass_sums_few_blocks(spark, monkeypatch):
+    """However many parts the table has; each would write and sum a whole block in every pass."""
+    rows = [(i, [i % 64], [1.0]) for i in range(200)]
+    table = spark.createDataFrame(rows, "id long, slots array<int>, weights array<float>").repartition(100)
+    seen, squared = [], lsa._squared
+    monkeypatch.setattr(lsa, "_squared", lambda t, x, parts: seen.append(parts) or squared(t, x, parts))
+    lsa.Lsa.fit(table, 4, slots=64)
+    assert seen and max(seen) <= 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 12])
+def test_groups_of_rows_are_multiplied_whole(cells):
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random((20, 64)) < 0.2, rng.normal(size=(20, 64)), 0).astype(np.float32)
+    a[:, 7] = 1
+    row, slots = np.nonzero(a)
+    x, room, total = rng.normal(size=(64, 5)).astype(np.float32), np.zeros(cells, np.float32), np.ones((64, 5), np.float32)
+    lsa.add_squared(total, x, row, slots, a[row, slots], room)
+    assert np.allclose(total, 1 + a.T @ (a @ x), atol=1e-4) and not room.any()
