@@ -35,7 +35,7 @@ def lexical_rerank(candidates: DataFrame, queries: DataFrame, index: Index, k: i
     terms = cut(terms, "query-weights")
     mass = terms.groupBy("query_id").agg(F.sum("idf").alias("mass"))
     wanted = candidates.join(terms, "query_id")
-    tf = index.tf if index.forward is None else spread(index.forward.join(cut(candidates.select("doc_id").distinct(), "candidates"), "doc_id", "left_semi"))
+    tf = index.tf if index.forward is None else spread(index.rows.join(cut(candidates.select("doc_id").distinct(), "candidates"), "doc_id", "left_semi"))
     words = tf.select("token", "doc_id").join(wanted.select("token", "doc_id").distinct(), ["doc_id", "token"], "left_semi")
     met = wanted.join(words.withColumn("hit", F.lit(1)), ["doc_id", "token"], "left")
     covered = met.groupBy("query_id", "doc_id").agg(F.sum(F.when(F.col("hit") == 1, F.col("idf")).otherwise(0.0)).alias("covered"))
