@@ -102,3 +102,13 @@ def test_vectors_of_texts_are_summed_without_joins(spark, mapped, monkeypatch):
 def test_texts_of_repeated_ids_are_merged(spark):
     ix = index.build_texts(spark.createDataFrame([(1, "a b c red"), (1, "a red fox"), (2, "red")], "doc_id long, text string"))
     assert ix.packed is None and {(r.token, r.doc_id, r.f) for r in ix.tf.collect()} >= {("red", 1, 1), ("fox", 1, 1), ("red", 2, 1)}
+
+
+def test_answers_read_packed_rows(spark):
+    """rag_answer and hybrid_search make their lists from packed rows; vectors meet no tokens by joins."""
+    from lexloom.plans import catalog
+
+    ix = catalog.built(spark, "/root/testdata/sf0.001")
+    assert ix.packed is not None and ix.rows is ix.packed
+    plan = vector.embed_index(ix, catalog.DIM)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
