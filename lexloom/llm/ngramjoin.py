@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.storage import bounded_batches, cut, discard, shuffles_go
+from lexloom.storage import bounded_batches, cut, discard, same_table, shuffles_go
 
 from .memory import released
 
@@ -47,6 +47,8 @@ COLD = 4096
 #: Bits of the filter that picks the sets to gather (some others pass, and the join drops them): at least FILTER_BITS,
 #: eight per row, up to a broadcast of 128 MB.
 FILTER_BITS, FILTER_MOST = 25, 30
+#: Bits of the filter that passes n-grams of several sets: eight per row of the prefixes, up to a broadcast of 32 MB.
+TOKEN_BITS, TOKEN_MOST = 23, 28
 #: Sets and n-grams under one hub up to which the bitmap filter works; larger hubs keep all their sets.
 FILTER_SETS, FILTER_GRAMS = 1 << 13, 1 << 27
 #: Sets that a task remembers, in order to send on one copy of each.
@@ -238,10 +240,20 @@ def streamed(df: DataFrame, keys: tuple[str, ...], f, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
-    """The texts of a batch, one at a time."""
+def _has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids a packed filter has, others that share a place with one of these included."""
+    at = ids & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
+def _texts(batch: pa.RecordBatch, leading: np.ndarray | None = None) -> Iterator[str | None]:
+    """The texts of a batch, one at a time; with a filter of ids, of the rows whose id it has or that have none."""
     column = batch.column("text")
-    return (column[i].as_py() for i in range(len(column)))
+    at = np.arange(len(column))
+    if leading is not None:
+        ids = batch.column("doc_id")
+        at = at[_has(leading, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)]
+    return (column[int(i)].as_py() for i in at)
 
 
 def fingerprints(docs: DataFrame, k: int, size: int) -> tuple[DataFrame, DataFrame]:
@@ -267,7 +279,7 @@ def fingerprints(docs: DataFrame, k: int, size: int) -> tuple[DataFrame, DataFra
         released()
 
     both = cut(docs.mapInArrow(made, "doc_id long, n long, fp binary, bits binary, slice int, blob binary"), "fingerprints")
-    return both.filter("slice is null").select("doc_id", "n", "fp", "bits"), both.filter("slice is not null").select("slice", "blob")
+    return both.filter("slice is null").select("doc_id", "n", "fp", "bits"), same_table(both.filter("slice is not null").select("slice", "blob"), both)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -302,8 +314,9 @@ def frequencies(parts: DataFrame, size: int) -> np.ndarray:
 MOST = (1 << 23) - 1
 
 
-def prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
-    """(token, set, hot): the rarest n-grams of each set, as many as the prefix filter needs; copies in a batch count once.
+def prefixes(docs: DataFrame, k: int, num: int, den: int, order, leading) -> DataFrame:
+    """(token, set, hot): the rarest n-grams of each set, as many as the prefix filter needs; copies that do not lead
+    their set are passed over, and copies in a batch count once.
 
     Of two linked sets the smaller shares one of its first |x| - ceil(2t / (1 + t) |x|) + 1 with the longer prefix
     of the larger; early marks these, and an n-gram that is early for no set brings no sets together. set packs the
@@ -317,7 +330,7 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
         level = order.value
         for b in batches:
             seen, tokens, sets, hot, held = set(), [], [], [], 0
-            for text in _texts(b):
+            for text in _texts(b, leading.value):
                 grams = gram_set(text, k)
                 n = len(grams)
                 if not n or (nid := node_id(fingerprint(grams))) in seen:
@@ -339,7 +352,47 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sets, hot)], schema=schema)
         released()
 
-    return docs.select("text").mapInArrow(made, "token long, set long, hot boolean")
+    return docs.select("doc_id", "text").mapInArrow(made, "token long, set long, hot boolean")
+
+
+def repeated(listed: DataFrame, bits_: int) -> np.ndarray:
+    """A filter of 2^bits_ positions, packed, that has each token of two or more rows of listed(token, ...).
+
+    Most of the rarest n-grams are of one set alone and bring none together. A task marks the places that it has met once
+    and more often; per slice these are added up as they stream. Tokens that share a place pass, none is lost.
+    """
+    size = (1 << bits_) // 8
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, more = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        for b in batches:
+            at, count = np.unique(b.column("token").to_numpy() & ((1 << bits_) - 1), return_counts=True)
+            byte, bit = at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+            again = (count > 1) | ((once[byte] & bit) > 0)
+            np.bitwise_or.at(more, byte[again], bit[again])
+            np.bitwise_or.at(once, byte, bit)
+        parts = [[zlib.compress(x.tobytes(), 1) for x in marks.reshape(SLICES, -1)] for marks in (once, more)]
+        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["slice", "once", "more"])
+        released()
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for s, *blobs in zip(b["slice"], b["once"], b["more"]):
+                own, twice = (np.frombuffer(zlib.decompress(x), np.uint8) for x in blobs)
+                once, more = total.get(s) or (np.zeros(len(own), np.uint8), np.zeros(len(own), np.uint8))
+                total[s] = once | own, more | twice | (once & own)
+        if total:
+            yield pd.DataFrame({"slice": list(total), "bits": [more.tobytes() for _, more in total.values()]})
+        released()
+
+    with shuffles_go(listed.sparkSession):
+        marks = listed.select("token").mapInArrow(marked, "slice int, once binary, more binary")
+        found = marks.repartition(SLICES, "slice").mapInPandas(added, "slice int, bits binary").collect()
+    out, own = np.zeros(size, np.uint8), size // SLICES
+    for r in found:
+        out[r["slice"] * own : (r["slice"] + 1) * own] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def bands(n, num: int, den: int):
@@ -362,8 +415,16 @@ def met(tokens: np.ndarray, nids: np.ndarray, sizes: np.ndarray, early: np.ndarr
     return low[run][ok], nids[ok], sizes[ok]
 
 
-def hubs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, nid, n) with hub < nid, and (hub, hub, n): all sets that may link share a hub."""
+def hubs(rows: DataFrame, num: int, den: int, several) -> DataFrame:
+    """(hub, nid, n) with hub < nid, and (hub, hub, n): all sets that may link share a hub.
+
+    several: the filter of repeated(). Rows whose token it has not stay where they are.
+    """
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_has(several.value, b.column("token").to_numpy())))
+        released()
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("hub", pa.int64()), ("nid", pa.int64()), ("n", pa.int64())])
@@ -383,7 +444,7 @@ def hubs(rows: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=schema)
         released()
 
-    few = rows.filter("not hot").select("token", "set").repartition("token").sortWithinPartitions("token")
+    few = rows.filter("not hot").select("token", "set").mapInArrow(passed, "token long, set long").repartition("token").sortWithinPartitions("token")
     few = few.mapInArrow(cold, "hub long, nid long, n long")
     packed = F.col("set")
     fields = F.shiftrightunsigned(packed, 24).alias("nid"), F.shiftright(packed, 1).bitwiseAND(MOST).alias("n"), (packed.bitwiseAND(1) == 1).alias("early")
@@ -439,8 +500,13 @@ def bitmap(ids: DataFrame, bits_: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def gathered(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(nid, fp, grams) of the sets that the filter passes, each once: a task sends on one of its copies of a set."""
+def leaders(rows: DataFrame) -> DataFrame:
+    """(nid): of every set of rows(doc_id, n, fp) the smallest id. Rows without an id always lead."""
+    return rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("nid")).filter("nid is not null").select("nid")
+
+
+def gathered(docs: DataFrame, k: int, wanted, leading) -> DataFrame:
+    """(nid, fp, grams) of the sets that the filter passes, each once: a task sends on one of its copies of a set, if any leads it."""
     schema = pa.schema([("nid", pa.int64()), ("fp", pa.binary()), ("grams", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,7 +514,7 @@ def gathered(docs: DataFrame, k: int, wanted) -> DataFrame:
         most, seen = len(bits) * 8 - 1, set()
         for b in batches:
             nids, fps, grams, held = [], [], [], 0
-            for text in _texts(b):
+            for text in _texts(b, leading.value):
                 g = gram_set(text, k)
                 fp = fingerprint(g)
                 nid = node_id(fp)
@@ -470,7 +536,7 @@ def gathered(docs: DataFrame, k: int, wanted) -> DataFrame:
         released()
 
     # dealt by nid, as the join with the members needs them
-    return docs.select("text").mapInArrow(made, "nid long, fp binary, grams binary").repartition("nid").dropDuplicates(["nid", "fp"])
+    return docs.select("doc_id", "text").mapInArrow(made, "nid long, fp binary, grams binary").repartition("nid").dropDuplicates(["nid", "fp"])
 
 
 class Trie:
@@ -719,12 +785,17 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     size = 1 << bits_for(total, SKETCH_BITS, SKETCH_MOST, 32)
     rows, parts = fingerprints(docs, k, size)
     order = sc.broadcast(frequencies(parts, size))
-    listed = cut(prefixes(docs, k, num, den, order), "prefixes")
-    members = cut(hubs(listed, num, den), "met")
+    rows = cut(rows, "rows")
+    discard(parts)  # with the table of both
+    leading = sc.broadcast(bitmap(leaders(rows), bits_for(total, FILTER_BITS, FILTER_MOST, 8)))
+    listed = cut(prefixes(docs, k, num, den, order, leading), "prefixes")
+    several = sc.broadcast(repeated(listed, bits_for(listed.count(), TOKEN_BITS, TOKEN_MOST, 8)))
+    members = cut(hubs(listed, num, den, several), "met")
     discard(listed)
+    several.destroy()
     members = cut(likely(members, rows, num, den), "hubs")
     wanted = sc.broadcast(bitmap(members, bits_for(total, FILTER_BITS, FILTER_MOST, 8)))
-    edges = links(members, gathered(docs, k, wanted), num, den, order)
+    edges = links(members, gathered(docs, k, wanted, leading), num, den, order)
     roots = cut(components(edges), "components")
     return labelled(rows.drop("bits"), roots, total)
 

@@ -196,6 +196,43 @@ def test_texts_of_copies_are_not_shuffled(spark, request):
     assert written() - at < 4 * len(texts[0])
 
 
+def test_ngrams_of_one_set_are_not_shuffled(spark, monkeypatch):
+    """Sets meet under n-grams that several rows have; the others, and those of copies, stay where they are."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices(string.ascii_letters, k=8)) for _ in range(1000)) for _ in range(100)]
+    texts[1] = texts[0] + " more"
+    docs = cut(spark.createDataFrame([(i, texts[i % 100]) for i in range(400)], "doc_id long, text string").repartition(8), "texts")
+    store, shuffled = spark.sparkContext._jsc.sc().statusStore(), {}
+
+    def written():
+        found = store.executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    def measured(df, name="cut"):
+        at = written()
+        out = cut(df, name)
+        shuffled[name] = written() - at
+        return out
+
+    monkeypatch.setattr(J, "cut", measured)
+    got = {r.doc_id: r.component_id for r in J.join(docs, 5, 80, 100).collect()}
+    assert got == {i: 0 if i % 100 < 2 else i % 100 for i in range(400)}
+    # 200 n-grams of each of 99 texts, 16 bytes each, and of up to three copies
+    assert shuffled["met"] < 99 * 200 * 16 / 4
+
+
+def test_repeated_ngrams_all_pass(spark):
+    rng = np.random.default_rng(3)
+    tokens = np.concatenate([rng.integers(0, 1 << 48, 3000), np.repeat(rng.integers(0, 1 << 48, 500), 3)])
+    rng.shuffle(tokens)
+    listed = spark.createDataFrame([(int(t),) for t in tokens], "token long").repartition(7)
+    bits = J.repeated(listed, 16)
+    value, count = np.unique(tokens, return_counts=True)
+    has = J._has(bits, value)
+    assert has[count > 1].all() and has[count == 1].mean() < 0.1
+    assert not J.repeated(listed.limit(0), 16).any()
+
+
 def test_trie_finds_all_links():
     rng = np.random.default_rng(5)
     level = np.zeros(1 << J.SKETCH_BITS, np.uint8)
