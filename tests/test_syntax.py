@@ -109,3 +109,24 @@ def test_heads_without_a_shuffle(spark):
     for relations in (syntax.clause_relations, syntax.path_relations):
         assert rows(relations(few)) == rows(relations(table)) != []
     assert rows(syntax.verb_relations(syntax.parsed(docs, passives=True, others=False))) == rows(syntax.verb_relations(passive))
+
+
+def test_spans_meet_their_tokens_in_the_sentence(spark):
+    """Only ids are shuffled; rows that share an id are one document, as the join of intervals has them."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "Anna met Berta in Paris yesterday. they slept. Then Carl saw Dora!"), (2, None), (3, ""), (4, "no names here."), (5, "Émile."), (None, "Anna met Berta.")]
+    shared = [(7, "before Xaver went to Yvonne."), (7, "Zoe and then many more words. Late Name."), (7, "lower words only")]
+
+    def joined(docs):
+        t = syntax.parsed(docs)
+        spans = t.filter("name is not null").groupBy("doc_id", F.col("sent").alias("seq")).agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end"), F.min_by("name", "i").alias("name"))
+        return sorted((r["doc_id"], r["i"], r["name"]) for r in graph.span_tokens(t.select("doc_id", "i"), spans).filter("name is not null and doc_id is not null").collect())
+
+    for each in (rows, rows + shared):
+        docs = spark.createDataFrame(each, "doc_id long, text string")
+        out = syntax.spanned(docs)
+        assert sorted((r["doc_id"], r["i"], r["name"]) for r in out.select("doc_id", "i", "name").collect()) == joined(docs)
+    plan = syntax.spanned(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert [r["name"] for r in syntax.spanned(docs).filter("doc_id = 5").collect()] == ["émile"]
